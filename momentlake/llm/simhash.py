@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     checked exactly on the whole texts. Equal prints count as copies. Of equal rows one
     stays; null ids sort last. Columns are those of ``docs``.
     """
-    rows = docs.withColumn("__id", F.col(doc_id)).withColumn("__hash", F.xxhash64(text))
+    rows = docs.withColumn("__id", F.col(doc_id)).withColumn("__hash", F.xxhash64(F.coalesce(text, F.lit(""))))
     prints = cut(fingerprints(rows, [F.col("__id"), F.col("__hash")], text, words, WIDE_BITS, distinct=True))
     fp = F.struct("fp0", "fp1")
     per_row = prints.groupBy("fp0", "fp1", "__id", "__hash").count()
@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     linked = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*")
     wanted = linked.join(nodes, ["fp0", "fp1"]).select("fp0", "fp1", F.col("best.i").alias("id"), F.col("best.h").alias("h"))
-    texts = rows.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("h"))).select(F.col(text).alias("text"), "fp0", "fp1")
+    bare = rows.select("__id", "__hash", F.col(text).alias("text"))
+    texts = bare.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("h"))).select("text", "fp0", "fp1")
     sets = _shingle_sets(texts, words).groupBy("fp0", "fp1").agg(F.max("parts").alias("parts")).select(fp.alias("node"), "parts")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sure = pairs.select("a", "b", "pa", "pb").mapInArrow(checked, f"a {kind}, b {kind}")
     groups = connected_components(sure)
     of = nodes.select(fp.alias("node"), "best").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = of.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.i").alias("id"), F.col("best.h").alias("h"), F.col("best.c").alias("c"))
-    stay = rows.join(keep, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("h")))
-    stay = stay.where("c = 1").select(*docs.columns).unionByName(stay.where("c > 1").dropDuplicates(["id", "h"]).select(*docs.columns))
-    return stay
+    keep = of.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.i").alias("__keep"), F.col("best.h").alias("__text"), F.col("best.c").alias("__rows"))
+    stay = rows.join(keep, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__hash") == F.col("__text")))
+    repeated = stay.where("__rows > 1").dropDuplicates(["__keep", "__text"])
+    return stay.where("__rows = 1").select(*docs.columns).union(repeated.select(*docs.columns))
