@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlake.llm import bpe, mixing, quality, sharding
+from momentlake.llm import bpe, embed_dedup, mixing, quality, sharding, topk
 from momentlake.llm.simhash import fingerprint_components
 
 
@@ -36,10 +36,18 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.linked(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_quality_classifier, op4_source_mixing, op5_sharding, op7_simhash_near_dedup, op9_byte_bpe)
+    found = (op2_exact_top_k, op3_quality_classifier, op4_source_mixing, op5_sharding, op7_simhash_near_dedup, op9_byte_bpe, op10_embedding_near_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": mixing.TAKEN_SQL}
+    return {"op2_exact_top_k": topk.TOP_SQL, "op10_embedding_near_dedup": embed_dedup.LINKED_SQL, "op4_source_mixing": mixing.TAKEN_SQL}
