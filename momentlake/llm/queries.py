@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlake.llm import bpe, embed_dedup, mixing, quality, sharding, topk
+from momentlake.llm import bpe, chat, embed_dedup, html_extract, mixing, quality, sharding, topk, url_filter
 from momentlake.llm.simhash import fingerprint_components
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_table(spark, sf_dir, "conversations"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_components(_table(spark, sf_dir, "documents")).withColumnRenamed("fp", "fingerprint")
 
@@ -31,11 +35,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -45,9 +57,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_exact_top_k, op3_quality_classifier, op4_source_mixing, op5_sharding, op7_simhash_near_dedup, op9_byte_bpe, op10_embedding_near_dedup)
+    found = (
+        op1_url_filter, op2_exact_top_k, op3_quality_classifier, op4_source_mixing, op5_sharding, op6_chat_formatting,
+        op7_simhash_near_dedup, op8_html_extraction, op9_byte_bpe, op10_embedding_near_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": topk.TOP_SQL, "op10_embedding_near_dedup": embed_dedup.LINKED_SQL, "op4_source_mixing": mixing.TAKEN_SQL}
+    return {
+        "op1_url_filter": url_filter.JUDGED_SQL,
+        "op2_exact_top_k": topk.TOP_SQL,
+        "op4_source_mixing": mixing.TAKEN_SQL,
+        "op6_chat_formatting": chat.FORMATTED_SQL,
+        "op10_embedding_near_dedup": embed_dedup.LINKED_SQL,
+    }
