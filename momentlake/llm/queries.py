@@ -69,6 +69,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": url_filter.JUDGED_SQL,
         "op2_exact_top_k": topk.TOP_SQL,
         "op4_source_mixing": mixing.TAKEN_SQL,
+        "op5_sharding": sharding.SHARDED_SQL,
         "op6_chat_formatting": chat.FORMATTED_SQL,
         "op10_embedding_near_dedup": embed_dedup.LINKED_SQL,
     }

@@ -49,3 +49,29 @@ def sharded(docs: DataFrame, shards: int = SHARDS, weights: list[float] | None =
     numbered = placed.withColumn("__before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).join(start, ["shard", "__block"])
     slots = F.sequence(F.col("start") + F.col("__before"), F.col("start") + F.col("__before") + F.col("n") - 1)
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(slots).alias("slot"), "grown_shard")
+
+
+SHARDED_SQL = """
+WITH RECURSIVE step(i, v, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM step WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8),
+b AS (
+  SELECT row_number() OVER () AS r, doc_id, text,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+  FROM documents),
+d AS (
+  SELECT r, doc_id, len(bytes) + 1 AS size,
+         CASE WHEN text IS NULL THEN NULL
+              ELSE xor(list_reduce(bytes, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295::BIGINT), 4294967295) END AS text_crc32
+  FROM b, tab),
+s AS (
+  SELECT r, k, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || k), 1, 13))::BIGINT AS h FROM d, range(17) t(k)),
+p AS (
+  SELECT r, arg_max(k, h) FILTER (WHERE k < 16) AS shard, arg_max(k, h) AS grown_shard FROM s GROUP BY r)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1)::BIGINT AS slot,
+       grown_shard::INTEGER AS grown_shard
+FROM d JOIN p USING (r)
+"""
