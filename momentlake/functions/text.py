@@ -59,9 +59,12 @@ def words(text: Column) -> Column:
 
 def grams(normal: Column, n: int = 3) -> Column:
     """Distinct n-grams of characters; a shorter text is its own gram, an empty one has none."""
+    chars = F.split(normal, "")
     size = F.length(normal)
-    slid = F.transform(F.sequence(F.lit(1), F.greatest(size - F.lit(n - 1), F.lit(1))), lambda i: F.substr(normal, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(slid))
+    slid = F.slice(chars, F.lit(1), F.greatest(size - (n - 1), F.lit(0)))
+    for k in range(1, n):  # zipped slices are linear; a substring for each place would be quadratic
+        slid = F.zip_with(slid, F.slice(chars, F.lit(1 + k), F.greatest(size - (n - 1), F.lit(0))), lambda a, b: F.concat(a, b))
+    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(normal)).otherwise(F.array_distinct(slid))
 
 
 def jaccard(a: Column, b: Column) -> Column:

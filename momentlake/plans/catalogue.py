@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlake.plans import rule_queries
+from momentlake.plans import rule_queries, text_queries
 
-AREAS = (rule_queries,)
+AREAS = (text_queries, rule_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
