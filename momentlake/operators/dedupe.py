@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +87,6 @@ def _ratio(a, b):
 
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff and Obershelp's ratio of the raw texts in lower case; depends on the order of a and b."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(_ratio(x, y))
