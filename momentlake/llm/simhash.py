@@ -30,6 +30,8 @@ from momentlake.plans.lineage import cut
 SEED = 42
 #: Rows of a bucket that one task compares with each other.
 CHUNK = 4096
+#: Crowded keys that are broadcast; beyond it the join shuffles.
+MOST_BROADCAST = 100_000
 #: Rows collected before a comparison starts.
 BATCH = 1 << 16
 
@@ -122,14 +124,20 @@ def links_in_buckets(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFr
     ``rows``: key and the print's words fp0.. ; a and b are structs of those words.
     """
     names = [c for c in rows.columns if c != "key"]
-    crowded = rows.groupBy("key").count().where("count > 1")
-    dealt = (
-        rows.join(crowded, "key")
-        .withColumn("chunks", F.ceil(F.col("count") / F.lit(chunk)).cast("int"))
-        .withColumn("side", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi"), "side", *names)
-    )
+    crowded = cut(rows.groupBy("key").count().where(F.col("count") > chunk))
+    hot = crowded.count()
+    if hot:  # at most one key in ``chunk`` rows
+        side = F.broadcast(crowded) if hot <= MOST_BROADCAST else crowded
+        chunks = F.coalesce(F.ceil(F.col("count") / F.lit(chunk)), F.lit(1)).cast("int")
+        dealt = (
+            rows.join(side, "key", "left")
+            .withColumn("chunks", chunks)
+            .withColumn("side", F.pmod(F.xxhash64(*names), F.col("chunks")).cast("int"))
+            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select("key", F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi"), "side", *names)
+        )
+    else:
+        dealt = rows.select("key", *(F.lit(0).alias(c) for c in ("lo", "hi", "side")), *names)
     dealt = dealt.repartition(F.col("key"), F.col("lo"), F.col("hi")).sortWithinPartitions("key", "lo", "hi", *names)
     struct = "struct<" + ", ".join(f"{n}: bigint" for n in names) + ">"
     kind = pa.struct([(n, pa.int64()) for n in names])
