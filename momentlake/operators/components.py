@@ -1,12 +1,12 @@
 """Connected components of an undirected graph, by local contraction.
 
-Each round every node points to the neighbour (or itself) with the smallest hash for
-that round, and the edges are relabelled by those pointers. Hashes change with the
-round, so chains shrink by a constant factor in expectation and the number of rounds is
-logarithmic. A round is one partially aggregated minimum and two equi-joins, which
-adaptive execution can split when a hub is hot; nothing is collected to the driver.
-(After Lacki, Mirrokni and Wlodarczyk, "Connected components at scale via local
-contractions", 2018.)
+Each round every node points to the node with the smallest hash for that round within
+two steps, and the edges are relabelled by those pointers. Two steps let a star fall
+together at once, whatever its centre's hash; hashes change with the round, so chains
+shrink by a constant factor in expectation and the number of rounds is logarithmic. A
+round is two partially aggregated minima and three equi-joins, which adaptive execution
+can split when a hub is hot; nothing is collected to the driver. (After Lacki, Mirrokni
+and Wlodarczyk, "Connected components at scale via local contractions", 2018.)
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentlake.plans.lineage import cut
+from momentlake.plans.lineage import Scratch, cut
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -28,23 +28,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Loops count as nodes; rows with a null end are no edges. Repeated and reversed
     edges change nothing. An empty input gives an empty result.
     """
-    raw = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    nodes = raw.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    left = cut(_undirected(raw))
+    scratch = Scratch(edges.sparkSession)
+    raw = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
+    raw = scratch.table(raw)
+    way = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"))
+    left = scratch.table(_undirected(raw))
     pointers: list[DataFrame] = []
     while not left.isEmpty():
-        rank = lambda c, r=len(pointers): F.struct(F.xxhash64(c, F.lit(r)).alias("h"), c.alias("n"))
-        both = left.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
-        to = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("best"))
-        to = cut(to.select("u", F.least(F.col("best"), rank(F.col("u")))["n"].alias("to")))
+        rank = lambda c, r=len(pointers): F.struct(F.xxhash64(c, F.lit(r)).alias("h"), F.col(c).alias("n"))
+        both = left.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("e.*")
+        near = both.groupBy("u").agg(F.min(rank("v")).alias("best")).select(F.col("u").alias("v"), F.least(F.col("best"), rank("u")).alias("best"))
+        to = both.join(near, "v").groupBy("u").agg(F.min("best")["n"].alias("to"))
+        to = scratch.table(to)
         pointers.append(to)
-        ta = to.select(F.col("u").alias("a"), F.col("to").alias("ta"))
-        tb = to.select(F.col("u").alias("b"), F.col("to").alias("tb"))
-        moved = left.join(ta, "a").join(tb, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-        left = cut(_undirected(moved))
-    found = nodes.withColumn("root", F.col("node"))
+        moved = left.join(to.select(F.col("u").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("u").alias("b"), F.col("to").alias("tb")), "b")
+        left = scratch.table(_undirected(moved.select(F.col("ta").alias("a"), F.col("tb").alias("b"))))
+    found = raw.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     for to in pointers:
         found = found.join(to.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     found = cut(found)
+    scratch.drop()
     least = found.groupBy("root").agg(F.min("node").alias("component"))
     return found.join(least, "root").select("node", "component")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from momentlake.operators import dedupe, graph, jobs, rules, stats
 from momentlake.plans import sql as S
-from momentlake.plans.lineage import shared_folder
+from momentlake.plans.lineage import cut, shared_folder
 from momentlake.plans.rule_queries import CLAIMS_CTE, ENTITIES_CTE, IDEAS_CTE, TECHNICAL_CTES, entities_cte
 from momentlake.plans.search_queries import DUPS_CTES, plain
 from momentlake.sources import tables
@@ -31,7 +31,8 @@ def query(sql: str | None = None):
 
 def _tables(spark: SparkSession, sf_dir: str) -> graph.Tables:
     m = moments(spark, sf_dir)
-    return graph.Tables(videos(spark, sf_dir), m, rules.ideas(m), rules.technical(m), dedupe.exact_duplicates(plain(spark, sf_dir)))
+    derived = (rules.ideas(m), rules.technical(m), dedupe.exact_duplicates(plain(spark, sf_dir)))
+    return graph.Tables(videos(spark, sf_dir), m, *map(cut, derived))  # each is read several times
 
 
 _VIDEOS_CTE = "v AS (SELECT DISTINCT source AS video_id, 'Video ' || source AS title, 'local' AS source FROM documents)"
@@ -120,7 +121,7 @@ UNION ALL SELECT 'linked', count(*)::DOUBLE FROM reach""",
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals; components are told as nodes without edges and the size of the largest linked part."""
     t = _tables(spark, sf_dir)
-    n, e = graph.nodes(t), graph.edges(t)
+    n, e = cut(graph.nodes(t)), cut(graph.edges(t))
     c = graph.components(n, e).groupBy("component").agg(F.count("*").alias("size"))
     told = c.agg(F.count_if(F.col("size") == 1).alias("components"), F.max("size").alias("linked"))
     told = told.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in ("components", "linked")))).alias("p")).select("p.*")

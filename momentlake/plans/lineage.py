@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as a checkpoint and return a frame that reads it back."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables written to the shared folder for the length of an iteration.
+
+    A checkpoint keeps the size that the planner had guessed for it, and guesses multiply
+    from round to round; a table has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

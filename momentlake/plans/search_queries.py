@@ -9,9 +9,10 @@ from momentlake.functions import rules as R
 from momentlake.functions import text as T
 from momentlake.operators import dedupe, evaluate, rules, search, vectors
 from momentlake.plans import sql as S
+from momentlake.plans.lineage import cut
 from momentlake.plans.rule_queries import IDEAS_CTE, TECHNICAL_CTES
 from momentlake.plans.text_queries import snippet_sql
-from momentlake.sources.corpus import moments, table
+from momentlake.sources.corpus import moments, spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of the bare documents, for duplicates: no added phrase, no screen text."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.col("doc_id").alias("ord"), F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("moment_id"), F.col("source").alias("video_id"), F.coalesce("text", F.lit("")).alias("transcript_text"), F.lit("").alias("ocr_text"))
 
 
@@ -283,7 +284,7 @@ _FEATURE_CTES = (*_SUMMARY, *TECHNICAL_CTES, _PAIRS_CTE, _EDGE_COUNTS, f"feat AS
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = moments(spark, sf_dir)
-    i, e = rules.ideas(m), rules.technical(m)
+    i, e = cut(rules.ideas(m)), cut(rules.technical(m))  # read as tables and as edges
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c))
     edge = lambda df, a, b, kind: df.select(a.alias("source_node_id"), b.alias("target_node_id"), F.lit(kind).alias("edge_type"))
     mi = node("moment", "moment_id")

@@ -31,9 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores: a small input in fewer files than cores is dealt out, others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, moment_id, video_id, title, start_sec, end_sec, transcript_text, ocr_text."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     pick = lambda given: F.element_at(F.array(*map(F.lit, given)), (F.pmod(F.col("doc_id"), F.lit(len(given))) + 1).cast("int"))
     return d.select(
         F.col("doc_id").alias("ord"),
