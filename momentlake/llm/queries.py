@@ -20,7 +20,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_components(_table(spark, sf_dir, "documents")).withColumnRenamed("fp", "fingerprint")
+    return fingerprint_components(_table(spark, sf_dir, "documents"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

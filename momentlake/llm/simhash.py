@@ -168,7 +168,7 @@ def links_in_buckets(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFr
 
 
 def fingerprint_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row: 64-bit prints linked within ``radius``.
+    """``doc_id, fingerprint, component_id`` of every row: 64-bit prints linked within ``radius``.
 
     The search is exact. component_id is the smallest id whose print can be reached; null
     only where all ids reached are null.
@@ -186,7 +186,7 @@ def fingerprint_components(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 #: For near_duplicates: at the similarity s asked for a pair differs in acos(2 s / (1 + s)) / pi of
 #: the bits on average, so wide prints keep the spread around that small.
-WIDE_BITS, TABLES, KEY_BITS = 128, 56, 16
+WIDE_BITS, TABLES, KEY_BITS = 128, 48, 12
 
 
 def radius_for(similarity: float, bits: int = WIDE_BITS, spreads: float = 3.0) -> int:
