@@ -1,9 +1,9 @@
 """The match language of full-text search: from a string to a tree.
 
-Words are joined by AND unless OR, AND, NOT (in capitals) or brackets say otherwise;
-``"a b"`` is a phrase, ``w*`` a prefix, ``field: x`` restricts to a field and
-``NEAR(a b, n)`` asks for at most n terms in between. AND and NOT bind more closely than
-OR. What is no sentence of this language is one phrase.
+Words side by side must all be there; OR, AND, NOT (in capitals) and brackets join them
+otherwise, NOT before AND before OR. ``"a b"`` is a phrase, ``w*`` a prefix, ``field: x``
+restricts to a field and ``NEAR(a b, n)`` asks for at most n terms in between. What is no
+sentence of this language is one phrase.
 """
 
 from __future__ import annotations
@@ -70,13 +70,10 @@ class _Parser:
 
     def both(self):
         out = self.without()
-        while True:
-            kind, value = self.peek()
-            if (kind, value) == ("word", "AND"):
-                self.at += 1
-            elif kind == "end" or (kind, value) in (("word", "OR"), ("mark", ")")):
-                return out
+        while self.peek() == ("word", "AND"):
+            self.at += 1
             out = Op("AND", out, self.without())
+        return out
 
     def without(self):
         out = self.one()
@@ -86,15 +83,23 @@ class _Parser:
         return out
 
     def one(self):
-        kind, value = self.peek()
-        if (kind, value) == ("mark", "("):
+        """A bracket, or phrases side by side, which are joined before any operator counts."""
+        if self.peek() == ("mark", "("):
             self.at += 1
             out = self.either()
             self.take(")")
             return out
-        if kind == "word" and value == "NEAR" and self.lexed[self.at + 1 : self.at + 2] == [("mark", "(")]:
+        out = self.leaf()
+        while self.peek()[0] == "quoted" or (self.peek()[0] == "word" and self.peek()[1] not in ("AND", "OR", "NOT")):
+            out = Op("AND", out, self.leaf())
+        return out
+
+    def leaf(self):
+        kind, value = self.peek()
+        after = self.lexed[self.at + 1 : self.at + 2]
+        if kind == "word" and value == "NEAR" and after == [("mark", "(")]:
             return self.near()
-        if kind == "word" and value in FIELDS and self.lexed[self.at + 1 : self.at + 2] == [("mark", ":")]:
+        if kind == "word" and value in FIELDS and after == [("mark", ":")]:
             self.at += 2
             p = self.phrase()
             return Phrase(p.text, p.prefix, value)

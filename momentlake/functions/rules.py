@@ -142,18 +142,18 @@ def re2(pattern: str, ignore_case: bool = False) -> str:
     if out.startswith(r"\b"):
         out = rf"(?:^|[^{_WORD}])" + out[2:]
     out = out.replace(r"\b", rf"(?:$|[^{_WORD}])")
-    for cls, long in ((r"\S", _NOT_SPACE), (r"\w", f"[{_WORD}]"), (r"\s", f"[{_SPACE}]")):
-        out = _spelled(out, cls, long)
-    return ("(?i)" if ignore_case else "") + out
+    return ("(?i)" if ignore_case else "") + _spelled(out)
 
 
-def _spelled(pattern: str, cls: str, long: str) -> str:
-    """Replace a class outside and inside of brackets."""
+def _spelled(pattern: str) -> str:
+    """Write classes out, outside and inside of brackets; the boundaries' own are so already."""
+    long = {r"\S": _NOT_SPACE, r"\w": f"[{_WORD}]", r"\s": f"[{_SPACE}]"}
     out, inside, k = "", False, 0
     while k < len(pattern):
         two = pattern[k : k + 2]
-        if two == cls:
-            out += long[1:-1] if inside and not long.startswith("[^") else long
+        if two in long:
+            full = long[two]
+            out += full[1:-1] if inside and two != r"\S" else full
             k += 2
             continue
         if two[0] == "\\":
