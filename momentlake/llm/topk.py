@@ -14,8 +14,8 @@ k + 1, before anything is dealt out, so copies cost nothing.
 
 Vectors that are null or hold null or non-finite components take no part. Shorter vectors
 count as padded with zeros. A null id is no query and comes after the others in ties.
-Repeated rows are candidates of each other, and each is a query. Scores beyond 64 bits
-stop at the limits.
+Repeated rows are candidates of each other, and each is a query. Scores stop at the
+limits of 64 bits and are ranked so.
 """
 
 from __future__ import annotations
@@ -49,9 +49,14 @@ def _integers(x: np.ndarray) -> np.ndarray:
     return np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
 
 
+def _clipped(scores: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size, stopped at the limits of 64 bits."""
+    return np.array([[max(-(2**63), min(2**63 - 1, s)) for s in row] for row in scores], object).reshape(scores.shape)
+
+
 def best_of(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row of q its k best rows of x: arrays query, candidate, score; ties to earlier x."""
-    plain = not q.size or not x.size or q.shape[1] * np.abs(q).max() * np.abs(x).max() < 2.0**53
+    plain = not q.size or not x.size or q.shape[1] * np.abs(q).max() < 2.0**53 / max(np.abs(x).max(), 1.0)
     tops = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     limit = np.full(len(q), -np.inf)
     if not plain:
@@ -70,7 +75,7 @@ def best_of(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
                 qi, xi = qi[ok], xi[ok]
             score = np.einsum("ij,ij->i", q[qi], block[xi])
         else:
-            whole = q @ block.T if plain else q.dot(block.T)
+            whole = q @ block.T if plain else _clipped(q.dot(block.T))
             if plain and len(block) > k:  # only what reaches the block's own k-th score can stay
                 limit = np.maximum(limit, np.partition(whole, len(block) - k, axis=1)[:, len(block) - k])
             qi, xi = np.nonzero(whole >= limit[:, None])
@@ -128,7 +133,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec
             have = t.filter(pa.array(~asks))
             have = have.take(pa.array(np.repeat(np.arange(len(have)), np.minimum(np.asarray(have["rows"]), k + 1))))
             qi, xi, score = best_of(matrix(ask, width), matrix(have, width), k + 1)
-            whole = np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in score], np.int64)
+            whole = np.array([int(s) for s in score], np.int64)
             got = [ask["id"].take(pa.array(qi)), ask["key"].take(pa.array(qi)), ask["rows"].take(pa.array(qi)), have["id"].take(pa.array(xi)), have["key"].take(pa.array(xi)), pa.chunked_array([pa.array(whole)])]
             return pa.RecordBatch.from_arrays([c.combine_chunks() for c in got], names=["query_id", "query_key", "query_rows", "vec_id", "key", "score"])
 
