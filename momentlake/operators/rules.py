@@ -122,8 +122,11 @@ def technical(moments: DataFrame) -> DataFrame:
     return found.select(ident.alias("evidence_id"), "moment_id", "modality", "pos", "content", "confidence")
 
 
-def _mentions(text: Column, known: tuple[str, ...], packages: tuple[str, ...]) -> Column:
-    """Array of (label, entity_type): classes in order, by place in the text or the list inside a class."""
+def _mentions(text: Column, low: Column, known: tuple[str, ...], packages: tuple[str, ...]) -> Column:
+    """Array of (label, entity_type): classes in order, by place in the text or the list inside a class.
+
+    A listed term is looked for as a plain substring of ``low`` before its pattern is tried.
+    """
 
     def of(kind: str, found: Column) -> Column:
         return F.transform(found, lambda x: F.struct(x.alias("label"), F.lit(kind).alias("entity_type")))
@@ -133,13 +136,14 @@ def _mentions(text: Column, known: tuple[str, ...], packages: tuple[str, ...]) -
     acronyms = every(R.ACRONYMS)
     paths = F.filter(every(R.ENTITY_PATHS), lambda x: (F.length(x) >= 3) & ~x.rlike(r"[.,)]$"))
     code = F.filter(F.transform(F.concat(*map(every, R.ENTITY_CODE)), lambda x: F.rtrim(x, F.lit(")"))), lambda x: F.length(x) >= 4)
-    listed = lambda terms: F.filter(F.array(*(F.when(text.rlike(R.java(rf"(?<![a-zA-Z])\Q{t}\E(?![a-zA-Z])", True)), t) for t in terms)), lambda x: x.isNotNull())
+    listed = lambda terms: F.filter(F.array(*(F.when(F.contains(low, F.lit(t.lower())) & text.rlike(R.java(rf"(?<![a-zA-Z])\Q{t}\E(?![a-zA-Z])", True)), t) for t in terms)), lambda x: x.isNotNull())
     return F.concat(of("capitalized_phrase", phrases), of("acronym", acronyms), of("file_path", paths), of("code_identifier", code), of("known_term", listed(known)), of("package", listed(packages)))
 
 
 def entities(df: DataFrame, key: str, text: Column, known: tuple[str, ...] = R.KNOWN_TERMS, packages: tuple[str, ...] = R.PACKAGES) -> DataFrame:
     """``key, pos, label, entity_type`` of each row's text; of labels that differ in case the first stays."""
-    found = df.select(key, _mentions(text, known, packages).alias("found"))
+    given = df.select(key, text.alias("__text"), F.lower(text).alias("__low"))
+    found = given.select(key, _mentions(F.col("__text"), F.col("__low"), known, packages).alias("found"))
     keyed = found.select(key, "found", F.transform("found", lambda x: F.lower(x["label"])).alias("keys"))
     first = F.transform(F.array_distinct("keys"), lambda k: F.element_at(F.col("found"), F.array_position(F.col("keys"), k).cast("int")))
     return keyed.select(key, F.posexplode(first).alias("pos", "e")).select(key, "pos", "e.label", "e.entity_type")

@@ -209,7 +209,7 @@ def _results(spark: SparkSession, sf_dir: str, text: str = QUERY, video: str | N
     found = search.match(search.build_index(m), text)
     if video is not None:
         found = found.join(m.where(F.col("video_id") == video).select("moment_id"), "moment_id", "left_semi")
-    return search.results(m, found, text, 10, search.idea_summaries(rules.ideas(m)))
+    return search.results(m, found, text, 10, rules.ideas)
 
 
 _AND = FTS["fts_bm25_and"][1]
