@@ -57,7 +57,7 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
     ``sets``: id and tokens (distinct). Tokens are ordered by how rare they are; two sets
     that similar share one of their first ``|x| - ceil(t |x|) + 1`` tokens, and their sizes
-    differ by a factor of t at most (prefix and length filters). Equal sets are joined
+    differ by a factor of t at most (prefix, length and position filters). Equal sets are joined
     through one representative of each, so copies don't multiply. Empty sets are alike.
     """
     if threshold <= 0:
@@ -68,10 +68,14 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     one = distinct.where("n > 0").select("s", "n", F.explode("tokens").alias("t"))
     counts = one.groupBy("t").agg(F.count("*").alias("df"))
     ordered = one.join(counts, "t").withColumn("k", F.row_number().over(Window.partitionBy("s", "n").orderBy("df", "t")))
-    prefix = ordered.where((F.col("df") > 1) & (F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - eps) + 1)).select("s", "n", "t")
-    left, right = prefix.select(F.col("s").alias("sa"), F.col("n").alias("na"), "t"), prefix.select(F.col("s").alias("sb"), F.col("n").alias("nb"), "t")
+    prefix = ordered.where((F.col("df") > 1) & (F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - eps) + 1)).select("s", "n", "t", "k")
+    side = lambda x: prefix.select("t", *(F.col(c).alias(f"{c}{x}") for c in ("s", "n", "k")))
+    left, right = side("a"), side("b")
     near = left.join(right, "t").where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("sa") < F.col("sb"))))
-    near = near.where(F.col("na") >= F.col("nb") * threshold - eps).select("sa", "sb").distinct()
+    near = near.where(F.col("na") >= F.col("nb") * threshold - eps)
+    # from the first shared token on, no more than the shorter rest can be shared; later ones allow less still
+    most = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) + 1
+    near = near.where(most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - eps).select("sa", "sb").distinct()
     of = distinct.select("s", "tokens")
     checked = near.join(of.select(F.col("s").alias("sa"), F.col("tokens").alias("ta")), "sa").join(of.select(F.col("s").alias("sb"), F.col("tokens").alias("tb")), "sb")
     similar = checked.select("sa", "sb", T.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold - eps)
