@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from momentlake.sources.files import decoded, with_empty
+
 #: Of one video's files the first of these is read.
 EXTENSIONS = ("vtt", "srt", "txt", "json")
 BLANK = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -12,10 +14,12 @@ BLANK = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """video_id, kind, text of the transcript of each video in a folder: one file each, by extension."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select("value", F.input_file_name().alias("path"))
-    name = F.regexp_extract("path", r"([^/]+)\.([A-Za-z0-9]+)$", 1)
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    files = files.select(name.alias("video_id"), kind.alias("kind"), F.regexp_replace("value", "^﻿", "").alias("text")).where(F.col("kind").isin(*EXTENSIONS))
+    scan = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("file"), "value")
+    files, path = with_empty(spark, scan, "file", EXTENSIONS), decoded(F.col("file"))
+    name = F.regexp_extract(path, r"([^/]+)\.([A-Za-z0-9]+)$", 1)
+    kind = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    text = F.regexp_replace(F.coalesce("value", F.lit("")), "^﻿", "")
+    files = files.select(name.alias("video_id"), kind.alias("kind"), text.alias("text"))
     order = F.array_position(F.array(*map(F.lit, EXTENSIONS)), F.col("kind"))
     return files.groupBy("video_id").agg(F.min_by(F.struct("kind", "text"), order).alias("f")).select("video_id", "f.*")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentlake.functions.text import short_hash
+from momentlake.sources.files import decoded, with_empty
 
 # Hosts of the known providers and extensions of media files.
 SHORT_HOSTS = ("youtu.be", "www.youtu.be")
@@ -53,6 +54,6 @@ def source_list(lines: DataFrame) -> DataFrame:
 
 def media_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, name, size of the media files of a folder, by extension; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"))
-    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return files.where(ext.isin(*MEDIA)).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size")
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.input_file_name().alias("file"), F.col("length").alias("size"))
+    path = decoded(F.col("file"))
+    return with_empty(spark, scan, "file", MEDIA).select(path.alias("path"), F.regexp_extract(path, r"([^/]+)$", 1).alias("name"), F.coalesce("size", F.lit(0)).alias("size"))

@@ -62,17 +62,20 @@ def test_transcript_files(spark, tmp_path):
     (tmp_path / "d.json").write_text('[{"start_sec": 1.0, "end_sec": 2.0, "text": "j"}]')
     (tmp_path / "e.txt").write_text("  ")
     (tmp_path / "f.mp4").write_text("")
+    (tmp_path / "g h+i.srt").write_text(SRT)
+    (tmp_path / "g h+i.vtt").write_text("")
+    (tmp_path / "j.MOV").write_text("x")
     files = transcripts.discover(spark, str(tmp_path))
-    assert {r.video_id: r.kind for r in files.collect()} == {"a": "srt", "b": "vtt", "c": "txt", "d": "json", "e": "txt"}
+    assert {r.video_id: r.kind for r in files.collect()} == {"a": "srt", "b": "vtt", "c": "txt", "d": "json", "e": "txt", "g h+i": "vtt"}
     got = {}
     for r in transcripts.parse(files).orderBy("video_id", "seq").collect():
         got.setdefault(r.video_id, []).append((r.start_sec, r.end_sec, r.text))
     assert got["a"] == [(1.0, 4.5, "Hello there"), (3600.25, 3601.0, "end")]
-    assert got["b"] == [(1.0, 4.0, "cue-1 Hi <b>you</b>"), (5.0, 6.0, "bye")] and got["d"] == [(1.0, 2.0, "j")] and "e" not in got
+    assert got["b"] == [(1.0, 4.0, "cue-1 Hi <b>you</b>"), (5.0, 6.0, "bye")] and got["d"] == [(1.0, 2.0, "j")] and "e" not in got and "g h+i" not in got
     times = got["c"]
     assert [t for *_, t in times] == ["One sentence here.", "Another!", "A last paragraph."] and times[0][0] == 0 and 29 < times[-1][1] <= 30
     assert all(abs(x[1] - y[0]) < 1e-9 for x, y in zip(times, times[1:]))
-    assert [r.name for r in web.media_files(spark, str(tmp_path)).collect()] == ["f.mp4"]
+    assert sorted((r.name, r.size) for r in web.media_files(spark, str(tmp_path)).collect()) == [("f.mp4", 0), ("j.MOV", 1)]
 
 
 def test_chunks_lose_nothing():
