@@ -10,7 +10,10 @@ trees and hashes are shuffled, and the hosts' templates are broadcast behind a s
 Template or not, what the markup names as menu, header, footer, sidebar, notice, advert,
 form, script, style or comments is left out, and where the page has an article (or main)
 only that is read. Headings and paragraphs inside an article are content always: copies
-of an article on a host must not make it template.
+of an article on a host must not make it template. An article that is itself classed as a
+comment or teaser isn't meant, nor one in a part that is left out, unless the page has no
+other. As in browsers, elements nested deeper than ``DEEPEST`` become siblings; no text is
+lost by that.
 
 Null and empty html gives an empty text. Urls without a host share one host. Repeated
 rows count once for a host's template. White space inside a block becomes one space,
@@ -34,6 +37,8 @@ from momentlake.plans.lineage import cut
 
 #: A slot is template if this share of at least so many different pages holds one text.
 CONSTANT, LEAST_PAGES = 0.8, 8
+#: Open elements at most.
+DEEPEST = 200
 #: Hosts whose templates are broadcast; beyond it the join shuffles.
 MOST_BROADCAST = 20_000
 
@@ -52,6 +57,8 @@ CHROME_ROLES = set("navigation banner contentinfo complementary search form dial
 CHROME_NAMES = set(
     "ad ads adv advert adverts advertisement advertisements adbox adsense banner banners sponsor sponsored promo promos promotion cookie cookies consent gdpr notice notices notification alert alerts popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets footer header masthead toolbar share sharing social related recommended comment comments commentlist reply replies disqus respond pagination pager skip login search form forms".split()
 )
+# Classes and ids of articles that are not the page's own.
+SIDE_NAMES = set("comment comments commentlist reply replies disqus related recommended promo promos sponsor sponsored advert advertisement teaser".split())
 MAIN_NAMES = set("article post entry content main story".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
@@ -62,12 +69,12 @@ _NAME = re.compile(r"[a-z0-9]+")
 class Node:
     """An element; ``parts`` are its texts and elements in order."""
 
-    __slots__ = ("chrome", "label", "main", "parts", "slot", "tag")
+    __slots__ = ("chrome", "holds", "label", "main", "parts", "slot", "tag")
 
     def __init__(self, tag: str, label: str, chrome: bool, main: int):
         self.tag, self.label, self.chrome, self.main = tag, label, chrome, main
         self.parts: list[str | Node] = []
-        self.slot = -1
+        self.slot, self.holds = -1, False
 
 
 @lru_cache(maxsize=4096)
@@ -80,6 +87,8 @@ def _facts(tag: str, attributes: str) -> tuple[str, bool, int]:
     role = given.get("role", "").lower()
     main = 4 if tag == "article" else 3 if tag == "main" or role == "main" else 2 if given.get("itemprop") == "articleBody" else 0
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
+    if any(n.lower() in SIDE_NAMES for n in named):
+        main = 0
     chrome = tag in CHROME_TAGS or role in CHROME_ROLES or hidden or (not main and tag not in ("html", "body", "header") and bool(names & CHROME_NAMES))
     if not main and not chrome and names & MAIN_NAMES and tag in ("div", "section", "td"):
         main = 1
@@ -107,6 +116,8 @@ def parse(text: str | None) -> Node:
             _close(stack, {"p"}, SCOPES | {"td", "th", "li", "button"})
         if tag in SIBLINGS:
             _close(stack, SIBLINGS[tag], SCOPES - {tag})
+        if len(stack) > DEEPEST:
+            stack.pop()
         node = Node(tag, *_facts(tag, m[3]))
         stack[-1].parts.append(node)
         if tag in RAW:
@@ -116,9 +127,18 @@ def parse(text: str | None) -> Node:
             stack.append(node)
     if at < len(text):
         stack[-1].parts.append(text[at:])
+    if not _mark(root, False):
+        _mark(root, True)
     return root
 
 
+def _mark(node: Node, anywhere: bool) -> bool:
+    """Note which elements hold a main part; one within what is left out counts if ``anywhere``."""
+    inner = [_mark(x, anywhere) or (x.main >= 3 and not x.chrome) for x in node.parts if isinstance(x, Node)]
+    node.holds = any(inner) and (anywhere or not node.chrome)
+    return node.holds
+
+
 def _close(stack: list[Node], tags: set[str], scopes: set[str]) -> None:
     """End the outermost open element of ``tags`` above the next of ``scopes``."""
     first = 0
@@ -242,16 +262,16 @@ def blocks_of(node: Node, template: frozenset[int] = frozenset(), inside: bool =
                 continue
             own = p.slot if p.slot >= 0 else slot
             if chrome:
-                if (p.chrome and not _holds_main(p)) or (p.tag == "header" and not inside and not _holds_main(p)):
+                if (p.chrome and not p.holds) or (p.tag == "header" and not inside and not p.holds):
                     flush(slot)
                     continue
-                if own in template and p.slot >= 0 and not _holds_main(p) and not (inside and p.tag in HEADINGS | {"p"}):
+                if own in template and p.slot >= 0 and not p.holds and not (inside and p.tag in HEADINGS | {"p"}):
                     flush(slot)
                     continue
             block = p.tag in BLOCKS
             if block:
                 flush(slot)
-            walk(p, own, inside or p.main >= 3, headings and p.tag not in HEADINGS or (chrome and p.tag == "header" and inside and not _holds_main(p)))
+            walk(p, own, inside or p.main >= 3, headings and p.tag not in HEADINGS or (chrome and p.tag == "header" and inside and not p.holds))
             if block:
                 flush(own)
 
@@ -260,10 +280,6 @@ def blocks_of(node: Node, template: frozenset[int] = frozenset(), inside: bool =
     return out
 
 
-def _holds_main(node: Node) -> bool:
-    return any(isinstance(x, Node) and (x.main >= 3 or _holds_main(x)) for x in node.parts)
-
-
 def _mains(root: Node) -> list[Node]:
     """The elements to read: articles, else a main part, else the largest named so, else all."""
     found: dict[int, list[Node]] = {}
@@ -271,7 +287,7 @@ def _mains(root: Node) -> list[Node]:
     def walk(x: Node) -> None:
         for p in x.parts:
             if isinstance(p, Node):
-                if p.chrome and not _holds_main(p):
+                if p.chrome and not p.holds:
                     continue
                 if p.main:
                     found.setdefault(p.main, []).append(p)

@@ -11,7 +11,10 @@ from momentlake.llm import html_extract as H
         ("<header>h</header><article><header><time>t</time><h1>T</h1></header><p>a<b>b</b><br>c</p><div class=ad>z</div><ul><li>q<li>r</ul><section id=comments><p>no</p></section></article><aside>s</aside><footer>f</footer>", "T\n\nab c\n\nq\n\nr"),
         ("<main><p>x</p><form><input>f</form></main><p>out</p>", "x"), ("<body class='has sidebar'><div id=content><p>k</p></div><div class='sidebar'>s</div></body>", "k"),
         ("<p>a<!-- b --><style>p{}</style>c", "ac"), ("<div hidden>x</div><div style='display: none'>y</div>z", "z"), ("<p>1 < 2</p>", "1 < 2"), ("<p>open", "open"),
-        ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n\n2\n\n3"), ("<div class=cookie-notice>c</div><div role=navigation>n</div><p>t</p>", "t"), ("<article><p>a</p></article><article class=comment><p>b</p></article>", "a\n\nb"),
+        ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n\n2\n\n3"), ("<div class=cookie-notice>c</div><div role=navigation>n</div><p>t</p>", "t"), ("<article><p>a</p></article><article class=comment><p>b</p></article>", "a"),
+        ("<article><p>a</p><section id=comments><article><p>b</p></article></section></article><aside><article><p>c</p></article></aside>", "a"),
+        ("<form id=page><article class='has-comments'><p>a</p></article></form>", "a"), ("<article hidden><p>a</p></article><p>b</p>", "b"),
+        ("<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<p>after</p>", "deep\n\nafter"), ("<b>" * 5000 + "x y", "x y"), ("<ul><li>q" * 3000, "\n\n".join(["q"] * 3000)),
     ],
 )
 def test_main_text(page, text):
