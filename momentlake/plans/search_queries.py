@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from momentlake.functions import rules as R
 from momentlake.functions import text as T
-from momentlake.operators import dedupe, evaluate, rules, search, vectors
+from momentlake.operators import assembly, dedupe, evaluate, rules, search, vectors
 from momentlake.plans import sql as S
 from momentlake.plans.lineage import cut
 from momentlake.plans.rule_queries import IDEAS_CTE, TECHNICAL_CTES
@@ -359,13 +359,13 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KNN = """e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.v, c.v), 4) AS score FROM e q JOIN e c ON q.vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.v, c.v), 4) AS score FROM e q JOIN e c ON q.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 
 def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return vectors.cosine_top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select("vec_id", "embedding"), 10)
+    return vectors.cosine_top_k(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select("vec_id", "embedding"), 10)
 
 
 @query(f"WITH {_KNN} SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM k WHERE rank <= 10")
@@ -383,6 +383,32 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.hybrid(text, near.select("query_id", F.col("vec_id").alias("item"), "score"), 8)
 
 
+_HASHED = lambda x: f"list_transform(range(64), lambda i: ('0x' || substr(sha256({x}), i + 1, 1))::INTEGER / 15.0::DOUBLE)"
+_SEMANTIC = (
+    f"st AS (SELECT *, {S.strip("coalesce(transcript_text, '') || ' ' || coalesce(ocr_text, '')")} AS t FROM m WHERE video_id = 'src1')",
+    f"sv AS (SELECT *, round(list_cosine_similarity({_HASHED('t')}, {_HASHED(S.q(QUERY))}), 4) AS score FROM st WHERE t <> '')",
+)
+
+
+@query(S.with_moments("SELECT moment_id, video_id, score, rank::INTEGER AS rank, 'semantic' AS reasons FROM (SELECT *, row_number() OVER (ORDER BY score DESC, ord) AS rank FROM sv) WHERE rank <= 10", *_SEMANTIC))
+def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moments of one video nearest to a query by vectors."""
+    return assembly.semantic(moments(spark, sf_dir).where(F.col("video_id") == "src1"), QUERY)
+
+
+@query(
+    S.with_moments(
+        "SELECT video_id, row_number() OVER (ORDER BY g, o)::INTEGER AS place, moment_id, transcript_snippet, score FROM (SELECT video_id, moment_id, transcript_snippet, score, 0 AS g, rank AS o FROM res WHERE rank <= 5 UNION ALL SELECT video_id, moment_id, substr(transcript_text, 1, 240), 0.5::DOUBLE, 1, p FROM an WHERE (n < 3 OR p IN (n // 4, n // 2, 3 * n // 4)) AND moment_id NOT IN (SELECT moment_id FROM res WHERE rank <= 5))",
+        *_POST, *_AND, *_SUMMARY, *_boosted(QUERY, 10, "video_id = 'src1'"),
+        "an AS (SELECT *, row_number() OVER (ORDER BY start_sec, moment_id) - 1 AS p, count(*) OVER () AS n FROM m WHERE video_id = 'src1')",
+    )
+)
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to tell of one video for a query: its best hits and its timeline anchors."""
+    m = moments(spark, sf_dir).where(F.col("video_id") == "src1")
+    return assembly.prompt_context(m, _results(spark, sf_dir, video="src1")).drop("timestamp_label")
+
+
 @query("SELECT 'hash' AS provider, len(embedding)::INTEGER AS dimension, count(*) AS n_vectors, count(DISTINCT label) AS n_labels FROM embeddings GROUP BY len(embedding)")
 def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.stats(table(spark, sf_dir, "embeddings").select(F.lit("hash").alias("provider"), F.col("embedding").alias("vector"), "label"))

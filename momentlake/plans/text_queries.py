@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentlake.functions import text as T
-from momentlake.operators import chunking
+from momentlake.operators import assembly, chunking
 from momentlake.plans import sql as S
 from momentlake.sources import transcripts, web
 from momentlake.sources.corpus import moments, table
@@ -242,3 +242,22 @@ def ocr_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def timeline_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.anchors(moments(spark, sf_dir))
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Conversations as videos, with screen texts from events."""
+    e = F.col("event_id")
+    videos = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id")).distinct().withColumn("duration_sec", F.lit(0.0))
+    seen = table(spark, sf_dir, "events").select((e % 500).alias("video_id"), (e % 600).cast("double").alias("timestamp_sec"), F.col("event_type").alias("text"), F.lit(0.9).alias("confidence"), F.concat(F.lit("frames/"), e.cast("string")).alias("path"))
+    return assembly.assemble(videos, _entries(spark, sf_dir), seen.drop("path"), seen.select("video_id", "timestamp_sec", "path"))
+
+
+@query()
+def ingest_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of parsed transcripts with their screen texts and hashes."""
+    return _assembled(spark, sf_dir)["moments"]
+
+
+@query()
+def ingest_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assembled(spark, sf_dir)["evidence"]
