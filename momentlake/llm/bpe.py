@@ -129,8 +129,9 @@ def _shared(df: DataFrame, rank_path: str, pattern: str):
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """All columns of ``df`` (``ids`` replaced where it exists) and the ids of the whole text."""
     codec = _shared(df, rank_path, pattern)
-    part = df.drop(ids).withColumn("__text", F.col(text))
-    schema = df.drop(ids).schema.add(ids, T.ArrayType(T.IntegerType()), False)
+    kept = [c for c in df.columns if c != ids]
+    part = df.select(*(F.col(c).alias(f"__c{k}") for k, c in enumerate(kept)), F.col(text).alias("__text"))
+    schema = part.drop("__text").schema.add("__made", T.ArrayType(T.IntegerType()), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
@@ -138,14 +139,15 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
             made = pa.array([c.encode(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=schema.names)
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(run, schema).toDF(*kept, ids)
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """All columns of ``df`` and the bytes of its ids; null ids give no bytes."""
     codec = _shared(df, rank_path, pattern)
-    part = df.drop(out).withColumn("__ids", F.col(ids))
-    schema = df.drop(out).schema.add(out, "binary", False)
+    kept = [c for c in df.columns if c != out]
+    part = df.select(*(F.col(c).alias(f"__c{k}") for k, c in enumerate(kept)), F.col(ids).alias("__ids"))
+    schema = part.drop("__ids").schema.add("__made", "binary", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
@@ -153,7 +155,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "token_ids",
             made = pa.array([c.decode(x or []) for x in b.column(b.num_columns - 1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=schema.names)
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(run, schema).toDF(*kept, out)
 
 
 def digests(df: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -181,4 +181,6 @@ def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs`` whose score is ``threshold`` or more, with their columns."""
     trees = train(docs, labels, max_labelled=max_labelled)
-    return score(docs, trees, [F.col(c) for c in docs.columns], out="__score").where(F.col("__score") >= threshold).drop("__score")
+    names = [f"__c{k}" for k in range(len(docs.columns))]  # columns of docs may be called like the ones made here
+    got = score(docs, trees, [F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], out="__score").where(F.col("__score") >= threshold)
+    return got.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

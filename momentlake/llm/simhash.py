@@ -221,8 +221,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     checked exactly on the whole texts. Equal prints count as copies. Of equal rows one
     stays; null ids sort last. Columns are those of ``docs``.
     """
-    rows = docs.withColumn("__id", F.col(doc_id)).withColumn("__hash", F.xxhash64(F.coalesce(text, F.lit(""))))
-    prints = cut(fingerprints(rows, [F.col("__id"), F.col("__hash")], text, words, WIDE_BITS, distinct=True))
+    names = [f"__c{k}" for k in range(len(docs.columns))]  # columns of docs may be called like the ones made here
+    own = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    body = F.col(names[docs.columns.index(text)])
+    rows = own.withColumns({"__id": F.col(names[docs.columns.index(doc_id)]), "__hash": F.xxhash64(F.coalesce(body, F.lit("")))})
+    prints = cut(fingerprints(rows, [F.col("__id"), F.col("__hash")], names[docs.columns.index(text)], words, WIDE_BITS, distinct=True))
     fp = F.struct("fp0", "fp1")
     per_row = prints.groupBy("fp0", "fp1", "__id", "__hash").count()
     best = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__hash").alias("h"), F.col("count").alias("c"))).alias("best")
@@ -232,7 +235,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     linked = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*")
     wanted = linked.join(nodes, ["fp0", "fp1"]).select("fp0", "fp1", F.col("best.i").alias("id"), F.col("best.h").alias("h"))
-    bare = rows.select("__id", "__hash", F.col(text).alias("text"))
+    bare = rows.select("__id", "__hash", body.alias("text"))
     texts = bare.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("h"))).select("text", "fp0", "fp1")
     sets = _shingle_sets(texts, words).groupBy("fp0", "fp1").agg(F.max("parts").alias("parts")).select(fp.alias("node"), "parts")
 
@@ -253,4 +256,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep = of.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.i").alias("__keep"), F.col("best.h").alias("__text"), F.col("best.c").alias("__rows"))
     stay = rows.join(keep, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__hash") == F.col("__text")))
     repeated = stay.where("__rows > 1").dropDuplicates(["__keep", "__text"])
-    return stay.where("__rows = 1").select(*docs.columns).union(repeated.select(*docs.columns))
+    back = [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+    return stay.where("__rows = 1").select(*back).union(repeated.select(*back))

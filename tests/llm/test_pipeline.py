@@ -24,6 +24,26 @@ def test_stages_take_effect(spark, tmp_path, prose):
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in mixed.collect()) and len(shingles(texts[0].encode(), 5)) > 0
 
 
+CLASH = ("score", "size", "copies", "count", "fp0", "best", "key", "n", "held_out", "__id", "__key", "__size", "__hash", "__text")
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path, prose):
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    schema = plain + ", " + ", ".join(f"`{c}` string" for c in CLASH)
+    odd = [(None, None, None, None, None), (1, None, "en", None, 0), (2, "", None, "s", 0), (2, "", None, "s", 0), (None, prose(50, 1), None, None, None), (3, prose(50, 1), "en", "s", 1), (4, "x" * 200_000, "en", "s", 1), (5, "a b " * 50_000, "en", "t", 1), (6, "one", "en", "t", 1)]
+    docs = spark.createDataFrame([(*r, *(f"{c}{k % 2}" for c in CLASH)) for k, r in enumerate(odd)], schema)
+    for name, rows in (("odd", docs), ("none", docs.limit(0)), ("bare", spark.createDataFrame([], plain))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        d = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, d, f"{tmp_path}/{name}").columns == d.columns
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (name == "odd") == bool(out) and all(len(r.ids_sha256) == 64 for r in out)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id, len(r.text or "")) for r in kept) == sorted((i, len(t or "")) for i, t, *_ in (odd[1], odd[5], *odd[6:]))
+
+
 def test_registered():
     names = {k.split("_")[0] for k in queries.queries()}
     assert names == {f"op{n}" for n in range(1, 11)} and set(corpus_pipeline.queries()) == {"pipeline"}
