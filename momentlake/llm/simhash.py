@@ -23,15 +23,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from momentlake.operators.components import connected_components
-from momentlake.plans.lineage import cut
+from momentlake.plans.lineage import Scratch, cut
 
 SEED = 42
 #: Rows of a bucket that one task compares with each other.
 CHUNK = 4096
 #: Crowded keys that are broadcast; beyond it the join shuffles.
 MOST_BROADCAST = 100_000
+#: Texts, about, in which common shingles are counted, and how many such shingles are sent to all tasks.
+SAMPLED, MOST_COMMON = 5000, 200_000
 #: Rows collected before a comparison starts.
 BATCH = 1 << 16
 
@@ -50,14 +53,23 @@ def fingerprint(parts: list[bytes], bits: int) -> bytes:
     """Little-endian fingerprint of 64 (XXH64) or 128 (XXH3) bits; zero for no parts."""
     if not parts:
         return bytes(bits // 8)
+    return _majority(_hashes(parts, bits))
+
+
+def _hashes(parts: list[bytes], bits: int) -> np.ndarray:
+    """A row of bytes for each shingle."""
     if bits == 64:
         h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)).view(np.uint8)
     else:
         h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, SEED) for x in parts]), np.uint8)
-    width = bits // 8
-    cells = (h.reshape(-1, width) + np.arange(width, dtype=np.intp) * 256).ravel()
+    return h.reshape(-1, bits // 8)
+
+
+def _majority(h: np.ndarray) -> bytes:
+    width = h.shape[1]
+    cells = (h + np.arange(width, dtype=np.intp) * 256).ravel()
     ones = np.bincount(cells, minlength=width * 256).reshape(width, 256) @ _BYTE_BITS
-    return np.packbits((2 * ones > len(parts)).ravel(), bitorder="little").tobytes()
+    return np.packbits((2 * ones > len(h)).ravel(), bitorder="little").tobytes()
 
 
 def fingerprints(docs: DataFrame, carry: list[Column], text: str = "text", words: int = 3, bits: int = 64, distinct: bool = False) -> DataFrame:
@@ -212,20 +224,107 @@ def _shingle_sets(part: DataFrame, words: int) -> DataFrame:
     return part.select("text", "fp0", "fp1").mapInArrow(sets, "fp0 long, fp1 long, parts array<long>")
 
 
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that a sample of the texts repeats, and in how many of its texts.
+
+    They only set the order of shingles in `_prefixed`; any order gives the same pairs.
+    """
+    share = max(1, rows.count() // SAMPLED)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                s = list(set(shingles(t, words)))
+                if s:
+                    yield pa.RecordBatch.from_arrays([pa.array(_hashes(s, WIDE_BITS).view(np.int64)[:, 0])], names=["key"])
+
+    some = rows.select("text", "__hash").distinct().where(F.pmod("__hash", F.lit(share)) == 0).select("text").mapInArrow(spread, "key long")
+    top = some.groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(MOST_COMMON).toArrow()
+    key, count = np.asarray(top["key"]), np.asarray(top["count"])
+    order = np.argsort(key)
+    return key[order], count[order]
+
+
+def _prefixed(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Each row's __id, __hash, print, number of distinct shingles, and prefix of their hashes.
+
+    Shingles are put in one order for all texts, common ones last. Two texts of the
+    similarity share a shingle among the first n - ceil(similarity * n) + 1 of each.
+    """
+    known = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
+    part = rows.select("__id", "__hash", "text")
+    schema = part.drop("text").schema.add("fp0", "long", False).add("fp1", "long", False).add("size", "integer", False).add("prefix", ArrayType(LongType()), False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = known.value
+        for b in batches:
+            prints, sizes, firsts = [], [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                s = list(set(shingles(t, words)))
+                if not s:
+                    prints.append(bytes(WIDE_BITS // 8))
+                    sizes.append(0)
+                    firsts.append(np.empty(0, np.int64))
+                    continue
+                h = _hashes(s, WIDE_BITS)
+                key = h.view(np.int64)[:, 0]
+                often = np.zeros(len(key), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                    often = np.where(common[at] == key, count[at], 0)
+                take = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
+                prints.append(_majority(h))
+                sizes.append(len(s))
+                firsts.append(key[np.lexsort((key, often))[:take]])
+            fp = np.frombuffer(b"".join(prints), np.int64).reshape(len(prints), -1)
+            made = [pa.array(np.ascontiguousarray(fp[:, k])) for k in range(2)] + [pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *made], names=[*b.schema.names[:2], "fp0", "fp1", "size", "prefix"])
+
+    return part.mapInArrow(run, schema)
+
+
+def _between(prints: DataFrame, groups: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Pairs a, b of prints of different groups that can reach the similarity: none is left out.
+
+    ``prints`` as `_prefixed` makes them; ``groups`` has node and component of the prints
+    that are linked already. Only keys that groups share are joined.
+    """
+    ends = lambda *names: [f(n).alias(f"{n}_{f.__name__}") for n in names for f in (F.min, F.max)]
+    differ = lambda x, y: f"{x}_min <> {x}_max or {y}_min <> {y}_max"
+    index = prints.select("fp0", "fp1", "size", F.explode("prefix").alias("key"))
+    several = scratch.table(index.groupBy("key").agg(*ends("fp0", "fp1")).where(differ("fp0", "fp1")).select("key"))
+    of = groups.select(F.col("node.fp0").alias("fp0"), F.col("node.fp1").alias("fp1"), F.col("component.fp0").alias("c0"), F.col("component.fp1").alias("c1"))
+    shared = index.join(several, "key").distinct().join(of, ["fp0", "fp1"], "left").withColumns({"c0": F.coalesce("c0", "fp0"), "c1": F.when(F.col("c0").isNull(), F.col("fp1")).otherwise(F.col("c1"))})
+    shared = scratch.table(shared)
+    crossing = shared.groupBy("key").agg(*ends("c0", "c1")).where(differ("c0", "c1")).select("key")
+    live = scratch.table(shared.join(crossing, "key"))
+    side = lambda x: live.select("key", F.struct("fp0", "fp1").alias(x), F.struct("c0", "c1").alias(f"c{x}"), F.col("size").alias(f"n{x}"))
+    size = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6
+    both = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
+    # of the text whose prefix ends first, only what stands behind the prefix can be shared besides
+    behind = F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9) - 1
+    least = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6
+    return both.where(F.col("n") + behind >= least).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, key_bits: int = KEY_BITS) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the one of the smallest id stays.
 
     Texts are near copies where the Jaccard similarity of their distinct word shingles is
-    ``similarity`` or more. 128-bit prints within `radius_for` propose the pairs; each
-    bucket hands on a minimum spanning forest, nearest pairs first, and those links are
-    checked exactly on the whole texts. Equal prints count as copies. Of equal rows one
-    stays; null ids sort last. Columns are those of ``docs``.
+    ``similarity`` or more. 128-bit prints within `radius_for` propose pairs first; each
+    bucket hands on a minimum spanning forest, nearest pairs first. That joins most copies
+    cheaply, whatever their number. Then `_between` proposes every pair of different groups
+    that can reach the similarity, by prefixes of the shingles. Both are checked exactly on
+    the whole texts. Equal prints count as copies. Of equal rows one stays; null ids sort
+    last. Columns are those of ``docs``.
     """
     names = [f"__c{k}" for k in range(len(docs.columns))]  # columns of docs may be called like the ones made here
     own = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
     body = F.col(names[docs.columns.index(text)])
+    scratch = Scratch(docs.sparkSession)
     rows = own.withColumns({"__id": F.col(names[docs.columns.index(doc_id)]), "__hash": F.xxhash64(F.coalesce(body, F.lit("")))})
-    prints = cut(fingerprints(rows, [F.col("__id"), F.col("__hash")], names[docs.columns.index(text)], words, WIDE_BITS, distinct=True))
+    bare = rows.select("__id", "__hash", body.alias("text"))
+    prints = scratch.table(_prefixed(bare, words, similarity))
     fp = F.struct("fp0", "fp1")
     per_row = prints.groupBy("fp0", "fp1", "__id", "__hash").count()
     best = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__hash").alias("h"), F.col("count").alias("c"))).alias("best")
@@ -233,12 +332,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     proposed = links_in_buckets(sampled_keys(nodes.select("fp0", "fp1"), WIDE_BITS, tables, key_bits), radius_for(similarity))
     proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    linked = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*")
-    wanted = linked.join(nodes, ["fp0", "fp1"]).select("fp0", "fp1", F.col("best.i").alias("id"), F.col("best.h").alias("h"))
-    bare = rows.select("__id", "__hash", body.alias("text"))
-    texts = bare.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("h"))).select("text", "fp0", "fp1")
-    sets = _shingle_sets(texts, words).groupBy("fp0", "fp1").agg(F.max("parts").alias("parts")).select(fp.alias("node"), "parts")
-
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -248,10 +341,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 ok.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
-    pairs = proposed.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
-    kind = proposed.schema["a"].dataType.simpleString()
-    sure = pairs.select("a", "b", "pa", "pb").mapInArrow(checked, f"a {kind}, b {kind}")
-    groups = connected_components(sure)
+    def sure(proposed: DataFrame) -> DataFrame:
+        linked = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*")
+        wanted = linked.join(nodes, ["fp0", "fp1"]).select("fp0", "fp1", F.col("best.i").alias("id"), F.col("best.h").alias("h"))
+        texts = bare.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("h"))).select("text", "fp0", "fp1")
+        sets = _shingle_sets(texts, words).groupBy("fp0", "fp1").agg(F.max("parts").alias("parts")).select(fp.alias("node"), "parts")
+        pairs = proposed.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+        kind = proposed.schema["a"].dataType.simpleString()
+        return pairs.select("a", "b", "pa", "pb").mapInArrow(checked, f"a {kind}, b {kind}")
+
+    links = cut(sure(proposed))
+    groups = connected_components(links)
+    between = cut(_between(prints, groups, similarity, scratch))
+    if not between.isEmpty():
+        groups = connected_components(links.union(sure(between)))
+    scratch.drop()
     of = nodes.select(fp.alias("node"), "best").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keep = of.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.i").alias("__keep"), F.col("best.h").alias("__text"), F.col("best.c").alias("__rows"))
     stay = rows.join(keep, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__hash") == F.col("__text")))

@@ -125,3 +125,27 @@ def test_recall_of_sampled_keys(spark, prose):
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
     kept = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert kept.count() <= 150 * 1.03
+
+
+def test_pairs_behind_failed_forest_links_are_found(spark, prose):
+    """A and B are copies of 0.8; related texts that are no copies of either lie nearer to both."""
+    rows, later = [], []
+    for k in range(40):
+        w = prose(400, 9000 + k).split()
+        a, b = list(w), list(w)
+        for at in range(8, 200, 48):
+            a[at] = f"left{k}"
+        for at in range(208, 400, 48):
+            b[at] = f"right{k}"
+        rows += [(1000 * k, " ".join(a)), (1000 * k + 1, " ".join(b))]
+        for n in range(30):  # half of the changes of each, and many words more
+            c = list(w)
+            for at in range(8, 400, 96):
+                c[at] = f"mid{k}"
+            later.append((1000 * k + 10 + n, " ".join(c) + " " + prose(60 + n, 100 * k + n)))
+    docs = spark.createDataFrame(rows + later, "doc_id long, text string")
+    sets = {i: set(simhash.shingles(t.encode(), 5)) for i, t in rows + later}
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    kept = [r.doc_id for r in simhash.near_duplicates(docs).collect()]
+    ids = [i for i in kept]
+    assert not [(i, j) for i in ids for j in ids if i < j and i // 1000 == j // 1000 and near(sets[i], sets[j])]
