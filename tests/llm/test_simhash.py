@@ -149,3 +149,10 @@ def test_pairs_behind_failed_forest_links_are_found(spark, prose):
     kept = [r.doc_id for r in simhash.near_duplicates(docs).collect()]
     ids = [i for i in kept]
     assert not [(i, j) for i in ids for j in ids if i < j and i // 1000 == j // 1000 and near(sets[i], sets[j])]
+
+
+def test_short_near_copies_are_all_found(spark, prose):
+    """Eight words and the same with one more: four of five shingles, a similarity of 0.8."""
+    rows = [row for k in range(400) for row in ((2 * k, f"w{k} " + prose(7, 100_000 + k)), (2 * k + 1, f"w{k} " + prose(7, 100_000 + k) + " added"))]
+    kept = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2 * k for k in range(400)]
