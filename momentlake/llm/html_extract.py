@@ -8,7 +8,8 @@ different pages is template, a slot that varies is content. All pages count; onl
 trees and hashes are shuffled, and the hosts' templates are broadcast behind a size check.
 
 Template or not, what the markup names as menu, header, footer, sidebar, notice, advert,
-form, script, style or comments is left out, and where the page has an article (or main)
+form, script, style or comments is left out (by any word of a class or id, inside a main
+part by whole names only), and where the page has an article (or main)
 only that is read. Headings and paragraphs inside an article are content always: copies
 of an article on a host must not make it template. An article that is itself classed as a
 comment or teaser isn't meant, nor one in a part that is left out, unless the page has no
@@ -59,6 +60,8 @@ CHROME_NAMES = set(
 )
 # Classes and ids of articles that are not the page's own.
 SIDE_NAMES = set("comment comments commentlist reply replies disqus related recommended promo promos sponsor sponsored advert advertisement teaser".split())
+# Inside a main part; what is classed as header there holds the title.
+INNER_NAMES = (CHROME_NAMES | SIDE_NAMES) - {"header"}
 MAIN_NAMES = set("article post entry content main story".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
@@ -69,17 +72,21 @@ _NAME = re.compile(r"[a-z0-9]+")
 class Node:
     """An element; ``parts`` are its texts and elements in order."""
 
-    __slots__ = ("chrome", "holds", "label", "main", "parts", "slot", "tag")
+    __slots__ = ("chrome", "holds", "inner", "label", "main", "parts", "slot", "tag")
 
-    def __init__(self, tag: str, label: str, chrome: bool, main: int):
-        self.tag, self.label, self.chrome, self.main = tag, label, chrome, main
+    def __init__(self, tag: str, label: str, chrome: bool, inner: bool, main: int):
+        self.tag, self.label, self.chrome, self.inner, self.main = tag, label, chrome, inner, main
         self.parts: list[str | Node] = []
         self.slot, self.holds = -1, False
 
 
 @lru_cache(maxsize=4096)
-def _facts(tag: str, attributes: str) -> tuple[str, bool, int]:
-    """Label, whether the markup names it as no content, and how surely it is the main part."""
+def _facts(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
+    """Label, whether the markup names it as no content, the same inside a main part, and how surely it is the main part.
+
+    Inside a main part only whole names count, since headings and sections have slugs of
+    their titles as ids; a heading is never cut by name, a section by an id of SIDE_NAMES only.
+    """
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip("/ ") else {}
     named = [given.get("id", ""), *given.get("class", "").split()]
     names = {x for n in named for x in _NAME.findall(n.lower())} if any(named) else set()
@@ -89,14 +96,19 @@ def _facts(tag: str, attributes: str) -> tuple[str, bool, int]:
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
     if any(n.lower() in SIDE_NAMES for n in named):
         main = 0
-    chrome = tag in CHROME_TAGS or role in CHROME_ROLES or hidden or (not main and tag not in ("html", "body", "header") and bool(names & CHROME_NAMES))
+    sure = role in CHROME_ROLES or hidden
+    by_name = not main and tag not in ("html", "body", "header")
+    chrome = tag in CHROME_TAGS or sure or (by_name and bool(names & CHROME_NAMES))
+    own_id, classes = given.get("id", "").lower(), set(given.get("class", "").lower().split())
+    named_so = bool(classes & INNER_NAMES) or own_id in (SIDE_NAMES if tag == "section" else INNER_NAMES)
+    inner = tag in CHROME_TAGS - {"math"} or sure or (by_name and tag not in HEADINGS and named_so)
     if not main and not chrome and names & MAIN_NAMES and tag in ("div", "section", "td"):
         main = 1
-    return re.sub(r"[(),\s]", "_", label), chrome, main
+    return re.sub(r"[(),\s]", "_", label), chrome, inner, main
 
 
 def parse(text: str | None) -> Node:
-    root = Node("", "", False, 0)
+    root = Node("", "", False, False, 0)
     stack, at = [root], 0
     text = text or ""
     while m := _TOKEN.search(text, at):
@@ -262,7 +274,7 @@ def blocks_of(node: Node, template: frozenset[int] = frozenset(), inside: bool =
                 continue
             own = p.slot if p.slot >= 0 else slot
             if chrome:
-                if (p.chrome and not p.holds) or (p.tag == "header" and not inside and not p.holds):
+                if ((p.inner if inside else p.chrome) and not p.holds) or (p.tag == "header" and not inside and not p.holds):
                     flush(slot)
                     continue
                 if own in template and p.slot >= 0 and not p.holds and not (inside and p.tag in HEADINGS | {"p"}):

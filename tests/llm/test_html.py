@@ -57,3 +57,15 @@ def test_copies_of_an_article_stay(spark):
 
 def test_empty(spark):
     assert H.extracted_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<section id='related-work'><p>a</p></section><section id=search-results><p>b</p></section><section id=search>c</section>", "a\n\nb\n\nc"),
+        ("<h2 id=cookie-policy-history>h</h2><h3 id=search class=menu>k</h3>", "h\n\nk"), ("<div class='post-header'><h1>T</h1></div><div class=entry-header>u</div>", "T\n\nu"),
+        ("<p>x <math><mi>y</mi></math> z</p>", "x y z"), ("<p>a</p><div class=share>s</div><section class=related>r</section><article class=teaser>t</article>", "a"),
+    ],
+)
+def test_slugs_inside_an_article_stay(inner, text):
+    assert H.main_text(f"<article>{inner}</article>") == text == H.main_text(f"<main>{inner}</main>")
