@@ -9,8 +9,8 @@ trees and hashes are shuffled, and the hosts' templates are broadcast behind a s
 
 Template or not, what the markup names as menu, header, footer, sidebar, notice, advert,
 form, script, style or comments is left out (by any word of a class or id, inside a main
-part by whole names only), and where the page has an article (or main)
-only that is read. Headings and paragraphs inside an article are content always: copies
+part by whole names only), and where the page has an article or main
+only those are read, a main part with all its articles; else all parts named as content. Headings and paragraphs inside an article are content always: copies
 of an article on a host must not make it template. An article that is itself classed as a
 comment or teaser isn't meant, nor one in a part that is left out, unless the page has no
 other. As in browsers, elements nested deeper than ``DEEPEST`` become siblings; no text is
@@ -293,25 +293,38 @@ def blocks_of(node: Node, template: frozenset[int] = frozenset(), inside: bool =
 
 
 def _mains(root: Node) -> list[Node]:
-    """The elements to read: articles, else a main part, else the largest named so, else all."""
-    found: dict[int, list[Node]] = {}
+    """The elements to read: main parts and articles that no other holds, else all that are named so, else all."""
+    found: dict[bool, list[Node]] = {}
 
-    def walk(x: Node) -> None:
+    def walk(x: Node, inside: bool) -> None:
         for p in x.parts:
             if isinstance(p, Node):
-                if p.chrome and not p.holds:
+                if (p.inner if inside else p.chrome) and not p.holds:
                     continue
-                if p.main:
-                    found.setdefault(p.main, []).append(p)
-                if p.main != 4:
-                    walk(p)
-
-    walk(root)
-    for rank in (4, 3, 2):
-        if rank in found:
-            return found[rank]
-    if 1 in found:
-        return [max(found[1], key=lambda n: sum(len(t) for _, t in blocks_of(n)))]
+                if p.main and (p.main < 3 or any(blocks_of(p, inside=True))):
+                    found.setdefault(p.main >= 3, []).append(p)
+                if p.main < 3:
+                    walk(p, inside or p.main >= 1)
+
+    walk(root, False)
+    if True in found:
+        return found[True]
+    outer: list[Node] = []
+    within: set[int] = set()
+
+    def below(x: Node) -> None:
+        for p in x.parts:
+            if isinstance(p, Node):
+                within.add(id(p))
+                below(p)
+
+    for rank in (2, 1):
+        for p in found.get(False, []):
+            if p.main == rank and id(p) not in within and any(blocks_of(p, inside=True)):
+                outer.append(p)
+                below(p)
+        if outer:
+            return outer
     return [root]
 
 

@@ -69,3 +69,16 @@ def test_empty(spark):
 )
 def test_slugs_inside_an_article_stay(inner, text):
     assert H.main_text(f"<article>{inner}</article>") == text == H.main_text(f"<main>{inner}</main>")
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<main><h1>h</h1><p>long body</p><article class=card>teaser</article></main>", "h\n\nlong body\n\nteaser"),
+        ("<main><article><p>a</p></article><article><p>b</p></article></main>", "a\n\nb"), ("<main></main><article>a</article>", "a"),
+        ("<div class=entry>long first part</div><p>x</p><div class=entry>second</div>", "long first part\n\nsecond"),
+        ("<div id=content><div class=post>one</div><div class=post>two</div></div>", "one\n\ntwo"), ("<div itemprop=articleBody>b</div><div class=post>c</div>", "b"),
+    ],
+)
+def test_all_main_parts_are_read(page, text):
+    assert H.main_text(page) == text
