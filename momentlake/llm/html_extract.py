@@ -10,8 +10,11 @@ trees and hashes are shuffled, and the hosts' templates are broadcast behind a s
 Template or not, what the markup names as menu, header, footer, sidebar, notice, advert,
 form, script, style or comments is left out (by any word of a class or id, inside a main
 part by whole names only), and where the page has an article or main
-only those are read, a main part with all its articles; else all parts named as content. Headings and paragraphs inside an article are content always: copies
-of an article on a host must not make it template. An article that is itself classed as a
+only those are read, a main part with all its articles; else all parts named as content.
+Every block inside an article is content always, headings and paragraphs inside other main
+parts too: copies of an article on a host must not make it template. For the same end
+pages of one main text (the longest block, where no part is named so) count once for a
+host's template, and a template that leaves nothing of a page isn't used on it. An article that is itself classed as a
 comment or teaser isn't meant, nor one in a part that is left out, unless the page has no
 other. As in browsers, elements nested deeper than ``DEEPEST`` become siblings; no text is
 lost by that.
@@ -259,7 +262,7 @@ def blocks_of(node: Node, template: frozenset[int] = frozenset(), inside: bool =
                 out.append((slot, text))
             held.clear()
 
-    def walk(x: Node, slot: int, inside: bool, headings: bool) -> None:
+    def walk(x: Node, slot: int, inside: bool, headings: bool, article: bool) -> None:
         for p in x.parts:
             if isinstance(p, str):
                 if not headings or x.tag in HEADINGS:
@@ -277,17 +280,17 @@ def blocks_of(node: Node, template: frozenset[int] = frozenset(), inside: bool =
                 if ((p.inner if inside else p.chrome) and not p.holds) or (p.tag == "header" and not inside and not p.holds):
                     flush(slot)
                     continue
-                if own in template and p.slot >= 0 and not p.holds and not (inside and p.tag in HEADINGS | {"p"}):
+                if own in template and p.slot >= 0 and not p.holds and not article and not (inside and p.tag in HEADINGS | {"p"}):
                     flush(slot)
                     continue
             block = p.tag in BLOCKS
             if block:
                 flush(slot)
-            walk(p, own, inside or p.main >= 3, headings and p.tag not in HEADINGS or (chrome and p.tag == "header" and inside and not p.holds))
+            walk(p, own, inside or p.main >= 3, headings and p.tag not in HEADINGS or (chrome and p.tag == "header" and inside and not p.holds), article or p.main in (2, 4))
             if block:
                 flush(own)
 
-    walk(node, node.slot, inside or node.main >= 3, False)
+    walk(node, node.slot, inside or node.main >= 3, False, node.main in (2, 4))
     flush(node.slot)
     return out
 
@@ -332,19 +335,30 @@ def main_text(text: str | None, template: frozenset[int] = frozenset()) -> str:
     """The page's main text; ``template`` has the slots that the host's pages share."""
     root = parse(text)
     skeleton(root)
-    got = [t for n in _mains(root) for _, t in blocks_of(n, template, n.main >= 1)]
-    return "\n\n".join(got)
+    return "\n\n".join(_read(root, template) or (_read(root, frozenset()) if template else []))
+
+
+def _read(root: Node, template: frozenset[int]) -> list[str]:
+    return [t for n in _mains(root) for _, t in blocks_of(n, template, n.main >= 1)]
 
 
 def _slots(text: str | None) -> tuple[str, list[tuple[int, int]], int]:
-    """Signature, hash of the text of each slot, and hash of all."""
+    """Signature, hash of the text of each slot, and hash of the text of the main parts.
+
+    Where no part is named so, of the longest slot: copies with another menu or date are one.
+    """
     root = parse(text)
     signature = skeleton(root)
     texts: dict[int, list[str]] = {}
     for slot, t in blocks_of(root, chrome=False):
         texts.setdefault(slot, []).append(t)
     hashed = sorted((k, xxhash.xxh64_intdigest("\n".join(v).encode(), 42) - (1 << 63)) for k, v in texts.items())
-    return signature, hashed, xxhash.xxh64_intdigest(repr((signature, hashed)).encode(), 42) - (1 << 63)
+    mains = _mains(root)
+    if mains == [root]:
+        content = max((t for _, t in blocks_of(root)), key=lambda t: (len(t), t), default="")
+    else:
+        content = "\n\n".join(t for n in mains for _, t in blocks_of(n, inside=True))
+    return signature, hashed, xxhash.xxh64_intdigest(content.encode(), 42) - (1 << 63)
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -358,7 +372,8 @@ def templates(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), listed, pa.array([x[2] for x in got], pa.int64())], names=["host", "signature", "slots", "page"])
 
     seen = part.mapInArrow(slots, "host string, signature string, slots array<struct<slot: int, h: bigint>>, page long")
-    different = cut(seen.groupBy("host", "page").agg(F.min("signature").alias("signature"), F.min("slots").alias("slots")))
+    one = seen.groupBy("host", "page").agg(F.min(F.struct("signature", "slots")).alias("one"))
+    different = cut(one.select("host", "page", "one.signature", "one.slots"))
     counts = different.groupBy("host", "signature").count()
     reference = counts.groupBy("host").agg(F.max(F.struct("count", "signature"))["signature"].alias("reference"), F.sum("count").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
 

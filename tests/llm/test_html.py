@@ -82,3 +82,13 @@ def test_slugs_inside_an_article_stay(inner, text):
 )
 def test_all_main_parts_are_read(page, text):
     assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_mirrored_copies_make_no_template(spark, tag):
+    """Copies of one text count once, whatever their menus and dates; lists and quotes stay as paragraphs do."""
+    body = f"<{tag}><h1>One</h1><p>the same long text everywhere on this host</p><ul><li>item</ul><blockquote>quote</blockquote></{tag}>"
+    rows = [(i, "http://a.net/", f"<body><nav>menu {i}</nav>{body}</body>") for i in range(40)]
+    rows += [(100 + i, "http://a.net/", f"<body><nav>menu</nav>{body.replace('long', f'long and quite different {i}')}</body>") for i in range(4)]
+    got = H.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 44 and all("One" in r.text and "item" in r.text and r.text.endswith("quote") for r in got)
