@@ -2,9 +2,9 @@
 
 A page is parsed leniently into a tree. Its skeleton is the tree of block elements, with
 class and id names as part of a label and runs of equal leaves as one slot. The skeletons
-of a host's pages are aligned with the host's most frequent one by simple tree matching;
-slots are then comparable over pages. A slot that holds the same text on most of a host's
-different pages is template, a slot that varies is content. All pages count; only label
+of a host's pages are aligned with the nearest of its frequent ones by simple tree matching;
+slots are then comparable over pages. A slot that holds the same text on most of the
+different pages of one layout is template, a slot that varies is content. All pages count; only label
 trees and hashes are shuffled, and the hosts' templates are broadcast behind a size check.
 
 Template or not, what the markup names as menu, header, footer, sidebar, notice, advert,
@@ -41,6 +41,8 @@ from momentlake.plans.lineage import cut
 
 #: A slot is template if this share of at least so many different pages holds one text.
 CONSTANT, LEAST_PAGES = 0.8, 8
+#: Skeletons of this share of a host's pages are references; pages that match less than this share of one don't count for it.
+FREQUENT, ALIKE = 0.1, 0.5
 #: Open elements at most.
 DEEPEST = 200
 #: Hosts whose templates are broadcast; beyond it the join shuffles.
@@ -246,6 +248,18 @@ def align(signature: str, reference: str) -> dict[int, int]:
     return dict(match(_tree(signature), _tree(reference))[1])
 
 
+def nearest(signature: str, references: tuple[str, ...]) -> tuple[int, dict[int, int], float]:
+    """Which reference aligns best, the slots matched with it, and the share of both trees matched."""
+    size = lambda t: len(re.findall(r"[^(),]+", t)) + 1
+    best = (0, {}, -1.0)
+    for k, r in enumerate(references):
+        to = align(signature, r)
+        near = 1.0 if signature == r else min(1.0, 2 * len(to) / (size(signature) + size(r)))
+        if near > best[2]:
+            best = k, to, near
+    return best
+
+
 def _clean(pieces: list[str]) -> str:
     s = "".join(pieces)
     return " ".join((entities.unescape(s) if "&" in s else s).split())
@@ -362,7 +376,7 @@ def _slots(text: str | None) -> tuple[str, list[tuple[int, int]], int]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, reference, slots``: each host's reference skeleton and its template slots."""
+    """``host, layouts``: each host's frequent skeletons, with the template slots of the pages nearest to each."""
     part = pages.select("host", "html")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,25 +389,32 @@ def templates(pages: DataFrame) -> DataFrame:
     one = seen.groupBy("host", "page").agg(F.min(F.struct("signature", "slots")).alias("one"))
     different = cut(one.select("host", "page", "one.signature", "one.slots"))
     counts = different.groupBy("host", "signature").count()
-    reference = counts.groupBy("host").agg(F.max(F.struct("count", "signature"))["signature"].alias("reference"), F.sum("count").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    totals = counts.groupBy("host").agg(F.sum("count").alias("pages"), F.max(F.struct("count", "signature"))["signature"].alias("first"))
+    frequent = (F.col("count") >= LEAST_PAGES) & (F.col("count") >= F.col("pages") * FREQUENT)
+    listed = counts.join(totals, "host").where((F.col("pages") >= LEAST_PAGES) & (frequent | (F.col("signature") == F.col("first"))))
+    references = cut(listed.groupBy("host").agg(F.sort_array(F.collect_list("signature")).alias("references")))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, node, h = [], [], []
-            for n, (signature, listed, ref) in enumerate(zip(*(b.column(c).to_pylist() for c in ("signature", "slots", "reference")), strict=True)):
-                to = align(signature, ref)
-                for s in listed:
-                    if s["slot"] in to:
-                        row.append(n)
-                        node.append(to[s["slot"]])
-                        h.append(s["h"])
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("host").take(at), b.column("reference").take(at), b.column("pages").take(at), pa.array(node, pa.int32()), pa.array(h, pa.int64())], names=["host", "reference", "pages", "node", "h"])
-
-    matched = different.join(reference, "host").select("host", "signature", "slots", "reference", "pages").mapInArrow(aligned, "host string, reference string, pages long, node int, h long")
-    held = matched.groupBy("host", "reference", "pages", "node", "h").count()
-    constant = held.groupBy("host", "reference", "pages", "node").agg(F.max("count").alias("most")).where(F.col("most") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * CONSTANT))
-    return constant.groupBy("host", "reference").agg(F.sort_array(F.collect_list("node")).alias("slots"))
+            row, ref, node, h = [], [], [], []
+            for n, (signature, listed, refs) in enumerate(zip(*(b.column(c).to_pylist() for c in ("signature", "slots", "references")), strict=True)):
+                k, to, near = nearest(signature, tuple(refs))
+                found = [(to[s["slot"]], s["h"]) for s in listed if s["slot"] in to] if near >= ALIKE else []
+                for slot, x in [(-1, 0), *found] if near >= ALIKE else []:  # -1 counts the page
+                    row.append(n)
+                    ref.append(refs[k])
+                    node.append(slot)
+                    h.append(x)
+            yield pa.RecordBatch.from_arrays([b.column("host").take(pa.array(row, pa.int64())), pa.array(ref, pa.string()), pa.array(node, pa.int32()), pa.array(h, pa.int64())], names=["host", "reference", "node", "h"])
+
+    matched = different.join(references, "host").select("host", "signature", "slots", "references").mapInArrow(aligned, "host string, reference string, node int, h long")
+    held = cut(matched.groupBy("host", "reference", "node", "h").count())
+    pages = held.where("node = -1").select("host", "reference", F.col("count").alias("pages"))
+    most = held.where("node >= 0").groupBy("host", "reference", "node").agg(F.max("count").alias("most")).join(pages, ["host", "reference"])
+    constant = most.where(F.col("most") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * CONSTANT))
+    slots_of = constant.groupBy("host", "reference").agg(F.sort_array(F.collect_list("node")).alias("slots"))
+    every = references.select("host", F.explode("references").alias("reference")).join(slots_of, ["host", "reference"], "left")
+    return every.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("reference", F.coalesce("slots", F.array().cast("array<int>")).alias("slots")))).alias("layouts"))
 
 
 def extract(pages: DataFrame, carry: list[Column], url: str = "url", html: str = "html") -> DataFrame:
@@ -402,18 +423,18 @@ def extract(pages: DataFrame, carry: list[Column], url: str = "url", html: str =
     rows = rows.withColumn("host", F.coalesce("host", F.lit("")))
     known = cut(templates(rows))
     side = F.broadcast(known) if known.count() <= MOST_BROADCAST else known
-    joined = rows.join(side, "host", "left").select("carry", "html", "reference", "slots")
+    joined = rows.join(side, "host", "left").select("carry", "html", "layouts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, ref, slots in zip(*(b.column(c).to_pylist() for c in ("html", "reference", "slots")), strict=True):
-                if ref is None:
+            for text, layouts in zip(b.column("html").to_pylist(), b.column("layouts").to_pylist(), strict=True):
+                if not layouts:
                     out.append(main_text(text))
                     continue
-                shared = set(slots)
-                to = align(skeleton(parse(text)), ref)
-                out.append(main_text(text, frozenset(k for k, v in to.items() if v in shared)))
+                k, to, _ = nearest(skeleton(parse(text)), tuple(x["reference"] for x in layouts))
+                shared = set(layouts[k]["slots"])
+                out.append(main_text(text, frozenset(s for s, v in to.items() if v in shared)))
             yield pa.RecordBatch.from_arrays([b.column("carry"), pa.array(out, pa.string())], names=["carry", "text"])
 
     return joined.mapInArrow(run, joined.select("carry").schema.add("text", "string")).select("carry.*", "text")

@@ -92,3 +92,11 @@ def test_mirrored_copies_make_no_template(spark, tag):
     rows += [(100 + i, "http://a.net/", f"<body><nav>menu</nav>{body.replace('long', f'long and quite different {i}')}</body>") for i in range(4)]
     got = H.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 44 and all("One" in r.text and "item" in r.text and r.text.endswith("quote") for r in got)
+
+
+def test_two_layouts_of_a_host_have_templates_each(spark):
+    one = lambda n: f"<body><div class=box>Shop now</div><div class=txt><p>story {n} here</p></div></body>"
+    two = lambda n: f"<body><table class=forum><tr><td class=rules>Be kind</td></tr><tr class=b><td class=said>word {n} said</td></tr></table></body>"
+    rows = [(i, "http://a.net/", one(i) if i % 5 < 3 else two(i)) for i in range(50)]
+    got = H.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"story {i} here" if i % 5 < 3 else f"word {i} said" for i in range(50)}
