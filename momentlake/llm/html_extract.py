@@ -7,30 +7,36 @@ slots are then comparable over pages. A slot that holds the same text on most of
 different pages of one layout is template, a slot that varies is content. All pages count; only label
 trees and hashes are shuffled, and the hosts' templates are broadcast behind a size check.
 
-Template or not, what the markup names as menu, header, footer, sidebar, notice, advert,
-form, script, style or comments is left out (by any word of a class or id, inside a main
-part by whole names only), and where the page has an article or main
-only those are read, a main part with all its articles; else all parts named as content.
-Every block inside an article is content always, headings and paragraphs inside other main
-parts too: copies of an article on a host must not make it template. For the same end
-pages of one main text (the longest block, where no part is named so) count once for a
-host's template, and a template that leaves nothing of a page isn't used on it. An article that is itself classed as a
-comment or teaser isn't meant, nor one in a part that is left out, unless the page has no
-other. As in browsers, elements nested deeper than ``DEEPEST`` become siblings; no text is
-lost by that.
-
-Null and empty html gives an empty text. Urls without a host share one host. Repeated
-rows count once for a host's template. White space inside a block becomes one space,
-character references are decoded, blocks are joined by an empty line.
+Copies of a page (of its longest blocks, that is) count once for a template, so copies of an
+article make none.
+
+Where a layout has a template, it decides: what varies is content. The markup breaks ties:
+what it names as menu, header, footer, sidebar, notice, advert, form, script, style or
+comments is left out (blocks by any word of a class or id, inside a main part by whole names
+only), and the article or main part bounds the content as long as it holds half of what
+varies. Template slots inside an article are cut, too, unless they'd take more than half of
+it. Pages of hosts or layouts with fewer than ``LEAST_PAGES`` different pages have no
+template: there the markup's main parts are read, a main part with all its articles, else all
+parts named as content, else all. An article that is itself classed as a comment or teaser
+isn't meant, nor one in a part that is left out, unless the page has no other. Elements may
+nest to any depth.
+
+Null and empty html gives an empty text, an empty table no rows. Pages of any length are read
+whole, in linear time but for alignments. Urls without a host share one host. Repeated rows
+count once for a host's template. Further columns are ignored. White space inside a block
+becomes one space, character references are decoded, blocks are joined by an empty line.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,12 +47,16 @@ from momentlake.plans.lineage import cut
 
 #: A slot is template if this share of at least so many different pages holds one text.
 CONSTANT, LEAST_PAGES = 0.8, 8
+#: Pages are copies if the longest blocks, up to this share of the text, are equal.
+BODY = 0.75
 #: Skeletons of this share of a host's pages are references; pages that match less than this share of one don't count for it.
 FREQUENT, ALIKE = 0.1, 0.5
-#: Open elements at most.
-DEEPEST = 200
-#: Hosts whose templates are broadcast; beyond it the join shuffles.
-MOST_BROADCAST = 20_000
+#: Pairs of children up to which alignment goes without arrays.
+FEW = 64
+#: Block elements nested deeper have no slot of their own in a skeleton.
+LEVELS = 100
+#: Characters of templates that are broadcast; beyond it pages are joined with them by host and a salt.
+MOST_BROADCAST, SALTS = 32 << 20, 16
 
 # Names of HTML elements and roles, and customary class names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,32 +75,38 @@ CHROME_NAMES = set(
 )
 # Classes and ids of articles that are not the page's own.
 SIDE_NAMES = set("comment comments commentlist reply replies disqus related recommended promo promos sponsor sponsored advert advertisement teaser".split())
+# Words that an article may use of its own: inside a main part they count only where there are controls of a form.
+OWN_NAMES = set("alert alerts banner banners form forms login menu menus modal overlay popup respond search skip widget widgets".split())
+CONTROLS = set("form input select textarea button".split())
 # Inside a main part; what is classed as header there holds the title.
-INNER_NAMES = (CHROME_NAMES | SIDE_NAMES) - {"header"}
+INNER_NAMES = (CHROME_NAMES | SIDE_NAMES) - OWN_NAMES - {"header"}
 MAIN_NAMES = set("article post entry content main story".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
 _NAME = re.compile(r"[a-z0-9]+")
+_TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"""[^"'>]*""")
 
 
 class Node:
-    """An element; ``parts`` are its texts and elements in order."""
+    """An element; ``parts`` are its texts and elements in order, ``kids`` its next block elements."""
 
-    __slots__ = ("chrome", "holds", "inner", "label", "main", "parts", "slot", "tag")
+    __slots__ = ("chrome", "controls", "holds", "inner", "kids", "label", "main", "maybe", "parts", "slot", "tag", "up")
 
-    def __init__(self, tag: str, label: str, chrome: bool, inner: bool, main: int):
-        self.tag, self.label, self.chrome, self.inner, self.main = tag, label, chrome, inner, main
+    def __init__(self, tag: str, label: str, chrome: bool, inner: bool, maybe: bool, main: int, up: Node | None):
+        self.tag, self.label, self.chrome, self.inner, self.maybe, self.main, self.up = tag, label, chrome, inner, maybe, main, up
         self.parts: list[str | Node] = []
-        self.slot, self.holds = -1, False
+        self.kids: list[Node] = []
+        self.slot, self.holds, self.controls = -1, False, False
 
 
 @lru_cache(maxsize=4096)
-def _facts(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
-    """Label, whether the markup names it as no content, the same inside a main part, and how surely it is the main part.
+def _facts(tag: str, attributes: str) -> tuple[str, bool, bool, bool, int]:
+    """Label, whether the markup names it as no content, the same inside a main part, the same if it has controls, and how surely it is the main part.
 
-    Inside a main part only whole names count, since headings and sections have slugs of
-    their titles as ids; a heading is never cut by name, a section by an id of SIDE_NAMES only.
+    Names count for blocks only, never for parts of a line. Inside a main part only whole
+    names count, since headings and sections have slugs of their titles as ids; a heading is
+    never cut by name, a section by an id of SIDE_NAMES only.
     """
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip("/ ") else {}
     named = [given.get("id", ""), *given.get("class", "").split()]
@@ -102,150 +118,253 @@ def _facts(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
     if any(n.lower() in SIDE_NAMES for n in named):
         main = 0
     sure = role in CHROME_ROLES or hidden
-    by_name = not main and tag not in ("html", "body", "header")
+    by_name = not main and tag in BLOCKS and tag not in ("html", "body", "header")
     chrome = tag in CHROME_TAGS or sure or (by_name and bool(names & CHROME_NAMES))
     own_id, classes = given.get("id", "").lower(), set(given.get("class", "").lower().split())
     named_so = bool(classes & INNER_NAMES) or own_id in (SIDE_NAMES if tag == "section" else INNER_NAMES)
     inner = tag in CHROME_TAGS - {"math"} or sure or (by_name and tag not in HEADINGS and named_so)
+    maybe = by_name and tag not in HEADINGS and bool((classes | {own_id}) & OWN_NAMES)
     if not main and not chrome and names & MAIN_NAMES and tag in ("div", "section", "td"):
         main = 1
-    return re.sub(r"[(),\s]", "_", label), chrome, inner, main
+    return re.sub(r"[(),\s]", "_", label), chrome, inner, maybe, main
+
+
+def _tags(text: str) -> Iterator[tuple[str, str, str, int]]:
+    """Text before a tag, "/" or "", name and attributes of it, and where it ends; forward only.
+
+    A ``>`` in quotes doesn't end a tag, unless a quote stays open: from there on all do.
+    The caller may send back a place to go on at.
+    """
+    at = begin = 0
+    last, quotes = text.rfind(">"), True
+    while (at := text.find("<", at)) >= 0 and (at < last or text.startswith("<!--", at)):
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            yield text[begin:at], "", "", -1
+            at = begin = end + 3 if end >= 0 else len(text)
+            continue
+        if text[at + 1] in "!?":
+            end = text.find(">", at)
+            yield text[begin:at], "", "", -1
+            at = begin = end + 1
+            continue
+        m = _TAG_NAME.match(text, at + 1)
+        if not m:
+            at += 1
+            continue
+        end = m.end()
+        while quotes:
+            end = _PLAIN.match(text, end).end()
+            if end >= len(text) or text[end] == ">":
+                break
+            end = text.find(text[end], end + 1) + 1 or len(text)
+        if not quotes or end >= len(text):
+            quotes, end = False, text.find(">", m.end())
+        yield text[begin:at], m[1], (m[2].lower(), text[m.end() : end]), end + 1
+        at = begin = end + 1
+        if m[2].lower() in RAW and not m[1]:
+            close = re.compile(rf"</{re.escape(m[2])}(?=[\s/>]|\Z)[^>]*>?", re.I).search(text, at)
+            at = begin = close.end() if close else len(text)
+    yield text[begin:], "", "", -1
 
 
 def parse(text: str | None) -> Node:
-    root = Node("", "", False, False, 0)
-    stack, at = [root], 0
-    text = text or ""
-    while m := _TOKEN.search(text, at):
-        if m.start() > at:
-            stack[-1].parts.append(text[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    """The page's tree. Of any depth, in time linear in the page but for the closing of paragraphs."""
+    root = Node("", "", False, False, False, 0, None)
+    stack, nodes, blocks = [root], [root], [root]
+    places: dict[str, list[int]] = {}  # where elements of a name are open
+
+    def end(k: int) -> None:
+        for x in reversed(stack[k:]):
+            places[x.tag].pop()
+            if blocks[-1] is x:
+                blocks.pop()
+        del stack[k:]
+
+    def close(tags: set[str], scopes: set[str]) -> None:
+        """End the outermost open element of ``tags`` above the next of ``scopes``."""
+        above = max((places[x][-1] for x in scopes if places.get(x)), default=0)
+        first = [p[k] for x in tags if (p := places.get(x)) and (k := bisect_right(p, above)) < len(p)]
+        if first:
+            end(min(first))
+
+    for before, slash, found, _ in _tags(text or ""):
+        if before:
+            stack[-1].parts.append(before)
+        if not found:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        tag, attributes = found
+        if slash:
+            open_at = places.get(tag)
+            if open_at and (tag in BLOCKS or open_at[-1] > (places[blocks[-1].tag][-1] if len(blocks) > 1 else 0)):
+                end(open_at[-1])
             continue
         if tag in CLOSES_P:
-            _close(stack, {"p"}, SCOPES | {"td", "th", "li", "button"})
+            close({"p"}, SCOPES | {"td", "th", "li", "button"})
         if tag in SIBLINGS:
-            _close(stack, SIBLINGS[tag], SCOPES - {tag})
-        if len(stack) > DEEPEST:
-            stack.pop()
-        node = Node(tag, *_facts(tag, m[3]))
+            close(SIBLINGS[tag], SCOPES - {tag})
+        node = Node(tag, *_facts(tag, attributes), stack[-1])
+        nodes.append(node)
         stack[-1].parts.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(text, at)
-            at = end.end() if end else len(text)
-        elif tag not in VOID:
+        if tag in CONTROLS:
+            x: Node | None = node
+            while x is not None and not x.controls:
+                x.controls, x = True, x.up
+        if tag in BLOCKS:
+            blocks[-1].kids.append(node)
+        if tag not in VOID and tag not in RAW:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
-    if at < len(text):
-        stack[-1].parts.append(text[at:])
-    if not _mark(root, False):
-        _mark(root, True)
+            if tag in BLOCKS:
+                blocks.append(node)
+    if not _mark(nodes, False):
+        _mark(nodes, True)
     return root
 
 
-def _mark(node: Node, anywhere: bool) -> bool:
+def _mark(nodes: list[Node], anywhere: bool) -> bool:
     """Note which elements hold a main part; one within what is left out counts if ``anywhere``."""
-    inner = [_mark(x, anywhere) or (x.main >= 3 and not x.chrome) for x in node.parts if isinstance(x, Node)]
-    node.holds = any(inner) and (anywhere or not node.chrome)
-    return node.holds
-
-
-def _close(stack: list[Node], tags: set[str], scopes: set[str]) -> None:
-    """End the outermost open element of ``tags`` above the next of ``scopes``."""
-    first = 0
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            first = k
-        elif stack[k].tag in scopes:
-            break
-    if first:
-        del stack[first:]
+    for x in reversed(nodes):
+        x.holds = x.holds and (anywhere or not x.chrome)
+        if x.up is not None and (x.holds or (x.main >= 3 and not x.chrome)):
+            x.up.holds = True
+    return nodes[0].holds
 
 
 def skeleton(root: Node) -> str:
-    """The label tree of the block elements in brackets; numbers the nodes' slots in preorder."""
-    count = 0
+    """The label tree of the block elements in brackets; numbers the nodes' slots in preorder.
 
-    def blocks(node: Node) -> Iterator[Node]:
-        for x in node.parts:
-            if isinstance(x, Node):
-                if x.tag in BLOCKS:
-                    yield x
-                elif x.tag not in RAW:
-                    yield from blocks(x)
+    Blocks more than ``LEVELS`` deep have no slot of their own, their texts belong to the one above.
+    """
+    count = 0
 
-    def write(node: Node) -> str:
+    def write(node: Node, level: int) -> str:
         nonlocal count
         node.slot, count = count, count + 1
         out, last = [], None
-        for x in blocks(node):
-            leaf = next(blocks(x), None) is None
-            if leaf and last is not None and last.label == x.label:
+        for x in node.kids if level < LEVELS else ():
+            if not x.kids and last is not None and last.label == x.label:
                 x.slot = last.slot
                 continue
-            out.append(write(x))
-            last = x if leaf else None
+            out.append(write(x, level + 1))
+            last = None if x.kids else x
         return node.label + (f"({','.join(out)})" if out else "")
 
-    return write(root)
+    return write(root, 0)
 
 
-def _tree(signature: str) -> list[tuple[str, list]]:
-    """(label, children, slot) of a signature."""
+def _tree(signature: str, known: dict | None = None) -> tuple:
+    """(label, children, slot, kind, size) of a signature; equal subtrees are of one kind."""
     slot, stack = 0, [("", [], -1)]
-    label, top = "", stack[0]
+    known = {} if known is None else known
+
+    def done(x: tuple) -> tuple:
+        children = [c if len(c) > 3 else done(c) for c in x[1]]
+        kind = known.setdefault((x[0], tuple(c[3] for c in children)), len(known))
+        return x[0], children, x[2], kind, 1 + sum(c[4] for c in children)
+
     for m in re.finditer(r"([^(),]*)([(),]|\Z)", signature):
         label, mark = m[1], m[2]
         if label or mark == "(" or (mark in (",", "") and signature[m.start() - 1 : m.start()] != ")"):
-            node = (label, [], slot)
+            stack[-1][1].append((label, [], slot))
             slot += 1
-            stack[-1][1].append(node)
         if mark == "(":
             stack.append(stack[-1][1][-1])
         elif mark == ")":
-            stack.pop()
+            whole = done(stack.pop())
+            stack[-1][1][-1] = whole
         if not mark:
             break
-    return top[1][0]
+    return done(stack[0])[1][0]
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=512)
 def align(signature: str, reference: str) -> dict[int, int]:
-    """Slots of a page matched with slots of the reference by simple tree matching."""
+    """Slots of a page matched with slots of the reference by simple tree matching.
+
+    The weight of two nodes of one label is 1 and the best total of their children in
+    order. Equal subtrees are matched whole; pairs of kinds of subtrees are compared once.
+    """
     if signature == reference:
         return {k: k for k in range(len(re.split(r"[(),]", signature)))}
+    kinds: dict = {}
     known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def match(a, b) -> tuple[int, list[tuple[int, int]]]:
-        if (a[2], b[2]) in known:
-            return known[a[2], b[2]]
-        if a[0] != b[0]:
-            return 0, []
-        n, m = len(a[1]), len(b[1])
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + match(a[1][i - 1], b[1][j - 1])[0])
-        pairs, i, j = [(a[2], b[2])], n, m
+    left, right = _tree(signature, kinds), _tree(reference, kinds)
+
+    def ordered(xs: list, ys: list) -> tuple[int, list[tuple[int, int]]]:
+        """The best total of children in order, and the places of those that go together."""
+        if len(xs) * len(ys) <= FEW:
+            table = [[(0, None)] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+            for i, x in enumerate(xs):
+                for j, y in enumerate(ys):
+                    weight = match(x, y)
+                    one = (table[i][j][0] + weight, (i, j, table[i][j][1])) if weight else (0, None)
+                    table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], one, key=lambda t: t[0])
+            weight, chain = table[-1][-1]
+            found = []
+            while chain:
+                found.append(chain[:2])
+                chain = chain[2]
+            return weight, found
+        own = {y[3]: y for y in ys}
+        place = {k: n for n, k in enumerate(own)}
+        at = np.array([place[y[3]] for y in ys])
+        weights = {x[3]: np.array([match(x, y) for y in own.values()], np.int64)[at] for x in {x[3]: x for x in xs}.values()}
+        best, ups, lefts = np.zeros(len(ys) + 1, np.int64), [], []
+        for x in xs:
+            now = best.copy()
+            np.maximum(now[1:], best[:-1] + weights[x[3]], out=now[1:])
+            now = np.maximum.accumulate(now)
+            ups.append(np.packbits(now == best))
+            lefts.append(np.packbits(now[1:] == now[:-1]))
+            best = now
+        bit = lambda row, k: row[k >> 3] >> (7 - (k & 7)) & 1
+        i, j, found = len(xs), len(ys), []
         while i and j:
-            weight, inner = match(a[1][i - 1], b[1][j - 1])
-            if weight and best[i][j] == best[i - 1][j - 1] + weight:
-                pairs += inner
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
+            if bit(ups[i - 1], j):
                 i -= 1
-            else:
+            elif bit(lefts[i - 1], j - 1):
                 j -= 1
-        known[a[2], b[2]] = 1 + best[n][m], pairs
-        return known[a[2], b[2]]
+            else:
+                i, j = i - 1, j - 1
+                found.append((i, j))
+        return int(best[-1]), found
 
-    return dict(match(_tree(signature), _tree(reference))[1])
+    def match(a, b) -> int:
+        """Nodes matched; which children go together is kept in ``known``."""
+        if a[0] != b[0]:
+            return 0
+        if a[3] == b[3]:
+            return a[4]
+        if (a[3], b[3]) in known:
+            return known[a[3], b[3]][0]
+        xs, ys = a[1], b[1]
+        head = 0
+        while head < min(len(xs), len(ys)) and xs[head][3] == ys[head][3]:
+            head += 1
+        tail = 0
+        while tail < min(len(xs), len(ys)) - head and xs[-1 - tail][3] == ys[-1 - tail][3]:
+            tail += 1
+        total = 1 + sum(x[4] for x in xs[:head]) + sum(x[4] for x in xs[len(xs) - tail :])
+        pairs = [(k, k) for k in range(head)] + [(len(xs) - 1 - k, len(ys) - 1 - k) for k in range(tail)]
+        xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+        if xs and ys and (len(xs) == 1 or len(ys) == 1):
+            weight, i, j = max((match(x, y), -i, -j) for i, x in enumerate(xs) for j, y in enumerate(ys))
+            total, pairs = total + weight, [*pairs, (head - i, head - j)] if weight else pairs
+        elif xs and ys:
+            weight, found = ordered(xs, ys)
+            total, pairs = total + weight, pairs + [(head + i, head + j) for i, j in found]
+        known[a[3], b[3]] = total, pairs
+        return total
+
+    to: dict[int, int] = {}
+    todo = [(left, right)] if match(left, right) else []
+    while todo:
+        a, b = todo.pop()
+        to[a[2]] = b[2]
+        pairs = [(k, k) for k in range(len(a[1]))] if a[3] == b[3] else known[a[3], b[3]][1]
+        todo += [(a[1][i], b[1][j]) for i, j in pairs]
+    return to
 
 
 def nearest(signature: str, references: tuple[str, ...]) -> tuple[int, dict[int, int], float]:
@@ -265,114 +384,112 @@ def _clean(pieces: list[str]) -> str:
     return " ".join((entities.unescape(s) if "&" in s else s).split())
 
 
-def blocks_of(node: Node, template: frozenset[int] = frozenset(), inside: bool = False, chrome: bool = True) -> list[tuple[int, str]]:
-    """(slot, text) of each block below ``node``, without what is no content if ``chrome`` is cut."""
-    out: list[tuple[int, str]] = []
+class Block(NamedTuple):
+    """A block's text, its slot, whether the markup names it as no content, and the rank of the main part that it is in."""
+
+    slot: int
+    text: str
+    cut: bool
+    rank: int
+
+
+def read(text: str | None) -> tuple[str, list[Block]]:
+    """The page's skeleton and all its blocks in order."""
+    root = parse(text)
+    signature = skeleton(root)
+    out: list[Block] = []
     held: list[str] = []
 
-    def flush(slot: int) -> None:
+    def flush(slot: int, cut: bool, rank: int) -> None:
         if held:
-            if text := _clean(held):
-                out.append((slot, text))
+            if t := _clean(held):
+                out.append(Block(slot, t, cut, rank))
             held.clear()
 
-    def walk(x: Node, slot: int, inside: bool, headings: bool, article: bool) -> None:
-        for p in x.parts:
-            if isinstance(p, str):
-                if not headings or x.tag in HEADINGS:
-                    held.append(p)
-                continue
-            if p.tag in VOID:
-                held.append(" " if p.tag == "br" else "")
-                if p.tag == "hr":
-                    flush(slot)
-                continue
-            if p.tag in RAW:
-                continue
-            own = p.slot if p.slot >= 0 else slot
-            if chrome:
-                if ((p.inner if inside else p.chrome) and not p.holds) or (p.tag == "header" and not inside and not p.holds):
-                    flush(slot)
-                    continue
-                if own in template and p.slot >= 0 and not p.holds and not article and not (inside and p.tag in HEADINGS | {"p"}):
-                    flush(slot)
-                    continue
-            block = p.tag in BLOCKS
-            if block:
-                flush(slot)
-            walk(p, own, inside or p.main >= 3, headings and p.tag not in HEADINGS or (chrome and p.tag == "header" and inside and not p.holds), article or p.main in (2, 4))
-            if block:
-                flush(own)
-
-    walk(node, node.slot, inside or node.main >= 3, False, node.main in (2, 4))
-    flush(node.slot)
-    return out
-
-
-def _mains(root: Node) -> list[Node]:
-    """The elements to read: main parts and articles that no other holds, else all that are named so, else all."""
-    found: dict[bool, list[Node]] = {}
-
-    def walk(x: Node, inside: bool) -> None:
-        for p in x.parts:
-            if isinstance(p, Node):
-                if (p.inner if inside else p.chrome) and not p.holds:
-                    continue
-                if p.main and (p.main < 3 or any(blocks_of(p, inside=True))):
-                    found.setdefault(p.main >= 3, []).append(p)
-                if p.main < 3:
-                    walk(p, inside or p.main >= 1)
-
-    walk(root, False)
-    if True in found:
-        return found[True]
-    outer: list[Node] = []
-    within: set[int] = set()
-
-    def below(x: Node) -> None:
-        for p in x.parts:
-            if isinstance(p, Node):
-                within.add(id(p))
-                below(p)
-
-    for rank in (2, 1):
-        for p in found.get(False, []):
-            if p.main == rank and id(p) not in within and any(blocks_of(p, inside=True)):
-                outer.append(p)
-                below(p)
-        if outer:
-            return outer
-    return [root]
+    # node, next part, slot, left out, rank of the main part around, headings only
+    stack: list[list] = [[root, 0, root.slot, False, 0, False]]
+    while stack:
+        top = stack[-1]
+        x, k, slot, cut, rank, heads = top
+        if k == len(x.parts):
+            stack.pop()
+            if x.tag in BLOCKS or x is root:
+                flush(slot, cut, rank)
+            continue
+        top[1] = k + 1
+        p = x.parts[k]
+        if isinstance(p, str):
+            if not heads or x.tag in HEADINGS:
+                held.append(p)
+            continue
+        if p.tag in VOID:
+            if p.tag == "br":
+                held.append(" ")
+            elif p.tag == "hr":
+                flush(slot, cut, rank)
+            continue
+        if p.tag in RAW:
+            continue
+        block = p.tag in BLOCKS
+        gone = not p.holds and (p.inner or (p.maybe and p.controls) if rank else p.chrome or p.tag == "header")
+        if gone and not block:
+            continue
+        if block:
+            flush(slot, cut, rank)
+        only = (heads and p.tag not in HEADINGS) or (p.tag == "header" and rank > 0 and not p.holds)
+        stack.append([p, 0, p.slot if p.slot >= 0 else slot, cut or gone, rank if cut or gone else max(rank, p.main), only])
+    return signature, out
+
+
+def chosen(blocks: list[Block], template: frozenset[int] | None = None) -> list[str]:
+    """The texts of the page's content.
+
+    The markup's own main parts (articles and mains, else parts marked as an article's body,
+    else parts named as content, else all) are read where there is no template. With a
+    template, what varies over the pages of the layout is content: if the main parts hold
+    less than half of the varying text, all of it is read; template slots are cut in main
+    parts, too, but for a page of which they'd take more than half. Where no part is marked,
+    all but the template is read, unless that's nothing.
+    """
+    kept = [b for b in blocks if not b.cut]
+    best = max((min(b.rank, 3) for b in kept), default=0)
+    mains = [b for b in kept if min(b.rank, 3) == best]
+    if not template:
+        return [b.text for b in mains]
+    size = lambda found: sum(len(b.text) for b in found)
+    varying = [b for b in kept if b.slot not in template]
+    own = [b for b in mains if b.slot not in template]
+    if 2 * size(own) < size(varying) and 2 * size(mains) < size(varying):
+        return [b.text for b in varying]
+    enough = 2 * size(own) >= size(mains) if best else bool(own)
+    return [b.text for b in (own if enough else mains)]
 
 
 def main_text(text: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The page's main text; ``template`` has the slots that the host's pages share."""
-    root = parse(text)
-    skeleton(root)
-    return "\n\n".join(_read(root, template) or (_read(root, frozenset()) if template else []))
-
-
-def _read(root: Node, template: frozenset[int]) -> list[str]:
-    return [t for n in _mains(root) for _, t in blocks_of(n, template, n.main >= 1)]
+    """The page's main text; ``template`` has the slots that the pages of its layout share."""
+    return "\n\n".join(chosen(read(text)[1], template))
 
 
 def _slots(text: str | None) -> tuple[str, list[tuple[int, int]], int]:
-    """Signature, hash of the text of each slot, and hash of the text of the main parts.
+    """Signature, hash of the text of each slot, and hash of the page's body.
 
-    Where no part is named so, of the longest slot: copies with another menu or date are one.
+    The body are the longest blocks that hold ``BODY`` of the text that the markup doesn't
+    leave out, so copies with another menu or date are one page.
     """
-    root = parse(text)
-    signature = skeleton(root)
+    signature, blocks = read(text)
     texts: dict[int, list[str]] = {}
-    for slot, t in blocks_of(root, chrome=False):
-        texts.setdefault(slot, []).append(t)
-    hashed = sorted((k, xxhash.xxh64_intdigest("\n".join(v).encode(), 42) - (1 << 63)) for k, v in texts.items())
-    mains = _mains(root)
-    if mains == [root]:
-        content = max((t for _, t in blocks_of(root)), key=lambda t: (len(t), t), default="")
-    else:
-        content = "\n\n".join(t for n in mains for _, t in blocks_of(n, inside=True))
-    return signature, hashed, xxhash.xxh64_intdigest(content.encode(), 42) - (1 << 63)
+    for b in blocks:
+        texts.setdefault(b.slot, []).append(b.text)
+    hashed = sorted((k, xxhash.xxh64_intdigest("\n".join(v).encode("utf-8", "replace"), 42) - (1 << 63)) for k, v in texts.items())
+    longest = sorted((b.text for b in blocks if not b.cut), key=lambda t: (-len(t), t))
+    total, whole, body = 0, sum(map(len, longest)), []
+    for t in longest:
+        if total >= BODY * whole:
+            break
+        total += len(t)
+        body.append(t)
+    content = "\n\n".join(body)
+    return signature, hashed, xxhash.xxh64_intdigest(content.encode("utf-8", "replace"), 42) - (1 << 63)
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -422,19 +539,24 @@ def extract(pages: DataFrame, carry: list[Column], url: str = "url", html: str =
     rows = pages.select(F.struct(*carry).alias("carry"), host_and_path(F.col(url))[0].alias("host"), F.col(html).alias("html"))
     rows = rows.withColumn("host", F.coalesce("host", F.lit("")))
     known = cut(templates(rows))
-    side = F.broadcast(known) if known.count() <= MOST_BROADCAST else known
-    joined = rows.join(side, "host", "left").select("carry", "html", "layouts")
+    if (known.agg(F.sum(F.length(F.to_json("layouts")))).first()[0] or 0) <= MOST_BROADCAST:
+        joined = rows.join(F.broadcast(known), "host", "left")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select("carry", "html", "layouts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, layouts in zip(b.column("html").to_pylist(), b.column("layouts").to_pylist(), strict=True):
-                if not layouts:
-                    out.append(main_text(text))
-                    continue
-                k, to, _ = nearest(skeleton(parse(text)), tuple(x["reference"] for x in layouts))
-                shared = set(layouts[k]["slots"])
-                out.append(main_text(text, frozenset(s for s, v in to.items() if v in shared)))
+                signature, blocks = read(text)
+                shared: frozenset[int] | None = None
+                if layouts:
+                    k, to, near = nearest(signature, tuple(x["reference"] for x in layouts))
+                    common = set(layouts[k]["slots"])
+                    shared = frozenset(s for s, v in to.items() if v in common) if near >= ALIKE else None
+                out.append("\n\n".join(chosen(blocks, shared)))
             yield pa.RecordBatch.from_arrays([b.column("carry"), pa.array(out, pa.string())], names=["carry", "text"])
 
     return joined.mapInArrow(run, joined.select("carry").schema.add("text", "string")).select("carry.*", "text")

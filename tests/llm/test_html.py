@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from momentlake.llm import html_extract as H
@@ -100,3 +103,105 @@ def test_two_layouts_of_a_host_have_templates_each(spark):
     rows = [(i, "http://a.net/", one(i) if i % 5 < 3 else two(i)) for i in range(50)]
     got = H.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"story {i} here" if i % 5 < 3 else f"word {i} said" for i in range(50)}
+
+
+@pytest.mark.parametrize("deep", [150, 300, 5000])
+def test_text_after_deep_nesting_stays(deep):
+    page = "<div id=wrap><article><p>a</p>" + "<div>" * deep + "in" + "</div>" * deep + "<p>after</p></article></div>"
+    assert H.main_text(page) == "a\n\nin\n\nafter"
+
+
+def test_names_touch_no_part_of_a_line_and_no_words_of_an_article():
+    inner = '<p>Buy <span class="share">shares</span> of <span class=related>related</span> firms <i hidden>x</i>now</p><div class="form">The form of the poem</div><p>end</p><div class=form><input>Name</div>'
+    assert H.main_text(f"<article>{inner}</article>") == "Buy shares of related firms now\n\nThe form of the poem\n\nend"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a x=">"' * 120_000, '<a ">"' * 150_000, "<div>" * 100_000, "<b>" * 100_000 + "<p>" * 100_000, "<!x" * 300_000, "<b>" * 150_000 + "</p>" * 150_000], ids=range(7))
+def test_long_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - began < 20  # a few seconds; minutes or hours if squares were at work
+
+
+def test_alignment_of_many_siblings():
+    tree = lambda n: "body(" + ",".join(f"div.c{i % n}" for i in range(5000)) + ")"
+    began = time.process_time()
+    assert len(H.align(tree(7), tree(5))) > 2500 and time.process_time() - began < 5
+
+
+def test_alignment_against_brute_force():
+    """The size of the alignment is the best over all ways to match children in order."""
+    rng = random.Random(5)
+
+    def tree(depth):
+        return rng.choice("ab"), [tree(depth - 1) for _ in range(rng.randrange(4) if depth else 0)]
+
+    def text(t):
+        return t[0] + (f"({','.join(map(text, t[1]))})" if t[1] else "")
+
+    def brute(a, b):
+        if a[0] != b[0]:
+            return 0
+
+        def rest(i, j):
+            if i == len(a[1]) or j == len(b[1]):
+                return 0
+            return max(rest(i + 1, j), rest(i, j + 1), brute(a[1][i], b[1][j]) + rest(i + 1, j + 1))
+
+        return 1 + rest(0, 0)
+
+    for few in (H.FEW, 0):
+        H.FEW, kept = few, H.FEW
+        for _ in range(150):
+            a, b = ("a", [tree(2) for _ in range(4)]), ("a", [tree(2) for _ in range(4)])
+            H.align.cache_clear()
+            to = H.align(text(a), text(b))
+            assert len(to) == brute(a, b) and len(set(to.values())) == len(to)
+            up = list(to.items())
+            assert up == sorted(up) or all((k < m) == (v < w) for k, v in up for m, w in up)
+        H.FEW = kept
+
+
+def brute_template(pages):
+    """Slots of one layout with the same text on 80% of its different pages, 8 at least."""
+    different = {}
+    for p in pages:
+        signature, blocks = H.read(p)
+        texts = {}
+        for b in blocks:
+            texts.setdefault(b.slot, []).append(b.text)
+        different.setdefault(H._slots(p)[2], {k: "\n".join(v) for k, v in texts.items()})
+    found = set()
+    for slot in {k for t in different.values() for k in t}:
+        held = [t.get(slot) for t in different.values()]
+        most = max(held.count(x) for x in held if x is not None)
+        if most >= max(8, 0.8 * len(different)):
+            found.add(slot)
+    return found
+
+
+def test_templates_against_brute_force(spark):
+    """The template decides inside and outside of an article; the result is that of counting slots by hand."""
+    page = lambda n: f"<body><div class=top>Shop now</div><article><h1>Title {n}</h1><p>story {n} of many words goes on here</p><div class=ask>Send us your story</div></article><div class=end>{'bye' if n % 10 else n}</div></body>"
+    pages = [page(n) for n in range(40)]
+    rows = [(n, "http://a.net/", p) for n, p in enumerate(pages)]
+    template = frozenset(brute_template(pages))
+    got = {r.page_id: r.text for r in H.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: H.main_text(p, template) for n, p in enumerate(pages)}
+    assert got[3] == "Title 3\n\nstory 3 of many words goes on here" and H.main_text(pages[3]).endswith("Send us your story")
+
+
+def test_what_varies_wins_over_a_marked_teaser(spark):
+    page = lambda n: f"<body><article class=card>Read our offer</article><div class=txt><p>story {n} is long and told in many words</p></div></body>"
+    rows = [(n, "http://a.net/", page(n)) for n in range(20)]
+    got = {r.page_id: r.text for r in H.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"story {n} is long and told in many words" for n in range(20)}
+
+
+def test_templates_beyond_the_broadcast(spark, monkeypatch):
+    page = lambda n: f"<body><div class=box>Shop now</div><div class=txt><p>story {n} here</p></div></body>"
+    rows = [(n, "http://a.net/" if n % 3 else None, page(n)) for n in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, H.extracted_pages(pages).collect()), key=str)
+    monkeypatch.setattr(H, "MOST_BROADCAST", -1)
+    assert sorted(map(tuple, H.extracted_pages(pages).collect()), key=str) == want and all(r[2].startswith("story") for r in want)
