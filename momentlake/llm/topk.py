@@ -4,9 +4,8 @@ A vector is cut into segments; a segment is summed up by its mean and its deviat
 Cauchy and Schwarz the inner product of two vectors is at most the sum over segments of
 size * (mean * mean' + deviation * deviation'), that is, their squared distance is at
 least the sum of their squared norms less twice that. The bound is computed with few
-segments first and with more for what is left, and exactly only for the survivors, whose
-bound reaches the k-th best score found so far. Where bounds prune too little, a block is
-scored whole: the result is the same.
+segments first and with more for what is left, down to two components a segment, and the
+score itself only for the survivors, whose bound reaches the k-th best score found so far.
 
 Queries and candidates meet in a grid of (query block, candidate chunk) tasks; each hands
 on k + 1 rows for each query. Equal vectors keep only the rows that can be among the first
@@ -15,7 +14,8 @@ k + 1, before anything is dealt out, so copies cost nothing.
 Vectors that are null or hold null or non-finite components take no part. Shorter vectors
 count as padded with zeros. A null id is no query and comes after the others in ties.
 Repeated rows are candidates of each other, and each is a query. Scores stop at the
-limits of 64 bits and are ranked so.
+limits of 64 bits and are ranked so. An empty table gives no rows. Further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentlake.plans.lineage import cut
+
 #: Segments of each resolution, coarse to fine.
 LEVELS = (1, 4, 16)
 QUERY_BLOCK = 4096
 CHUNK = 1 << 16
-#: Candidates scored at once against a query block.
-STEP = 1024
-#: Share of pairs left over which a block is scored whole.
-DENSE = 0.05
+#: Candidates scored first, and compared at once after that.
+SEED, STEP = 64, 1024
+#: Pairs are scored one by one where fewer than one in so many is left, else as a product.
+FEW = 16
 
 
 def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -54,34 +56,49 @@ def _clipped(scores: np.ndarray) -> np.ndarray:
     return np.array([[max(-(2**63), min(2**63 - 1, s)) for s in row] for row in scores], object).reshape(scores.shape)
 
 
-def best_of(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of q its k best rows of x: arrays query, candidate, score; ties to earlier x."""
+def levels(width: int) -> list[int]:
+    """Segments of each resolution: by fours, and last with two components in each."""
+    found = [s for s in LEVELS if 2 * s < width]
+    return [*found, width // 2] if width >= 2 else found
+
+
+def best_of(q: np.ndarray, x: np.ndarray, k: int, count: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of q its k best rows of x: arrays query, candidate, score; ties to earlier x.
+
+    A block of candidates goes through all levels; each level is computed for the queries and
+    candidates of pairs that are left. The first candidates, as many as a query needs, are
+    scored without bounds: until then there is nothing to compare a bound with. ``count``
+    gets how many pairs each level saw, and last how many were scored.
+    """
     plain = not q.size or not x.size or q.shape[1] * np.abs(q).max() < 2.0**53 / max(np.abs(x).max(), 1.0)
     tops = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     limit = np.full(len(q), -np.inf)
     if not plain:
         q, x = _integers(q), _integers(x)
-    views = [(segment_features(q, s), segment_features(x, s)) for s in LEVELS if s < q.shape[1]] if plain else []
-    for at in range(0, len(x), STEP):
-        block = x[at : at + STEP]
-        coarse = np.ones((len(q), len(block)), bool)
-        if views and at:
-            fq, fx = views[0]
-            coarse = fq @ fx[at : at + STEP].T >= (limit - 1e-6 * (1 + np.abs(limit)))[:, None]
-        if views and at and coarse.mean() <= DENSE:
-            qi, xi = np.nonzero(coarse)
-            for fq, fx in views[1:]:
-                ok = np.einsum("ij,ij->i", fq[qi], fx[at + xi]) >= limit[qi] - 1e-6 * (1 + np.abs(limit[qi]))
-                qi, xi = qi[ok], xi[ok]
-            score = np.einsum("ij,ij->i", q[qi], block[xi])
+    views = [(segment_features(q, s), segment_features(x, s)) for s in levels(q.shape[1])] if plain else []
+    seen = [0] * (len(views) + 1)
+    edges = [0, *range(min(SEED, len(x)), len(x), STEP), len(x)]
+    for at, end in zip(edges, edges[1:], strict=False):
+        rows, columns = np.arange(len(q)), np.arange(at, end)
+        left = np.ones((len(rows), len(columns)), bool)
+        for n, (fq, fx) in enumerate(views if at else []):
+            seen[n] += int(left.sum())
+            left &= fq[rows] @ fx[columns].T >= (limit - 1e-6 * (1 + np.abs(limit)))[rows, None]
+            some, those = left.any(axis=1), left.any(axis=0)
+            if not (some.all() and those.all()):
+                rows, columns, left = rows[some], columns[those], left[np.ix_(some, those)]
+        seen[-1] += int(left.sum())
+        if not left.any():
+            continue
+        qi, xi = np.nonzero(left)
+        if plain and len(qi) * FEW <= left.size:  # the same sums, without those of pairs that are out
+            score = np.einsum("ij,ij->i", q[rows[qi]], x[columns[xi]])
         else:
-            whole = q @ block.T if plain else _clipped(q.dot(block.T))
-            if plain and len(block) > k:  # only what reaches the block's own k-th score can stay
-                limit = np.maximum(limit, np.partition(whole, len(block) - k, axis=1)[:, len(block) - k])
-            qi, xi = np.nonzero(whole >= limit[:, None])
+            whole = q[rows] @ x[columns].T if plain else _clipped(q[rows].dot(x[columns].T))
             score = whole[qi, xi]
+        qi, xi = rows[qi], columns[xi]
         ok = score >= limit[qi]
-        qi, xi, score = (np.concatenate([a, b]) for a, b in zip(tops, (qi[ok], at + xi[ok], score[ok]), strict=True))
+        qi, xi, score = (np.concatenate([a, b]) for a, b in zip(tops, (qi[ok], xi[ok], score[ok]), strict=True))
         order = np.lexsort((xi, -score, qi)) if plain else np.array(sorted(range(len(qi)), key=lambda n: (qi[n], -score[n], xi[n])), np.int64)
         qi, xi, score = qi[order], xi[order], score[order]
         first = np.searchsorted(qi, np.arange(len(q)))
@@ -91,6 +108,8 @@ def best_of(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
         kth = np.flatnonzero(place == k - 1)
         if plain:
             limit[qi[kth]] = np.maximum(limit[qi[kth]], score[kth])
+    if count is not None:
+        count[:] = seen
     return tops
 
 
@@ -106,6 +125,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec
     whole = lambda x: F.when(F.abs(F.lit(float(scale)) * x.cast("double")) < 2.0**53, F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).otherwise(F.lit(float(scale)) * x.cast("double"))
     rows = vectors.select(F.col(vec_id).alias("id"), F.transform(embedding, whole).alias("v"), good.alias("good"))
     alike = rows.where("good").groupBy("id", "v").agg(F.count("*").alias("rows")).withColumn("key", F.xxhash64("id", "v"))
+    alike = cut(alike)
     copies = Window.partitionBy("v").orderBy(F.col("id").asc_nulls_last())
     candidates = alike.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
     queries = alike.where(F.col("id") % every == 0)

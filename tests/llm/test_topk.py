@@ -61,3 +61,29 @@ def test_bounds_hold():
         bound = topk.segment_features(a, s) @ topk.segment_features(b, s).T
         assert (bound >= exact - 1e-9).all() and bound.mean() <= last + 1e-9
         last = bound.mean()
+
+
+def test_levels_prune_before_scores(monkeypatch):
+    """Over many blocks, each level sees what the one before left; few pairs are scored, and the best are right."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(40, 64))
+    x = np.floor(256 * (centre[rng.integers(0, 40, 6000)] + 0.2 * rng.normal(size=(6000, 64))))
+    q = x[:50]
+    exact = q @ x.T
+    for step, few in ((1024, 16), (512, 1), (100, 10**9)):
+        monkeypatch.setattr(topk, "STEP", step)
+        monkeypatch.setattr(topk, "FEW", few)
+        seen = []
+        qi, xi, score = topk.best_of(q, x, 6, seen)
+        want = [(a, b, exact[a, b]) for a in range(50) for b in sorted(range(6000), key=lambda n: (-exact[a, n], n))[:6]]
+        assert list(zip(qi, xi, score)) == want
+        assert len(seen) == len(topk.levels(64)) + 1 and seen[:-1] == sorted(seen[:-1], reverse=True)
+        assert seen[0] == 50 * (6000 - topk.SEED) and seen[-1] < 0.25 * seen[0]
+
+
+def test_all_blocks_through_the_query(spark, monkeypatch):
+    monkeypatch.setattr(topk, "STEP", 32)
+    monkeypatch.setattr(topk, "SEED", 8)
+    rows = vectors(77, 1500, 16, 20)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
