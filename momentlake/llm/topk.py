@@ -32,7 +32,8 @@ from momentlake.plans.lineage import cut
 #: Segments of each resolution, coarse to fine.
 LEVELS = (1, 4, 16)
 QUERY_BLOCK = 4096
-CHUNK = 1 << 16
+#: Candidates of a chunk at most, and at least, if there are that many: bounds need good scores to be compared with.
+CHUNK, LEAST = 1 << 16, 1 << 11
 #: Candidates scored first, and compared at once after that.
 SEED, STEP = 64, 1024
 #: Pairs are scored one by one where fewer than one in so many is left, else as a product.
@@ -77,7 +78,7 @@ def best_of(q: np.ndarray, x: np.ndarray, k: int, count: list[int] | None = None
         q, x = _integers(q), _integers(x)
     views = [(segment_features(q, s), segment_features(x, s)) for s in levels(q.shape[1])] if plain else []
     seen = [0] * (len(views) + 1)
-    edges = [0, *range(min(SEED, len(x)), len(x), STEP), len(x)]
+    edges = [0, *(e for e in (SEED, 4 * SEED) if e < min(STEP, len(x))), *range(STEP, len(x), STEP), len(x)]
     for at, end in zip(edges, edges[1:], strict=False):
         rows, columns = np.arange(len(q)), np.arange(at, end)
         left = np.ones((len(rows), len(columns)), bool)
@@ -130,7 +131,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec
     candidates = alike.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1)
     queries = alike.where(F.col("id") % every == 0)
     n_queries, n_rows = queries.count(), alike.count()
-    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // CHUNK))
+    chunks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_rows // LEAST), -(-n_rows // CHUNK))
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
     each = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     own = queries.select(F.lit(True).alias("asks"), "id", "v", "rows", "key", F.pmod("key", F.lit(blocks)).cast("int").alias("block"), F.explode(each(chunks)).alias("chunk"))
