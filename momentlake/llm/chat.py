@@ -37,9 +37,9 @@ def maximal(turns: DataFrame) -> DataFrame:
     rolled = cut(
         numbered.select("conv_id", "at", "n", F.bit_xor(F.xxhash64("at", "digest")).over(sofar).alias("h1"), F.bit_xor(F.xxhash64("digest", "at", F.lit(7))).over(sofar).alias("h2"))
     )
-    whole = rolled.where("at = n")
+    whole = rolled.where("at = n").groupBy("at", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))  # copies are one row before the join
     begun = rolled.where("at < n").select("at", "h1", "h2").distinct()
-    return whole.join(begun, ["at", "h1", "h2"], "left_anti").groupBy("at", "h1", "h2").agg(F.min("conv_id").alias("conv_id")).select("conv_id", F.col("at").cast("long").alias("n_turns"))
+    return whole.join(begun, ["at", "h1", "h2"], "left_anti").select("conv_id", F.col("at").cast("long").alias("n_turns"))
 
 
 def formatted(turns: DataFrame) -> DataFrame:

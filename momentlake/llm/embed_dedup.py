@@ -3,10 +3,10 @@
 Unit vectors with cosine >= c lie within eps = sqrt(2 - 2 c). They are projected on the
 leading principal directions (orthonormal, so projections never lie farther apart than
 the vectors; fitted on a bounded sample, used for every vector) and sorted by their grid
-cells of width eps. The sequence is cut into intervals; pairs of intervals are joined
-recursively, and a pair whose boxes are more than eps apart is skipped, first on the
-driver over the intervals' boxes (at most ``MOST_INTERVALS``), then inside each task
-down to ``LEAF`` rows, where cosines are computed in double precision. A task hands on
+cells of width eps. The sequence is cut into intervals of bounded size; an interval is sent
+once to each one whose box is no more than eps away. Inside a task pairs of intervals are
+joined recursively, and parts whose boxes are more than eps apart are skipped, down to
+``LEAF`` rows, where cosines are computed in double precision. The driver holds boxes only. A task hands on
 link counts and a spanning forest, never all pairs. Equal vectors are one row with a
 count. (After Boehm, Braunmueller, Krebs and Kriegel, "Epsilon grid order", 2001.)
 
@@ -33,7 +33,10 @@ SAMPLE = 20_000
 DIRECTIONS = 8
 #: Grid cells are taken of so many directions, the others only bound distances.
 CELLS = 4
-INTERVAL, MOST_INTERVALS, LEAF = 2048, 512, 256
+#: Rows of an interval and numbers in them at most, and rows down to which a task skips by boxes.
+INTERVAL, NUMBERS, LEAF = 1 << 14, 1 << 20, 256
+#: Runs of grid cells that the sample bounds; a longer run is several intervals.
+MOST_CELLS = 4096
 
 
 def _stacked(lists: pa.Array, width: int) -> np.ndarray:
@@ -146,7 +149,8 @@ def linked(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embe
         p = u @ axes
         return np.concatenate([np.floor(p[:, :cells] / eps), p[:, :1]], axis=1)
 
-    count = int(min(MOST_INTERVALS, max(1, -(-total // INTERVAL))))
+    rows_of = max(LEAF, min(INTERVAL, NUMBERS // max(width, 1)))
+    count = int(min(MOST_CELLS, max(1, -(-total // rows_of))))
     keys = order_key(x)
     keys = keys[np.lexsort(keys.T[::-1])]
     bounds = [tuple(k) for k in keys[(np.arange(1, count) * len(keys)) // count]]
@@ -165,17 +169,28 @@ def linked(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embe
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(dims), pa.array(at), listed(k), listed(p), listed(u)], names=["first", "hash", "size", "dims", "at", "k", "p", "u"])
 
     placed = cut(alike.select("v", "first", "hash", "size").mapInArrow(place, "first long, hash long, size long, dims int, at int, k array<double>, p array<double>, u array<double>"))
+    # cells with more rows than an interval are split by a hash
+    held = sorted(map(tuple, placed.groupBy("at").count().collect()))  # MOST_CELLS rows at most
+    pieces = [-(-n // rows_of) for _, n in held]
+    cells = alike.sparkSession.createDataFrame([(a, p, sum(pieces[:k])) for k, ((a, _), p) in enumerate(zip(held, pieces, strict=True))], "cell int, pieces int, start int")
+    placed = placed.withColumnRenamed("at", "cell").join(F.broadcast(cells), "cell").withColumn("at", F.col("start") + F.pmod("hash", F.col("pieces")).cast("int")).drop("cell", "pieces", "start")
     low = [F.min(F.col("p")[n]).alias(f"l{n}") for n in range(axes.shape[1])]
     high = [F.max(F.col("p")[n]).alias(f"h{n}") for n in range(axes.shape[1])]
-    box = sorted(map(tuple, placed.groupBy("at").agg(*low, *high).collect()))
-    ids = [r[0] for r in box]
+    box = sorted(map(tuple, placed.groupBy("at").agg(*low, *high).collect()))  # a row for each interval
+    ids = np.array([r[0] for r in box])
     lows, highs = (np.array([r[a : a + axes.shape[1]] for r in box], float) for a in (1, 1 + axes.shape[1]))
-    tree = Boxes(lows, highs, 1)
-    partners: dict[int, list[tuple[int, int]]] = {i: [] for i in ids}
-    for a, _, c, _ in tree.near(tree, (0, len(ids)), (0, len(ids)), eps * eps * (1 + 1e-9) + 1e-12, True):
-        for i in {a, c}:
-            partners[ids[i]].append((ids[min(a, c)], ids[max(a, c)]))
-    pairs = alike.sparkSession.createDataFrame([(i, a, b) for i, p in partners.items() for a, b in p], "at int, a int, b int")
+    boxes = alike.sparkSession.sparkContext.broadcast((ids, lows, highs))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lows, highs = boxes.value
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                close = n + np.flatnonzero(_apart(lows[n], highs[n], lows[n:], highs[n:]) <= eps * eps * (1 + 1e-9) + 1e-12)
+                at = np.r_[ids[close], np.full(len(close) - 1, ids[n])]  # each interval of the pair once
+                a, c = np.full(len(at), ids[n]), np.r_[ids[close], ids[close[1:]]]
+                yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int32)) for z in (at, a, c)], names=["at", "a", "b"])
+
+    pairs = alike.sparkSession.range(len(ids)).mapInArrow(near, "at int, a int, b int")
     dealt = placed.join(pairs, "at").repartition("a", "b").sortWithinPartitions("a", "b", "at", "dims", "k", "hash").select("a", "b", "at", "dims", "first", "hash", "size", "p", "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,3 +58,13 @@ def test_no_valid_rows(spark):
     kind = "vec_id long, embedding array<float>"
     assert embed_dedup.linked(spark.createDataFrame([], kind)).collect() == []
     assert [tuple(r) for r in embed_dedup.linked(spark.createDataFrame([(1, None)], kind)).collect()] == [(1, 0, 1, True)]
+
+
+def test_runs_of_cells_split_by_size(spark, monkeypatch):
+    """Fewer bounds than intervals: the rest are split by a hash; links are those of brute force."""
+    monkeypatch.setattr(embed_dedup, "INTERVAL", 40)
+    monkeypatch.setattr(embed_dedup, "LEAF", 16)
+    monkeypatch.setattr(embed_dedup, "MOST_CELLS", 3)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(clustered(21, 500, spread=0.2))]
+    got = embed_dedup.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
