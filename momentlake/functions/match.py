@@ -139,4 +139,4 @@ def parse(query: str):
             raise ValueError("syntax error")
         return out
     except (ValueError, IndexError):
-        return Phrase(query.strip())
+        return Phrase(text)

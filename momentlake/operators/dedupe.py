@@ -52,19 +52,35 @@ def _records(rows: DataFrame) -> DataFrame:
     return rows.select(ident.alias("dup_id"), *rows.columns)
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, jaccard`` of all pairs of sets with at least this Jaccard similarity, a before b.
+def set_members(sets: DataFrame) -> DataFrame:
+    """``id, representative`` of every row: the smallest id with an equal set of tokens."""
+    keyed = _keyed(sets)
+    return keyed.join(_distinct(keyed).select("s", "n", F.col("id").alias("representative")), ["s", "n"]).select("id", "representative")
+
+
+def _keyed(sets: DataFrame) -> DataFrame:
+    """id, tokens, n, and s, 128 bits told from the sorted tokens."""
+    told = F.array_join(F.array_sort("tokens"), "\x1f")
+    return sets.select("id", "tokens", F.concat(F.hex(F.xxhash64(told)), F.lit(":"), F.hex(F.xxhash64(F.lit("2"), told))).alias("s"), F.size("tokens").alias("n"))
+
+
+def _distinct(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("s", "n").agg(F.min(F.struct("id", "tokens")).alias("r")).select("s", "n", "r.id", "r.tokens")
+
+
+def jaccard_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, jaccard`` of all pairs of different sets with at least this Jaccard similarity, a before b.
+
+    Each set stands for all rows that have it, by its smallest id (`set_members`).
 
     ``sets``: id and tokens (distinct). Tokens are ordered by how rare they are; two sets
     that similar share one of their first ``|x| - ceil(t |x|) + 1`` tokens, and their sizes
-    differ by a factor of t at most (prefix, length and position filters). Equal sets are joined
-    through one representative of each, so copies don't multiply. Empty sets are alike.
+    differ by a factor of t at most (prefix, length and position filters).
     """
     if threshold <= 0:
         raise ValueError("the prefix filter needs a threshold above 0")
     eps = 1e-9
-    keyed = sets.select("id", "tokens", F.xxhash64(F.array_sort("tokens")).alias("s"), F.size("tokens").alias("n"))
-    distinct = keyed.groupBy("s", "n").agg(F.min(F.struct("id", "tokens")).alias("r")).select("s", "n", "r.tokens")
+    distinct = _distinct(_keyed(sets))
     one = distinct.where("n > 0").select("s", "n", F.explode("tokens").alias("t"))
     counts = one.groupBy("t").agg(F.count("*").alias("df"))
     ordered = one.join(counts, "t").withColumn("k", F.row_number().over(Window.partitionBy("s", "n").orderBy("df", "t")))
@@ -79,10 +95,18 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     of = distinct.select("s", "tokens")
     checked = near.join(of.select(F.col("s").alias("sa"), F.col("tokens").alias("ta")), "sa").join(of.select(F.col("s").alias("sb"), F.col("tokens").alias("tb")), "sb")
     similar = checked.select("sa", "sb", T.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold - eps)
-    same = distinct.select(F.col("s").alias("sa"), F.col("s").alias("sb"), F.lit(1.0).alias("jaccard"))
-    member = keyed.select("id", "s")
-    pairs = similar.union(same).join(member.select(F.col("s").alias("sa"), F.col("id").alias("x")), "sa").join(member.select(F.col("s").alias("sb"), F.col("id").alias("y")), "sb")
-    return pairs.where((F.col("sa") != F.col("sb")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    named = distinct.select("s", "id")
+    both = similar.join(named.select(F.col("s").alias("sa"), F.col("id").alias("x")), "sa").join(named.select(F.col("s").alias("sb"), F.col("id").alias("y")), "sb")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """`jaccard_links` with every row in place of its representative, and equal sets as pairs: for inputs without copies."""
+    members = set_members(sets)
+    own = lambda r, n: members.select(F.col("representative").alias(r), F.col("id").alias(n))
+    pairs = jaccard_links(sets, threshold).join(own("a", "x"), "a").join(own("b", "y"), "b").select("x", "y", "jaccard")
+    same = own("r", "x").join(own("r", "y"), "r").where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def _ratio(a, b):

@@ -46,11 +46,12 @@ def nodes(t: Tables) -> DataFrame:
     ]
     if t.claims is not None:
         parts.append(("claim", t.claims.select(F.col("claim_id").alias("ref_id"), F.substring("text", 1, 200).alias("label"), none)))
-    rows = [df.select(_node(kind).alias("node_id"), F.lit(kind).alias("node_type"), "ref_id", "label", "metadata") for kind, df in parts]
+    rows = [df.select(_node(kind).alias("node_id"), F.lit(k).alias("stage"), F.lit(kind).alias("node_type"), "ref_id", "label", "metadata") for k, (kind, df) in enumerate(parts)]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out
+    first = F.min_by(F.struct("node_type", "ref_id", "label", "metadata"), F.struct("stage", "label")).alias("r")
+    return out.groupBy("node_id").agg(first).select("node_id", "r.*")
 
 
 def mentions(t: Tables) -> DataFrame:
@@ -102,7 +103,7 @@ def edges(t: Tables) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     ident = F.concat(F.lit("edge:"), T.short_hash(F.concat_ws("|", "edge_type", "source_node_id", "target_node_id"), 12))
-    return out.select(ident.alias("edge_id"), *out.columns)
+    return out.groupBy("source_node_id", "target_node_id", "edge_type").agg(F.max("weight").alias("weight")).select(ident.alias("edge_id"), *out.columns)
 
 
 def ends(e: DataFrame) -> DataFrame:
@@ -182,3 +183,11 @@ def export(n: DataFrame, e: DataFrame) -> DataFrame:
     node = n.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.to_json(F.struct("node_id", "node_type", "ref_id", "label", "metadata")).alias("json"))
     edge = e.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), F.to_json(F.struct("edge_id", "source_node_id", "target_node_id", "edge_type", "weight")).alias("json"))
     return node.unionByName(edge)
+
+
+def write_export(n: DataFrame, e: DataFrame, path: str) -> None:
+    """`export` as lines of JSON below ``path``, and one line that tells when, how many nodes and edges, and of which types."""
+    export(n, e).select("json").write.mode("overwrite").text(f"{path}/rows")
+    counts = lambda df, c: df.groupBy(c).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(f"{c}s"), F.sum("n").alias("total"))  # noqa: E731  a row for each type
+    told = counts(n, "node_type").withColumnRenamed("total", "nodes").crossJoin(counts(e, "edge_type").withColumnRenamed("total", "edges"))
+    told.select(F.to_json(F.struct(F.current_timestamp().alias("created_at"), "nodes", "edges", "node_types", "edge_types")).alias("json")).write.mode("overwrite").text(f"{path}/summary")

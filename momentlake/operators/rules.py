@@ -56,17 +56,45 @@ def _starts(text: Column, prefixes: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (F.startswith(F.lower(text), F.lit(p)) for p in prefixes))
 
 
-def contradictions(claims: DataFrame) -> DataFrame:
+def directives(claims: DataFrame) -> DataFrame:
+    """``claim_id, neg, pos`` of the claims that forbid or ask for something; "do not" is a "do" as well, as the rules have it."""
+    signed = claims.select("claim_id", _starts(F.col("text"), R.NEGATIVE).alias("neg"), _starts(F.col("text"), R.POSITIVE).alias("pos"))
+    return signed.where("neg or pos")
+
+
+def opposed(claims: DataFrame) -> DataFrame:
+    """``claim_id, neg, pos, n_against, first_against`` of every directive: how many others have the other sign, and the first of them.
+
+    One row a claim, from totals of the two sides; `contradictions` gives the pairs.
+    """
+    d = directives(claims)
+    low = lambda test: F.min(F.when(test, F.col("claim_id")))
+    totals = d.agg(F.count_if("neg").alias("n_neg"), F.count_if("pos").alias("n_pos"), F.count("*").alias("n"), low(F.col("neg")).alias("first_neg"), low(F.col("pos")).alias("first_pos"), F.min("claim_id").alias("first"))
+    totals = totals.crossJoin(d.crossJoin(F.broadcast(totals.select("first"))).agg(low(F.col("claim_id") > F.col("first")).alias("second")))  # one row each
+    both = F.col("neg") & F.col("pos")
+    joined = d.crossJoin(F.broadcast(totals))
+    against = F.when(both, F.col("n") - 1).when(F.col("neg"), F.col("n_pos")).otherwise(F.col("n_neg"))
+    first = F.when(both, F.when(F.col("claim_id") == F.col("first"), F.col("second")).otherwise(F.col("first"))).when(F.col("neg"), F.col("first_pos")).otherwise(F.col("first_neg"))
+    return joined.select("claim_id", "neg", "pos", against.alias("n_against"), first.alias("first_against"))
+
+
+def contradictions(claims: DataFrame, asked: DataFrame | None = None, salts: int = 64) -> DataFrame:
     """``claim_a, claim_b, reason``: negative directives against positive ones, a before b.
 
-    Claims are ordered by id. A "do not" is a "do" as well, as the rules have it. Only
-    directives are joined, each with those of the other sign.
+    Claims are ordered by id. ``asked`` (claim_id) leaves only pairs with one of these
+    claims: that is the form for large tables, as pairs of all are as many as the product of
+    the sides. One side is dealt to ``salts`` tasks and the other sent to each.
     """
-    signed = claims.select("claim_id", _starts(F.col("text"), R.NEGATIVE).alias("neg"), _starts(F.col("text"), R.POSITIVE).alias("pos"))
-    a = signed.where("neg or pos").select(F.col("claim_id").alias("claim_a"), F.col("neg").alias("neg_a"), F.explode(F.expr("filter(array(if(neg, 'pos', null), if(pos, 'neg', null)), x -> x is not null)")).alias("wants"))
-    b = signed.select(F.col("claim_id").alias("claim_b"), F.explode(F.expr("filter(array(if(neg, 'neg', null), if(pos, 'pos', null)), x -> x is not null)")).alias("wants"))
-    pairs = a.join(b, "wants").where("claim_a < claim_b")
-    best = pairs.groupBy("claim_a", "claim_b").agg(F.max(F.col("wants") == "pos").alias("negative_first"))
+    d = directives(claims)
+    sides = lambda n, own, other: d.select(F.col("claim_id").alias(n), F.explode(F.expr(f"filter(array(if(neg, '{own}', null), if(pos, '{other}', null)), x -> x is not null)")).alias("wants"))
+    a, b = sides("x", "pos", "neg"), sides("y", "neg", "pos")
+    if asked is not None:
+        a = a.join(asked.select(F.col("claim_id").alias("x")).distinct(), "x", "left_semi")
+    b = b.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(salts)).cast("int"))
+    pairs = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).join(b, ["wants", "salt"])
+    pairs = pairs.where("x < y" if asked is None else "x <> y")
+    negative_first = F.when(F.col("x") < F.col("y"), F.col("wants") == "pos").otherwise(F.col("wants") == "neg")
+    best = pairs.groupBy(F.least("x", "y").alias("claim_a"), F.greatest("x", "y").alias("claim_b")).agg(F.max(negative_first).alias("negative_first"))
     return best.select("claim_a", "claim_b", F.when(F.col("negative_first"), "negative vs positive directive").otherwise("positive vs negative directive").alias("reason"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries compared with all vectors in one block.
-BLOCK = 2048
+#: Queries and vectors that one task compares.
+BLOCK, CHUNK = 1024, 1 << 14
 
 
 def hash_embedding(text: Column, dimension: int = 64) -> Column:
@@ -22,60 +26,74 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of unit length (zero stays zero) of lists of one size."""
+    x = np.asarray(lists.flatten(), float).reshape(len(lists), -1)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _best_of_cells(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by cell (block, chunk, dims), each query's k best vectors of the cell."""
+
+    def cell(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        asks = np.asarray(t["asks"])
+        ids = np.asarray(t["id"])
+        v = t["v"].chunk(0)
+        found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+        scores: list[np.ndarray] = [np.empty(0)]
+        ask, have = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if len(ask) and len(have):
+            q, x = _matrix(v.take(pa.array(ask))), _matrix(v.take(pa.array(have)))
+            at = ids[have]
+            for lo in range(0, len(q), 256):
+                s = np.round(q[lo : lo + 256] @ x.T, 4) + 0.0
+                for n, row in enumerate(s):
+                    some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                    best = some[np.lexsort((at[some], -row[some]))[:k]]
+                    found.append(np.stack([np.full(len(best), ids[ask[lo + n]]), at[best]], axis=1))
+                    scores.append(row[best])
+        pairs = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.concatenate(scores))], names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            key = np.stack([np.asarray(b.column(c)) for c in ("block", "chunk", "dims")], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(key[lo]) != last:
+                    yield cell(held)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+                last = tuple(key[lo])
+        if held:
+            yield cell(held)
+
+    return run
+
+
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, vec_id, score, rank: each query's nearest vectors; ties to the smaller id.
 
-    A stated query set meets all vectors in blocks: each block of ``BLOCK`` queries goes
-    to every batch of vectors as one matrix product, and a batch hands on k rows for each
-    query. Blocks are collected one after another, so the driver never holds more.
+    Blocks of queries and chunks of vectors meet in a grid of tasks, each one matrix
+    product; a task hands on k rows for each query. Nothing goes through the driver but
+    the two counts that the grid is made from. Only vectors of one size are compared.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    spark = vectors.sparkSession
-    part = vectors.select("vec_id", "embedding")
-    out = None
-    held: list = []
-
-    def against(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(([r[0] for r in block], [r[1] for r in block]))
-
-        def run(batches):
-            ids, lists = sent.value
-            width = max(map(len, lists), default=0)
-            for b in batches:
-                vecs = b.column("embedding").to_pylist()
-                groups: dict[int, list[int]] = {}
-                for n, v in enumerate(vecs):
-                    groups.setdefault(len(v or []), []).append(n)
-                q_out, v_out, s_out = [], [], []
-                own = b.column("vec_id").to_pylist()
-                for size in range(1, width + 1):
-                    qs = [n for n, v in enumerate(lists) if len(v) == size]
-                    if not qs or size not in groups:
-                        continue
-                    unit = lambda rows: (lambda x, z: np.divide(x, z, out=np.zeros_like(x), where=z > 0))(x := np.array(rows, float), np.sqrt((x * x).sum(1, keepdims=True)))
-                    s = unit([lists[n] for n in qs]) @ unit([vecs[n] for n in groups[size]]).T
-                    s = np.round(s, 4) + 0.0
-                    at = np.array([own[n] for n in groups[size]])
-                    for row, n in enumerate(qs):
-                        best = np.lexsort((at, -s[row]))[:k]
-                        q_out += [ids[n]] * len(best)
-                        v_out += at[best].tolist()
-                        s_out += s[row, best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(q_out, pa.int64()), pa.array(v_out, pa.int64()), pa.array(s_out, pa.float64())], names=["query_id", "vec_id", "score"])
-
-        return part.mapInArrow(run, "query_id long, vec_id long, score double")
-
-    for r in queries.where("embedding is not null").toLocalIterator():
-        held.append(r)
-        if len(held) == BLOCK:
-            out = against(held) if out is None else out.unionAll(against(held))
-            held = []
-    if held or out is None:
-        out = against(held) if out is None else out.unionAll(against(held))
+    grid = lambda n, size: max(1, -(-n // size))
+    asked = queries.where("embedding is not null and size(embedding) > 0").select(F.lit(True).alias("asks"), F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    known = vectors.where("embedding is not null and size(embedding) > 0").select(F.lit(False).alias("asks"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    blocks, chunks = grid(asked.count(), BLOCK), grid(known.count(), CHUNK)
+    deal = lambda n, own: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int") if own else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("block", deal(blocks, True)).withColumn("chunk", deal(chunks, False))
+    known = known.withColumn("chunk", deal(chunks, True)).withColumn("block", deal(blocks, False))
+    both = asked.unionByName(known).withColumn("dims", F.size("v"))
+    dealt = both.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "dims").select("block", "chunk", "dims", "asks", "id", "v")
+    found = dealt.mapInArrow(_best_of_cells(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def hybrid(text: DataFrame, semantic: DataFrame, limit: int) -> DataFrame:

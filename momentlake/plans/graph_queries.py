@@ -146,10 +146,17 @@ def graph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nodes(t).where("node_type = 'duplicate_cluster'").select("node_id", "label").join(members, "node_id")
 
 
-@query()
+@query(
+    _graph(
+        "SELECT 'node' AS kind, node_id AS id, node_type AS type, label, NULL::VARCHAR AS source_id, NULL::VARCHAR AS target_id, NULL::DOUBLE AS weight FROM nodes UNION ALL SELECT 'edge', edge_id, edge_type, NULL, source_node_id, target_node_id, weight FROM edges"
+    )
+)
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges read back from their JSON."""
     t = _tables(spark, sf_dir)
-    return graph.export(graph.nodes(t), graph.edges(t))
+    j = graph.export(graph.nodes(t), graph.edges(t))
+    of = lambda *names: F.coalesce(*(F.get_json_object("json", f"$.{n}") for n in names))
+    return j.select("kind", "id", of("node_type", "edge_type").alias("type"), of("label").alias("label"), of("source_node_id").alias("source_id"), of("target_node_id").alias("target_id"), of("weight").cast("double").alias("weight"))
 
 
 _CLAIM_ENTITIES = entities_cte("ce", "claims", "claim_id", "text")
@@ -263,16 +270,22 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _job_events(spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parquet*"))
 
 
-@query()
+_CLOSED = "(SELECT epoch_us(max(ts)) - 600000000 FROM je)"
+
+
+@query(f"WITH {_JOBS_CTE}, l AS (SELECT job_id, max(ts) AS last, arg_max(status, (ts, event_id)) AS status FROM je GROUP BY job_id) SELECT job_id, epoch_us(last) // 1000 AS heartbeat_ms, 'error' AS status FROM l WHERE status NOT IN ('ready', 'error') AND epoch_us(last) // 1000 + 120000 < {_CLOSED} // 1000")
 def jobs_stuck_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose heartbeat is overdue when the stream has told of all events."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    return streaming.run_to_memory(streaming.stuck_stream(_stream(spark, sf_dir)), f"stuck_{uuid.uuid4().hex}", at)
+    late = streaming.run_to_table(streaming.stuck_stream(_stream(spark, sf_dir)), at)
+    return late.select("job_id", F.unix_millis("last_heartbeat_at").alias("heartbeat_ms"), "status")
 
 
-@query()
+@query(f"WITH {_JOBS_CTE} SELECT window_us, status, count(*) AS n FROM (SELECT epoch_us(date_trunc('hour', ts)) AS window_us, status FROM je) GROUP BY window_us, status HAVING window_us + 3600000000 <= {_CLOSED}")
 def jobs_activity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and status, of the hours that the watermark has closed."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    return streaming.run_to_memory(streaming.activity(_stream(spark, sf_dir)), f"activity_{uuid.uuid4().hex}", at)
+    return streaming.run_to_table(streaming.activity(_stream(spark, sf_dir)), at).select(F.unix_micros("window_start").alias("window_us"), "status", "n")
 
 
 # --- writes: old rows are documents, new ones a tenth of them with another source

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from momentlake.functions import rules as R
 from momentlake.operators import rules as op
 from momentlake.plans import sql as S
+from momentlake.plans.lineage import cut
 from momentlake.sources.corpus import moments
 
 QUERIES, SQL = {}, {}
@@ -159,6 +160,19 @@ def claims_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.contradictions(op.claims(moments(spark, sf_dir)))
 
 
+@query(
+    S.with_moments(
+        """SELECT x.claim_id, x.neg, x.pos, count(y.claim_id) AS n_against, min(y.claim_id) AS first_against
+FROM s x LEFT JOIN s y ON x.claim_id <> y.claim_id AND ((x.neg AND y.pos) OR (x.pos AND y.neg)) WHERE x.neg OR x.pos GROUP BY ALL""",
+        CLAIMS_CTE,
+        f"s AS (SELECT claim_id, {S.starts_any('lower(text)', R.NEGATIVE)} AS neg, {S.starts_any('lower(text)', R.POSITIVE)} AS pos FROM claims)",
+    )
+)
+def claims_opposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each directive with how many others contradict it: one row a claim, whatever the number of pairs."""
+    return op.opposed(cut(op.claims(moments(spark, sf_dir))))
+
+
 def _technical(name: str, modality: str, cte: str, table: str, function) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = moments(spark, sf_dir)

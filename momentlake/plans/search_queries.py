@@ -77,6 +77,19 @@ def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.jaccard_pairs(sets, 0.8).withColumn("jaccard", F.round("jaccard", 4))
 
 
+@query(
+    f"""WITH {PLAIN_CTE}, {_SETS}, r AS (SELECT min(moment_id) AS a, list_sort(t) AS t FROM w GROUP BY list_sort(t)),
+l AS (SELECT least(x.a, y.a) AS a, greatest(x.a, y.a) AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) + len(y.t) AS n FROM r x JOIN r y ON x.a < y.a AND least(len(x.t), len(y.t)) >= 0.8 * greatest(len(x.t), len(y.t)) - 1e-9)
+SELECT 'link' AS kind, a, b, round(i::DOUBLE / (n - i), 4) AS jaccard FROM l WHERE i >= 0.8 * (n - i) - 1e-9
+UNION ALL SELECT 'member', r.a, w.moment_id, 1.0::DOUBLE FROM w JOIN r ON list_sort(w.t) = r.t"""
+)
+def near_dup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between different sets of words, told by representatives, and which moments each represents: copies aren't expanded."""
+    sets = cut(plain(spark, sf_dir).select(F.col("moment_id").alias("id"), F.array_distinct(T.words(F.col("transcript_text"))).alias("tokens")))
+    links = dedupe.jaccard_links(sets, 0.8).select(F.lit("link").alias("kind"), "a", "b", F.round("jaccard", 4).alias("jaccard"))
+    return links.unionByName(dedupe.set_members(sets).select(F.lit("member").alias("kind"), F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
+
+
 @query()
 def dedupe_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.duplicates(plain(spark, sf_dir))
@@ -233,6 +246,13 @@ def search_video_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS_CTE = "dups AS (SELECT 'dup:' || moment_id AS dup_id, moment_id, 'src' || ((ord - 12) % 20) || ':' || (ord - 12) AS canonical_moment_id, ['exact', 'same_idea', 'variant'][ord % 3 + 1] AS duplicate_type FROM m WHERE ord % 24 >= 12 AND ord >= 12)"
 
 
+_COLLAPSED = (
+    "k0 AS (SELECT res.*, d.canonical_moment_id AS c, d.duplicate_type AS t, d.canonical_moment_id IN (SELECT moment_id FROM res) AS there FROM res LEFT JOIN dups d USING (moment_id))",
+    "k1 AS (SELECT *, coalesce(there, false) AS dropped FROM k0)",
+    "k2 AS (SELECT moment_id, raw_score, score, coalesce(t IN ('exact', 'near_text', 'same_idea'), false) AS is_duplicate, coalesce(t IN ('same_idea', 'variant'), false) AS is_variant, c AS canonical_moment_id, row_number() OVER (ORDER BY rank) AS place, (SELECT count(*) FROM k1 WHERE dropped) AS gone FROM k1 WHERE NOT dropped)",
+)
+
+
 def _pairs(m: DataFrame) -> DataFrame:
     o = F.col("ord")
     kind = F.element_at(F.array(F.lit("exact"), F.lit("same_idea"), F.lit("variant")), (o % 3 + 1).cast("int"))
@@ -244,9 +264,7 @@ def _pairs(m: DataFrame) -> DataFrame:
     S.with_moments(
         "SELECT moment_id, score, is_duplicate, is_variant, canonical_moment_id, place::INTEGER AS rank, CASE WHEN place = 1 THEN gone ELSE 0 END AS collapsed_count FROM k2 WHERE place <= 10",
         *_POST, *_AND, *_SUMMARY, *_boosted(QUERY, 10), _PAIRS_CTE,
-        "k0 AS (SELECT res.*, d.canonical_moment_id AS c, d.duplicate_type AS t, d.canonical_moment_id IN (SELECT moment_id FROM res) AS there FROM res LEFT JOIN dups d USING (moment_id))",
-        "k1 AS (SELECT *, coalesce(there, false) AS dropped FROM k0)",
-        "k2 AS (SELECT moment_id, score, coalesce(t IN ('exact', 'near_text', 'same_idea'), false) AS is_duplicate, coalesce(t IN ('same_idea', 'variant'), false) AS is_variant, c AS canonical_moment_id, row_number() OVER (ORDER BY rank) AS place, (SELECT count(*) FROM k1 WHERE dropped) AS gone FROM k1 WHERE NOT dropped)",
+        *_COLLAPSED,
     )
 )
 def search_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,15 +300,18 @@ _FLAGS = ", ".join([
 _FEATURE_CTES = (*_SUMMARY, *TECHNICAL_CTES, _PAIRS_CTE, _EDGE_COUNTS, f"feat AS (SELECT * EXCLUDE (title, tl, ol, il), {_FLAGS} FROM fe)")
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = moments(spark, sf_dir)
+def _features(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
+    """Features of all moments, or of the hits: nothing is extracted from others then."""
+    every = m = moments(spark, sf_dir)
+    if hits is not None:
+        m = cut(m.join(hits.select("moment_id"), "moment_id", "left_semi"))
     i, e = cut(rules.ideas(m)), cut(rules.technical(m))  # read as tables and as edges
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c))
     edge = lambda df, a, b, kind: df.select(a.alias("source_node_id"), b.alias("target_node_id"), F.lit(kind).alias("edge_type"))
     mi = node("moment", "moment_id")
     edges = edge(i, mi, node("idea", "idea_id"), "moment_expresses_idea").unionAll(edge(i, node("idea", "idea_id"), mi, "idea_mentioned_in_moment"))
     edges = edges.unionAll(edge(e, mi, node("evidence", "evidence_id"), "moment_has_evidence")).unionAll(edge(e, node("evidence", "evidence_id"), mi, "evidence_supports_idea"))
-    return search.features(m, i, e, _pairs(m), edges, QUERY)
+    return search.features(m, i, e, _pairs(every), edges, QUERY)
 
 
 _FEATURE_COLUMNS = [
@@ -332,18 +353,35 @@ def rank_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir).select("moment_id", search.graph_score(F.lit(1.0))[1].alias("reasons"))
 
 
-@query()
+_AGAIN = f"rr AS (SELECT moment_id, k2.raw_score, {_SCORE.replace('1.0::DOUBLE', 'k2.score', 1)} AS score, {_REASONS} AS reasons FROM k2 JOIN feat USING (moment_id) WHERE place <= 10)"
+
+
+@query(S.with_moments("SELECT *, row_number() OVER (ORDER BY score DESC, raw_score DESC, moment_id)::INTEGER AS rank FROM rr", *_POST, *_AND, *_FEATURE_CTES[:1], *_SUMMARY[1:], *_boosted(QUERY, 10), *_FEATURE_CTES[len(_SUMMARY) :], *_COLLAPSED, _AGAIN))
 def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits collapsed, scored by the graph and sorted: the whole way of a search."""
     m = moments(spark, sf_dir)
-    got = search.collapse(_results(spark, sf_dir), _pairs(m))
-    f = _features(spark, sf_dir).drop("idea_types", "canonical_moment_id")
+    got = cut(search.collapse(_results(spark, sf_dir), _pairs(m)).select("moment_id", "score", "raw_score"))
+    f = _features(spark, sf_dir, got).drop("idea_types", "canonical_moment_id")
     score, reasons = search.graph_score(F.col("score"))
-    joined = got.select("moment_id", "score", "raw_score").join(f, "moment_id").select("moment_id", "raw_score", score.alias("score"), reasons.alias("reasons"))
+    joined = got.join(f, "moment_id").select("moment_id", "raw_score", score.alias("score"), reasons.alias("reasons"))
     return search.ranked(joined)
 
 
-@query()
+_LOSS = "0.5::DOUBLE * CASE WHEN c <> '' AND list_contains(g.ids, c) THEN 0.5::DOUBLE WHEN c <> '' AND list_contains(g.cs, c) THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END + 0.5::DOUBLE * CASE WHEN list_contains(g.vs, video_id) THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + 0.5::DOUBLE * CASE WHEN idea_types <> '' AND list_contains(g.ts, idea_types) THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+@query(
+    S.with_moments(
+        "SELECT 1::BIGINT AS query_id, d.moment_id, d.video_id, nullif(d.c, '') AS canonical_moment_id, d.idea_types, d.score, g.k::INTEGER AS rank FROM g JOIN cand d ON d.moment_id = g.ids[g.k] WHERE g.k > 0",
+        *_POST, *_AND, *_SUMMARY, *_boosted(QUERY, 10), _PAIRS_CTE, *_COLLAPSED[:1],
+        "cand AS (SELECT moment_id, video_id, coalesce(c, '') AS c, idea_types, score FROM k0 WHERE NOT (coalesce(there, false) AND coalesce(t, '') = 'exact'))",
+        f"""g(k, ids, cs, vs, ts) AS (SELECT 0, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], []::VARCHAR[]
+  UNION ALL SELECT k + 1, list_append(ids, b.moment_id), list_append(cs, b.c), list_append(vs, b.video_id), list_append(ts, b.idea_types) FROM (
+    SELECT g.*, (SELECT first(struct_pack(moment_id := moment_id, c := c, video_id := video_id, idea_types := idea_types) ORDER BY score - ({_LOSS}) DESC, score DESC, moment_id) FROM cand WHERE NOT list_contains(g.ids, moment_id)) AS b FROM g WHERE k < 10)
+  WHERE b IS NOT NULL)""",
+        recursive=True,
+    )
+)
 def search_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = search.collapse(_results(spark, sf_dir), _pairs(moments(spark, sf_dir)), 30, diverse=True)
     return search.diversify(got.withColumn("query_id", F.lit(1).cast("long")))
@@ -450,6 +488,16 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(_per_query(spark, sf_dir)).select("total_queries", "top1_hits", "top1_pct", "top3_hits", "top5_hits", "video_hits", "term_hits", "avg_results_returned", "avg_unique_videos")
 
 
-@query()
+_PCT = lambda n: f"count(*) FILTER (WHERE n >= {n}) * 100.0::DOUBLE / count(*)"
+_REPORT = {
+    "total_queries": "count(*)", "top1_hits": "count(*) FILTER (WHERE n >= 1)", "top1_pct": f"round({_PCT(1)}, 1)", "top3_hits": "count(*) FILTER (WHERE n >= 3)", "top3_pct": f"round({_PCT(3)}, 1)",
+    "top5_hits": "count(*) FILTER (WHERE n >= 5)", "top5_pct": f"round({_PCT(5)}, 1)", "video_hits": "sum(video_hit)", "term_hits": "sum(term_hit)", "term_checks": "sum(terms)",
+    "term_pct": "round(sum(term_hit) * 100.0::DOUBLE / nullif(sum(terms), 0), 1)", "avg_results_returned": "round(sum(n)::DOUBLE / count(*), 2)", "avg_unique_videos": "round(sum(n_videos)::DOUBLE / count(*), 2)",
+    "precision": "round(sum(in_video)::DOUBLE / nullif(sum(n), 0), 4)", "mrr": "round(avg(round(rr, 4)), 4)",
+}
+_MORE = "pr AS (SELECT pq.*, (SELECT count(*) FROM top WHERE top.query_id = ex.query_id AND top.video_id = ex.video) AS in_video, CASE WHEN ex.term IS NULL THEN 0 ELSE 1 END AS terms FROM pq JOIN ex USING (query_id))"
+
+
+@query(S.with_moments(" UNION ALL ".join(f"SELECT '{k}' AS metric, ({x})::DOUBLE AS value FROM pr" for k, x in _REPORT.items()), *_EVAL_CTES, _MORE))
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.report(evaluate.summary(_per_query(spark, sf_dir)))

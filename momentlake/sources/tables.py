@@ -74,9 +74,13 @@ def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, *key: str, order: str | None = None) -> DataFrame:
-    """``old`` and the first new row of each key that it lacks, by ``order`` (a column of new)."""
-    first = Window.partitionBy(*key).orderBy(*([order] if order else list(key)))
-    once = new.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*old.columns)
+    """``old`` and the first new row of each key that it lacks, by ``order`` (a column of new), then by all columns.
+
+    The first is a partial minimum, so a key repeated often never meets in one task.
+    """
+    rest = [c for c in old.columns if c not in key]
+    by = F.struct(*([F.col(order).alias("__order")] if order else []), *rest)
+    once = new.groupBy(*key).agg(F.min(by).alias("r")).select(*key, "r.*").select(*old.columns)
     return old.unionByName(once.join(old.select(*key), list(key), "left_anti").select(*old.columns))
 
 

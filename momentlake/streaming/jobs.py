@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,7 +19,7 @@ from momentlake.operators.jobs import ENDED, TIMEOUT_S
 def stuck_stream(events: DataFrame, timeout_s: float = TIMEOUT_S, late: str = "10 minutes") -> DataFrame:
     """``job_id, last_heartbeat_at, status`` of jobs whose heartbeat is overdue by the watermark.
 
-    ``events``: job_id, ts, status. State is one row for each running job; an end state
+    ``events``: job_id, event_id, ts, status. State is one row for each running job; an end state
     removes it.
     """
     wait = int(timeout_s * 1000)
@@ -32,8 +32,8 @@ def stuck_stream(events: DataFrame, timeout_s: float = TIMEOUT_S, late: str = "1
             return
         last, ended = (state.get[0] if state.exists else 0), False
         for pdf in batches:
-            pdf = pdf.sort_values("ts")
-            at = int(pdf["ts"].max().timestamp() * 1000)
+            pdf = pdf.sort_values(["ts", "event_id"])
+            at = pdf["ts"].max().value // 1_000_000
             if at >= last:
                 last, ended = at, pdf["status"].iloc[-1] in ENDED
         if ended:
@@ -43,7 +43,7 @@ def stuck_stream(events: DataFrame, timeout_s: float = TIMEOUT_S, late: str = "1
         state.update((last,))
         state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
 
-    keyed = events.select("job_id", "ts", "status").withWatermark("ts", late).groupBy("job_id")
+    keyed = events.select("job_id", "event_id", "ts", "status").withWatermark("ts", late).groupBy("job_id")
     kind = dict((f.name, f.dataType.simpleString()) for f in events.schema.fields)["job_id"]
     return keyed.applyInPandasWithState(step, f"job_id {kind}, last_heartbeat_at timestamp, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -63,8 +63,8 @@ def ingest(entries: DataFrame, path: str, checkpoint: str):
     return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_memory(df: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what there is now and return what it put out."""
-    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, path: str) -> DataFrame:
+    """Run a stream over what there is now, write what it puts out as Parquet below ``path``, and read that."""
+    q = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start()
     q.awaitTermination()
-    return SparkSession.active().table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
