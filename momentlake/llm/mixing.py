@@ -8,8 +8,10 @@ in [0, 1) drawn from the source's name is added, and a document is taken once fo
 integer that the sum crosses in it. The order by size keeps the words taken within about
 one largest document of the target.
 
-Sizes are words. Null texts have size 0. A null source is a source of its own, after the
-others. Null ids come first among equal sizes. Repeated rows are sampled one by one.
+Sizes are words, of texts of any length. Null and empty texts have size 0. A null source is
+a source of its own, after the others. Null ids come first among equal sizes, rows that
+share an id and a size in the order of a hash. Repeated rows are sampled one by one. An
+empty table gives an empty mix. Further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from momentlake.llm.ranks import block_of
+from momentlake.llm.ranks import BLOCK, block_of, expanded
 from momentlake.plans.lineage import cut
 
 WEIGHTS = (3, 1, 2)
@@ -57,41 +59,97 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return step.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def expected(docs: DataFrame, carry: list[Column], doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """The ``carry`` columns with size, source_size, target and copies of every row."""
-    key = lambda: (F.col("__key"), F.col("__size"))
-    rows = docs.select(*carry, F.col(doc_id).alias("__id"), F.col(source).alias("__source"), word_count(F.col(text)).alias("__size"))
-    rows = rows.withColumns({"__key": _key(F.col("__source")), "__block": block_of(F.col("__id"))})
-    cells = cut(rows.groupBy("__key", "__source", "__size", "__block").count())
-    totals = cells.groupBy("__source").agg(F.sum(F.col("__size") * F.col("count")).alias("source_size"))
-    goal = targets(totals.withColumnRenamed("__source", "source"), weights, share, most).withColumn("__key", _key(F.col("source"))).drop("source")
-    of_size = cells.groupBy("__key", "__size").agg(F.sum("count").alias("n"))
-    of_size = of_size.select("__key", "__size", (F.sum("n").over(Window.partitionBy("__key").orderBy("__size")) - F.col("n")).alias("before"))
-    along = F.sum("count").over(Window.partitionBy(*key()).orderBy("__block")) - F.col("count")
-    start = cells.select(*key(), "__block", along.alias("within")).join(of_size, ["__key", "__size"]).select(*key(), "__block", (F.col("before") + F.col("within")).alias("start"))
-    start = start.join(goal, "__key")
-    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key(), "__block").orderBy(F.col("__id").asc_nulls_first())))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("__key"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+def _narrow(docs: DataFrame, doc_id: str, text: str, source: str, tell: Column) -> DataFrame:
+    """``id, key, source, size, block, hash, rows``: equal rows are one with a count; no texts."""
+    part = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), tell.alias("hash"))
+    part = part.withColumns({"key": _key(F.col("source")), "block": block_of(F.col("id"))})
+    return part.groupBy("key", "source", "size", "block", "id", "hash").agg(F.count("*").alias("rows"))
+
+
+def _starts(narrow: DataFrame) -> DataFrame:
+    """``key, size, id, total, start``: how many rows of the source come before those of an id and size.
+
+    Only counts of cells are summed along a source; a window over single ids sees one block of them.
+    """
+    cells = narrow.groupBy("key", "size", "block").agg(F.sum("rows").alias("cell"))
+    of_size = cells.groupBy("key", "size").agg(F.sum("cell").alias("n"))
+    of_size = of_size.select("key", "size", (F.sum("n").over(Window.partitionBy("key").orderBy("size")) - F.col("n")).alias("before"))
+    along = F.sum("cell").over(Window.partitionBy("key", "size").orderBy("block")) - F.col("cell")
+    begins = cells.select("key", "size", "block", along.alias("within")).join(of_size, ["key", "size"]).select("key", "size", "block", (F.col("before") + F.col("within")).alias("begins"))
+    ids = narrow.groupBy("key", "size", "block", "id").agg(F.sum("rows").alias("total"))
+    inside = F.sum("total").over(Window.partitionBy("key", "size", "block").orderBy(F.col("id").asc_nulls_first())) - F.col("total")
+    return ids.withColumn("inside", inside).join(begins, ["key", "size", "block"]).select("key", "size", "id", "total", (F.col("begins") + F.col("inside")).alias("start"))
+
+
+def _apart(narrow: DataFrame, starts: DataFrame) -> DataFrame:
+    """``narrow`` with ``start`` of each row. Different rows of one id and size come in order of their hash,
+
+    first by the last bits of the hash, so that rows without an id don't meet in one task.
+    """
+    same = (F.col("o.key") == F.col("n.key")) & (F.col("o.size") == F.col("n.size")) & F.col("o.id").eqNullSafe(F.col("n.id"))
+    joined = cut(narrow.alias("n").join(starts.alias("o"), same).select("n.*", "o.total", "o.start"))
+    several = joined.where("total > rows").withColumn("bucket", F.pmod("hash", F.lit(BLOCK)))
+    own = ["key", "size", "id"]
+    buckets = several.groupBy(*own, "bucket").agg(F.sum("rows").alias("cell"))
+    buckets = buckets.withColumn("skip", F.sum("cell").over(Window.partitionBy(*own).orderBy("bucket")) - F.col("cell"))
+    inside = F.sum("rows").over(Window.partitionBy(*own, "bucket").orderBy("hash")) - F.col("rows")
+    same = (F.col("b.key") == F.col("s.key")) & (F.col("b.size") == F.col("s.size")) & F.col("b.id").eqNullSafe(F.col("s.id")) & (F.col("b.bucket") == F.col("s.bucket"))
+    dealt = several.withColumn("inside", inside).alias("s").join(buckets.alias("b"), same).withColumn("at", F.col("s.start") + F.col("b.skip") + F.col("s.inside"))
+    dealt = dealt.select(*(F.col(f"s.{c}").alias(c) for c in narrow.columns), F.col("at").alias("start"))
+    return joined.where("total = rows").select(*narrow.columns, "start").unionByName(dealt)
+
+
+def _goals(narrow: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: str) -> DataFrame:
+    """``key, source_size, target, rate, offset`` of each source."""
+    totals = narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
+    goal = targets(totals, weights, share, most).withColumn("key", _key(F.col("source"))).drop("source")
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("key"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    crossed = lambda rank: F.floor(rate * rank + offset)
-    joined = numbered.join(start, ["__key", "__size", "__block"])
-    rank = F.col("start") + F.col("__n")
-    copies = F.least(crossed(rank) - crossed(rank - 1), F.lit(most))
-    return joined.withColumn("copies", copies.cast("long")).withColumnRenamed("__size", "size").drop("__key", "__block", "__id", "__source", "__n", "start")
+    return goal.withColumns({"rate": rate, "offset": offset})
+
 
+def _copies(after: Column, most: int) -> Column:
+    """Whole numbers that the sum crosses in the row that comes after ``after`` others."""
+    crossed = lambda rank: F.floor(F.col("rate") * rank + F.col("offset"))
+    return F.least(crossed(after + 1) - crossed(after), F.lit(most)).cast("long")
 
-def taken(docs: DataFrame) -> DataFrame:
+
+def taken(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row; taken counts repeats."""
-    got = expected(docs, [F.col("doc_id")])
-    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    narrow = cut(_narrow(docs, doc_id, text, source, F.lit(0)))
+    ranked = _starts(narrow).join(_goals(narrow, weights, share, most, seed), "key")
+    each = expanded(ranked, F.col("total"), "nth").withColumnRenamed("id", "doc_id")
+    return each.select("doc_id", "size", "source_size", "target", (_copies(F.col("start") + F.col("nth"), most) * F.col("size")).alias("taken"))
+
 
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as it was taken.
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it was taken."""
+    Copies are computed on rows without texts; then each text is shuffled once, to a hash
+    join with the rows that are taken. Equal rows are one row until then: the first of
+    them is repeated.
+    """
     names = [f"__c{k}" for k in range(len(docs.columns))]  # columns of docs may be called like the ones made here
-    got = expected(docs, [F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], weights=weights, share=share, most=most)
-    got = got.where("copies > 0").select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)), F.sequence(F.lit(1), F.col("copies")).alias("__copies"))
-    return got.withColumn("__copies", F.explode("__copies")).drop("__copies")
+    own = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    at = lambda c: names[docs.columns.index(c)]
+    tell = F.xxhash64(*(F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in own.schema))
+    narrow = cut(_narrow(own, at(doc_id), at(text), at(source), tell))
+    ranked = _apart(narrow, _starts(narrow)).join(_goals(narrow, weights, share, most, seed), "key")
+    back = [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
+    pick = ranked.withColumn("copies", _copies(F.col("start"), most)).where("rows > 1 or copies > 0").select("id", "hash", "rows", "copies", "start", "rate", "offset")
+    pick = cut(pick)
+    keyed = own.withColumns({"hash": tell, "own": F.col(at(doc_id))})
+    same = (keyed["hash"] == F.col("p.hash")) & keyed["own"].eqNullSafe(F.col("p.id"))
+    single = keyed.join(pick.where("rows = 1").select("id", "hash", "copies").alias("p").hint("shuffle_hash"), same)
+    single = single.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*back)
+    repeated = pick.where("rows > 1")
+    if repeated.isEmpty():
+        return single
+    again = expanded(repeated, F.col("rows"), "nth").select("id", "hash", _copies(F.col("start") + F.col("nth"), most).alias("copies")).where("copies > 0")
+    again = again.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("id", "hash")
+    one = keyed.join(repeated.select("id", "hash").alias("p").hint("shuffle_hash"), same, "left_semi").groupBy("own", "hash").agg(F.first(F.struct(*names)).alias("row"))
+    again = again.alias("a").join(one, (F.col("a.hash") == one["hash"]) & F.col("a.id").eqNullSafe(one["own"])).select("row.*")
+    return single.unionByName(again.select(*back))
 
 
 TAKEN_SQL = r"""

@@ -8,7 +8,7 @@ repeats of one row never meet in a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096
@@ -19,3 +19,12 @@ NO_BLOCK = -(1 << 62)
 def block_of(doc_id: Column) -> Column:
     """The id's block of ``BLOCK`` neighbouring ids; null ids come first."""
     return F.coalesce(F.floor(doc_id / F.lit(BLOCK)).cast("long"), F.lit(NO_BLOCK))
+
+
+def expanded(rows: DataFrame, times: Column, name: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``name``; a row repeated often is dealt to many tasks."""
+    few = rows.where(times <= BLOCK).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+    many = rows.where(times > BLOCK).withColumns({"__times": times, "__part": F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / BLOCK)))})
+    many = many.repartition(F.xxhash64(*rows.columns, "__part"))
+    last = F.least((F.col("__part") + 1) * BLOCK, F.col("__times")) - 1
+    return few.unionByName(many.withColumn(name, F.explode(F.sequence(F.col("__part") * BLOCK, last))).drop("__part", "__times"))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from momentlake.llm import mixing
+from momentlake.llm import mixing, ranks
 
 
 def brute_targets(sizes):
@@ -46,3 +46,16 @@ def test_edge_cases_and_copies(docs, empty_docs):
     words = mixed.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert words == got.agg(F.sum("taken")).first()[0]
     assert mixing.taken(empty_docs).collect() == [] and mixing.mix(empty_docs).collect() == []
+
+
+def test_shared_ids_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    monkeypatch.setattr(ranks, "BLOCK", 4)
+    rows = [(None, f"w{i} w", "a", {"k": i}) for i in range(60)] + [(7, f"x{i} w", "a", None) for i in range(40)] + [(9, "same row", "b", None)] * 25 + [(i, "w " * (i % 5), "b", None) for i in range(100, 180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, hash map<string,int>")
+    mixed, want = mixing.mix(docs), mixing.taken(docs).groupBy("size").agg(F.sum("taken").alias("taken")).collect()
+    words = mixed.select(mixing.word_count(F.col("text")).alias("w"))
+    got = dict(words.groupBy("w").agg(F.sum("w")).collect())
+    assert mixed.columns == docs.columns and {r.size: r.taken for r in want if r.taken} == {k: v for k, v in got.items() if v}
+    per = mixed.where("source = 'a'").groupBy("text").count().collect()
+    assert {r["count"] for r in per} <= {1, 2} and sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(docs).collect()))
