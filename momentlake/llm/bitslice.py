@@ -10,8 +10,12 @@ radius are abandoned.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+#: Bits that the sets of a comparison are packed into at most; beyond it they are compared as lists.
+MOST_BITS = 1 << 30
 #: Pairs held before they are reduced to a forest.
 PAIRS_HELD = 1 << 20
 
@@ -157,3 +161,78 @@ def forest_within(prints: np.ndarray, group: np.ndarray, side: np.ndarray, cross
     if held:
         found = minimum_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
     return found
+
+
+def pairs_within(prints: np.ndarray, side: np.ndarray, cross: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i < j and distances of all pairs within ``radius``, of different ``side`` if ``cross``, some at a time."""
+    planes = planes_of(prints)
+    for offset in range(1, len(prints)):
+        ok = side[:-offset] != side[offset:] if cross else np.ones(len(prints) - offset, bool)
+        at, d = _at_offset(planes, _words(ok, planes.shape[1]), offset, radius)
+        if len(at):
+            yield at, at + offset, d
+
+
+def _packed(rows: np.ndarray, columns: np.ndarray, n: int, width: int) -> np.ndarray:
+    """A bit for each (row, column), in words."""
+    out = np.zeros((n, -(-width // 64) * 8), np.uint8)
+    np.bitwise_or.at(out, (rows, columns >> 3), (1 << (columns & 7)).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def similar_forest(prints: np.ndarray, sizes: np.ndarray, values: np.ndarray, side: np.ndarray, cross: bool, radius: int, similarity: float):
+    """A spanning forest i, j of the pairs within ``radius`` whose sets have the Jaccard similarity.
+
+    ``sizes`` and ``values`` hold each row's set of numbers, one after the other. Nearest
+    prints come first; a pair whose ends are joined already isn't checked.
+    """
+    n = len(prints)
+    label = np.arange(n)
+    out_i: list[int] = []
+    out_j: list[int] = []
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    again = count > 1  # what one row has alone is shared with none
+    width, number = int(again.sum()), np.cumsum(again) - 1
+    few = n * width <= MOST_BITS
+    if few:
+        shared = again[column]
+        packed = _packed(row[shared], number[column[shared]], n, width)
+    ends = np.r_[0, np.cumsum(sizes)]
+
+    def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if few:
+            return np.bitwise_count(packed[a] & packed[b]).sum(axis=1, dtype=np.int64)
+        own = lambda k: values[ends[k] : ends[k + 1]]
+        return np.array([len(np.intersect1d(own(u), own(v), assume_unique=True)) for u, v in zip(a, b, strict=True)], np.int64)
+
+    def check(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        order = np.argsort(d, kind="stable")
+        i, j = i[order], j[order]
+        at, step, most = 0, 1024, max(64, min(1 << 16, (1 << 22) // max(1, width // 64)))
+        while at < len(i):
+            a, b = i[at : at + step], j[at : at + step]
+            at, step = at + step, min(step * 4, most)
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+            open_ = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
+            a, b = a[open_], b[open_]
+            if not len(a):
+                continue
+            both = overlap(a, b)
+            good = both >= similarity * (sizes[a] + sizes[b] - both) - 1e-9
+            for u, v in zip(a[good].tolist(), b[good].tolist(), strict=True):
+                if label[u] != label[v]:
+                    out_i.append(u)
+                    out_j.append(v)
+                    label[label == label[v]] = label[u]
+
+    held: list[tuple] = []
+    for found in pairs_within(prints, side, cross, radius):
+        held.append(found)
+        if sum(len(x[0]) for x in held) > PAIRS_HELD:
+            check(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = []
+    if held:
+        check(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    return np.array(out_i, np.int64), np.array(out_j, np.int64)

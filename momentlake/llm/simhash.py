@@ -35,6 +35,10 @@ CHUNK = 4096
 MOST_BROADCAST = 100_000
 #: Texts, about, in which common shingles are counted, and how many such shingles are sent to all tasks.
 SAMPLED, MOST_COMMON = 5000, 200_000
+#: Rows and shingles of a family that one task compares with each other.
+FAMILY_ROWS, FAMILY_SHINGLES = 2048, 1 << 20
+#: Texts of up to so many shingles are short.
+SHORT = 48
 #: Rows collected before a comparison starts.
 BATCH = 1 << 16
 
@@ -224,6 +228,16 @@ def _shingle_sets(part: DataFrame, words: int) -> DataFrame:
     return part.select("text", "fp0", "fp1").mapInArrow(sets, "fp0 long, fp1 long, parts array<long>")
 
 
+def table_shape(prints: int) -> tuple[int, int]:
+    """Bits of a key and number of tables for so many prints.
+
+    A bit more for each doubling beyond 2 ** 18 prints keeps buckets of one size; 1.18 times
+    the tables for each bit keep the rate of pairs that share none.
+    """
+    more = max(0, (max(prints, 1) - 1).bit_length() - 18)
+    return KEY_BITS + more, int(np.ceil(TABLES * 1.18**more))
+
+
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that a sample of the texts repeats, and in how many of its texts.
 
@@ -246,10 +260,11 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixed(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Each row's __id, __hash, print, number of distinct shingles, and prefix of their hashes.
+    """Each row's __id, __hash, print, number of distinct shingles, and, of a short text, the prefix of their hashes.
 
     Shingles are put in one order for all texts, common ones last. Two texts of the
-    similarity share a shingle among the first n - ceil(similarity * n) + 1 of each.
+    similarity share a shingle among the first n - ceil(similarity * n) + 1 of each. Texts
+    that can't be similar to one of ``SHORT`` shingles or fewer have no prefix.
     """
     known = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
     part = rows.select("__id", "__hash", "text")
@@ -268,13 +283,16 @@ def _prefixed(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                     continue
                 h = _hashes(s, WIDE_BITS)
                 key = h.view(np.int64)[:, 0]
+                prints.append(_majority(h))
+                sizes.append(len(s))
+                if similarity * len(s) > SHORT:
+                    firsts.append(np.empty(0, np.int64))
+                    continue
                 often = np.zeros(len(key), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, key), len(common) - 1)
                     often = np.where(common[at] == key, count[at], 0)
                 take = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
-                prints.append(_majority(h))
-                sizes.append(len(s))
                 firsts.append(key[np.lexsort((key, often))[:take]])
             fp = np.frombuffer(b"".join(prints), np.int64).reshape(len(prints), -1)
             made = [pa.array(np.ascontiguousarray(fp[:, k])) for k in range(2)] + [pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
@@ -284,39 +302,92 @@ def _prefixed(rows: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def _between(prints: DataFrame, groups: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Pairs a, b of prints of different groups that can reach the similarity: none is left out.
+    """Pairs a, b of short texts' prints of different groups that can reach the similarity: none is left out.
 
     ``prints`` as `_prefixed` makes them; ``groups`` has node and component of the prints
-    that are linked already. Only keys that groups share are joined.
+    that are linked already. Only keys that groups share are joined. From the first shared
+    key on no more can be shared than the shorter rest, so others of the pair may be passed over.
     """
     ends = lambda *names: [f(n).alias(f"{n}_{f.__name__}") for n in names for f in (F.min, F.max)]
     differ = lambda x, y: f"{x}_min <> {x}_max or {y}_min <> {y}_max"
-    index = prints.select("fp0", "fp1", "size", F.explode("prefix").alias("key"))
+    index = prints.where(F.size("prefix") > 0).select("fp0", "fp1", "size", F.posexplode("prefix").alias("at", "key"))
     several = scratch.table(index.groupBy("key").agg(*ends("fp0", "fp1")).where(differ("fp0", "fp1")).select("key"))
     of = groups.select(F.col("node.fp0").alias("fp0"), F.col("node.fp1").alias("fp1"), F.col("component.fp0").alias("c0"), F.col("component.fp1").alias("c1"))
     shared = index.join(several, "key").distinct().join(of, ["fp0", "fp1"], "left").withColumns({"c0": F.coalesce("c0", "fp0"), "c1": F.when(F.col("c0").isNull(), F.col("fp1")).otherwise(F.col("c1"))})
     shared = scratch.table(shared)
     crossing = shared.groupBy("key").agg(*ends("c0", "c1")).where(differ("c0", "c1")).select("key")
     live = scratch.table(shared.join(crossing, "key"))
-    side = lambda x: live.select("key", F.struct("fp0", "fp1").alias(x), F.struct("c0", "c1").alias(f"c{x}"), F.col("size").alias(f"n{x}"))
+    side = lambda x: live.select("key", F.struct("fp0", "fp1").alias(x), F.struct("c0", "c1").alias(f"c{x}"), F.col("size").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
     size = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6
-    both = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    # of the text whose prefix ends first, only what stands behind the prefix can be shared besides
-    behind = F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9) - 1
-    least = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6
-    return both.where(F.col("n") + behind >= least).select("a", "b").distinct()
+    rest = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6
+    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") <= SHORT)
+    return side("a").join(side("b"), "key").where(apart & size & rest).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, tables: int = TABLES, key_bits: int = KEY_BITS) -> DataFrame:
+def _verified(sets: DataFrame, radius: int, similarity: float, rows_of_chunk: int = FAMILY_ROWS, shingles_of_chunk: int = FAMILY_SHINGLES) -> DataFrame:
+    """A spanning forest ``a, b`` of the links within each family: every pair within the radius is checked exactly.
+
+    ``sets``: c0, c1 (the family), fp0, fp1, parts (sorted shingle hashes). A large family is
+    cut into chunks, whose pairs go to separate tasks. Pairs are checked where the sets are
+    and never leave a task; those whose ends are joined already are passed over.
+    """
+    sizes = sets.groupBy("c0", "c1").agg(F.greatest(F.ceil(F.count("*") / rows_of_chunk), F.ceil(F.sum(F.size("parts")) / shingles_of_chunk)).cast("int").alias("chunks"))
+    dealt = (
+        sets.join(sizes, ["c0", "c1"])
+        .withColumn("side", F.pmod(F.xxhash64("fp0", "fp1"), F.col("chunks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("c0", "c1", F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi"), "side", "fp0", "fp1", "parts")
+    )
+    dealt = dealt.repartition(F.col("c0"), F.col("c1"), F.col("lo"), F.col("hi")).sortWithinPartitions("c0", "c1", "lo", "hi", "fp0", "fp1")
+    kind = pa.struct([("fp0", pa.int64()), ("fp1", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from momentlake.llm.bitslice import similar_forest
+
+        def result(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows).combine_chunks()
+            fp = np.stack([np.asarray(t["fp0"]), np.asarray(t["fp1"])], axis=1)
+            parts = t["parts"].chunk(0) if t.num_rows else pa.array([], pa.list_(pa.int64()))
+            cross = t["lo"][0] != t["hi"][0]
+            i, j = similar_forest(fp.view(np.uint64), np.asarray(parts.value_lengths()).astype(np.int64), np.asarray(parts.flatten()), np.asarray(t["side"]), cross, radius, similarity)
+            ends = [pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(fp[at, k])) for k in range(2)], fields=list(kind)) for at in (i, j)]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            head = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in range(4)], axis=1)
+            starts = [0, *(np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            if held and [x[-1].as_py() for x in held[-1].columns[:4]] != head[0].tolist():
+                yield result(held)
+                held = []
+            for at, end in zip(starts, starts[1:], strict=False):
+                held.append(b.slice(at, end - at))
+                if end < b.num_rows:
+                    if len(held) > 1 or held[0].num_rows > 1:
+                        yield result(held)
+                    held = []
+        if held:
+            yield result(held)
+
+    struct = "struct<fp0: bigint, fp1: bigint>"
+    return dealt.mapInArrow(compare, f"a {struct}, b {struct}")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, tables: int | None = None, key_bits: int | None = None) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the one of the smallest id stays.
 
     Texts are near copies where the Jaccard similarity of their distinct word shingles is
-    ``similarity`` or more. 128-bit prints within `radius_for` propose pairs first; each
-    bucket hands on a minimum spanning forest, nearest pairs first. That joins most copies
-    cheaply, whatever their number. Then `_between` proposes every pair of different groups
-    that can reach the similarity, by prefixes of the shingles. Both are checked exactly on
-    the whole texts. Equal prints count as copies. Of equal rows one stays; null ids sort
-    last. Columns are those of ``docs``.
+    ``similarity`` or more. Buckets of 128-bit prints, compared bit by bit, hand on forests
+    of the pairs within `radius_for`; what they join is a family. In a family every pair
+    within the radius is then checked exactly on the whole texts (`_verified`), so no link
+    is lost behind another that fails. Prints of short texts vary more: their pairs are
+    proposed by prefixes of the shingles, without exception (`_between`), and checked, too.
+    Equal prints count as copies. Keys and tables grow with the number of prints
+    (`table_shape`) unless given. Null and empty texts are copies of each other. Of equal
+    rows one stays; null ids sort last. An empty table gives an empty one. Columns are those
+    of ``docs``.
     """
     names = [f"__c{k}" for k in range(len(docs.columns))]  # columns of docs may be called like the ones made here
     own = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
@@ -330,8 +401,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     best = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__hash").alias("h"), F.col("count").alias("c"))).alias("best")
     nodes = cut(per_row.groupBy("fp0", "fp1").agg(best))
 
-    proposed = links_in_buckets(sampled_keys(nodes.select("fp0", "fp1"), WIDE_BITS, tables, key_bits), radius_for(similarity))
-    proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    radius, shape = radius_for(similarity), table_shape(nodes.count())
+    proposed = links_in_buckets(sampled_keys(nodes.select("fp0", "fp1"), WIDE_BITS, tables or shape[1], key_bits or shape[0]), radius)
+    families = connected_components(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        wanted = members.join(nodes, ["fp0", "fp1"]).select("fp0", "fp1", F.col("best.i").alias("id"), F.col("best.h").alias("h"))
+        texts = bare.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("h"))).select("text", "fp0", "fp1")
+        return _shingle_sets(texts, words).groupBy("fp0", "fp1").agg(F.max("parts").alias("parts"))
+
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -342,15 +420,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
     def sure(proposed: DataFrame) -> DataFrame:
-        linked = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*")
-        wanted = linked.join(nodes, ["fp0", "fp1"]).select("fp0", "fp1", F.col("best.i").alias("id"), F.col("best.h").alias("h"))
-        texts = bare.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("h"))).select("text", "fp0", "fp1")
-        sets = _shingle_sets(texts, words).groupBy("fp0", "fp1").agg(F.max("parts").alias("parts")).select(fp.alias("node"), "parts")
+        sets = sets_of(proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*")).select(fp.alias("node"), "parts")
         pairs = proposed.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
         kind = proposed.schema["a"].dataType.simpleString()
         return pairs.select("a", "b", "pa", "pb").mapInArrow(checked, f"a {kind}, b {kind}")
 
-    links = cut(sure(proposed))
+    member = families.select("node.fp0", "node.fp1", F.col("component.fp0").alias("c0"), F.col("component.fp1").alias("c1"))
+    whole = scratch.table(sets_of(member.select("fp0", "fp1")).join(member, ["fp0", "fp1"]))
+    links = cut(_verified(whole, radius, similarity))
     groups = connected_components(links)
     between = cut(_between(prints, groups, similarity, scratch))
     if not between.isEmpty():

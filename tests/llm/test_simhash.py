@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -156,3 +159,108 @@ def test_short_near_copies_are_all_found(spark, prose):
     rows = [row for k in range(400) for row in ((2 * k, f"w{k} " + prose(7, 100_000 + k)), (2 * k + 1, f"w{k} " + prose(7, 100_000 + k) + " added"))]
     kept = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [2 * k for k in range(400)]
+
+
+def brute_groups(sets, similarity=0.8):
+    """Components of the pairs that similar, by all pairs."""
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                parent[find(a)] = find(b)
+    return [find(x) for x in range(len(sets))]
+
+
+@pytest.mark.parametrize("seed, changes", [(1, (2, 9)), (2, (5, 8)), (3, (1, 14))])
+def test_dense_clusters_keep_the_rows_of_brute_force(spark, prose, seed, changes):
+    """600 texts with some words of one base changed, most pairs between 0.6 and 0.9."""
+    rng, base = random.Random(seed), prose(300, 77_000 + seed).split()
+    texts = []
+    for k in range(600):
+        w = list(base)
+        for at in rng.sample(range(300), rng.randrange(*changes)):
+            w[at] = f"changed{k}x{at}"
+        texts.append(" ".join(w))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    groups = brute_groups(sets)
+    kept = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    least = {}
+    for k, g in enumerate(groups):
+        least.setdefault(g, k)
+    assert sorted(r.doc_id for r in kept) == sorted(least.values())
+
+
+@pytest.mark.parametrize("share", [0.8, 0.85])
+def test_recall_at_the_threshold(spark, prose, share):
+    """Pairs of texts, alone, at just the similarity: 98 of 100 and more are found."""
+    rows, pairs = [], 0
+    for k in range(600):
+        w = prose(250, 300_000 + k).split()
+        v, at = list(w), 3
+        x = set(simhash.shingles(" ".join(w).encode(), 5))
+        while at < 250:
+            u = list(v)
+            u[at] = f"new{k}x{at}"
+            y = set(simhash.shingles(" ".join(u).encode(), 5))
+            if len(x & y) < share * len(x | y):
+                break
+            v, at = u, at + 7
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        pairs += 1
+    kept = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert kept <= pairs * 1.02
+
+
+def test_sets_compared_in_a_family():
+    """Chunks, lists instead of bits, and one side only: the groups are those of all pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**62, 60)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(45, 60), replace=False), rng.integers(0, 2**62, rng.integers(0, 6))])) for _ in range(120)]
+    prints, side = np.zeros((120, 2), np.uint64), rng.integers(0, 2, 120)
+    sizes, values = np.array([len(x) for x in sets]), np.concatenate(sets)
+    want = brute_groups([set(x.tolist()) for x in sets])
+    for most in (1 << 30, 0):
+        bitslice.MOST_BITS, kept = most, bitslice.MOST_BITS
+        i, j = bitslice.similar_forest(prints, sizes, values, side, False, 5, 0.8)
+        a, b = bitslice.similar_forest(prints, sizes, values, side, True, 5, 0.8)
+        bitslice.MOST_BITS = kept
+        assert len(i) == 120 - len(set(want)) and all(want[x] == want[y] for x, y in zip(i, j, strict=True))
+        assert (side[a] != side[b]).all()
+
+
+def test_families_in_chunks(spark):
+    rng = random.Random(3)
+    rows = []
+    for f in range(3):
+        for k in range(50):
+            rows.append((f, f, k, f, sorted(rng.sample(range(100 * f, 100 * f + 30), 28))))
+    sets = spark.createDataFrame(rows, "c0 long, c1 long, fp0 long, fp1 long, parts array<long>").repartition(4)
+    for most in (2048, 7):
+        links = simhash._verified(sets, 64, 0.8, rows_of_chunk=most).collect()
+        parent = {(r[2], r[3]): (r[2], r[3]) for r in rows}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in links:
+            parent[find(tuple(r.a))] = find(tuple(r.b))
+        own = {(r[2], r[3]): set(r[4]) for r in rows}
+        assert all(len(own[tuple(r.a)] & own[tuple(r.b)]) >= 0.8 * len(own[tuple(r.a)] | own[tuple(r.b)]) for r in links)
+        names = sorted(own)
+        want = brute_groups([own[n] for n in names])
+        assert len({find(n) for n in names}) == len(set(want))
+
+
+def test_keys_grow_with_the_prints():
+    assert simhash.table_shape(1) == simhash.table_shape(1 << 18) == (12, 48)
+    assert simhash.table_shape(1 << 28) == (22, 252)
