@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentlake.operators import dedupe, graph, jobs, rules, stats
+from momentlake.operators import dedupe, find, graph, jobs, rules, stats
+from momentlake.plans import search_queries as Q
 from momentlake.plans import sql as S
-from momentlake.plans.lineage import cut, shared_folder
+from momentlake.plans.lineage import cut, shared_folder, stored
 from momentlake.plans.rule_queries import CLAIMS_CTE, ENTITIES_CTE, IDEAS_CTE, TECHNICAL_CTES, entities_cte
-from momentlake.plans.search_queries import DUPS_CTES, plain
+from momentlake.plans.search_queries import DUPS_CTES, derived, plain
 from momentlake.sources import tables
 from momentlake.sources.corpus import moments, table, videos
 from momentlake.streaming import jobs as streaming
@@ -31,8 +32,7 @@ def query(sql: str | None = None):
 
 def _tables(spark: SparkSession, sf_dir: str) -> graph.Tables:
     m = moments(spark, sf_dir)
-    derived = (rules.ideas(m), rules.technical(m), dedupe.exact_duplicates(plain(spark, sf_dir)))
-    return graph.Tables(videos(spark, sf_dir), m, *map(cut, derived))  # each is read several times
+    return graph.Tables(videos(spark, sf_dir), m, *derived(spark, sf_dir))
 
 
 _VIDEOS_CTE = "v AS (SELECT DISTINCT source AS video_id, 'Video ' || source AS title, 'local' AS source FROM documents)"
@@ -177,6 +177,50 @@ def graph_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(t).where(F.col("edge_type").contains("claim")).drop("weight")
 
 
+# --- whole searches: stored index, real duplicates, the whole graph
+
+_REAL = lambda ctes: tuple(c.replace("dups", "rd") for c in ctes)
+_REAL_DUPS = "rd AS (SELECT dup_id, moment_id, canonical_moment_id, 'exact' AS duplicate_type FROM dups)"
+_NEAR = f"sn2 AS (SELECT moment_id, score, row_number() OVER (ORDER BY score DESC, ord) AS near FROM (SELECT m.*, round(list_cosine_similarity({Q._HASHED('t')}, {Q._HASHED(S.q(Q.QUERY))}), 4) AS score FROM (SELECT *, {S.strip("coalesce(transcript_text, '') || ' ' || coalesce(ocr_text, '')")} AS t FROM m) m WHERE t <> ''))"
+
+
+def _whole(limit: int, *more: str) -> tuple[str, ...]:
+    return (IDEAS_CTE, *Q._POST, *Q._AND, *Q._SUMMARY[1:], *Q._boosted(Q.QUERY, limit), *TECHNICAL_CTES, *DUPS_CTES, _REAL_DUPS, _NEAR, *more)
+
+
+_BOTH = "tx AS (SELECT moment_id, raw_score, score, 'text' AS origin FROM res WHERE rank <= 20), res2 AS (SELECT *, row_number() OVER (ORDER BY score DESC, raw_score DESC, moment_id) AS rank FROM (SELECT * FROM tx UNION ALL SELECT moment_id, score, score, 'semantic' FROM sn2 WHERE near <= 20 AND moment_id NOT IN (SELECT moment_id FROM tx)))"
+_KEPT = "kept AS (SELECT r.*, row_number() OVER (ORDER BY r.rank) AS place FROM {0} r LEFT JOIN rd USING (moment_id) WHERE NOT coalesce(rd.canonical_moment_id IN (SELECT moment_id FROM {0}), false))"
+_FEAT = (*_REAL((Q._EDGE_COUNTS,)), f"feat AS (SELECT * EXCLUDE (title, tl, ol, il), {Q._FLAGS} FROM fe)")
+_GRAPH_RANKED = f"rr AS (SELECT moment_id, raw_score, {Q._SCORE.replace('1.0::DOUBLE', 'kept.score', 1)} AS score, {Q._REASONS} AS reasons, origin FROM kept JOIN feat USING (moment_id) WHERE place <= {{0}})"
+_SHOWN = "SELECT * FROM (SELECT moment_id, raw_score, score, reasons, origin, row_number() OVER (ORDER BY score DESC, raw_score DESC, moment_id)::INTEGER AS rank FROM rr) WHERE rank <= 10"
+_FOUND_COLUMNS = ["moment_id", "raw_score", "score", "reasons", "origin", "rank"]
+
+
+def _corpus(spark: SparkSession, sf_dir: str, graph_too: bool = True) -> find.Corpus:
+    m = moments(spark, sf_dir)
+    _, technical, duplicates = derived(spark, sf_dir)
+    made = stored(spark, f"{sf_dir}/documents.parquet", "edges", lambda: graph.edges(_tables(spark, sf_dir))) if graph_too else None
+    return find.Corpus(m, Q.index(spark, sf_dir), rules.ideas, duplicates, technical, made)
+
+
+@query(S.with_moments(_SHOWN, *_whole(10, "rx AS (SELECT *, 'text' AS origin FROM res)", _KEPT.format("rx"), *_FEAT, _GRAPH_RANKED.format(10))))
+def search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text hits without duplicates, reranked by the whole graph."""
+    return find.find(_corpus(spark, sf_dir), Q.QUERY).select(*_FOUND_COLUMNS)
+
+
+@query(S.with_moments(_SHOWN, *_whole(20, _BOTH, _KEPT.format("res2"), *_FEAT, _GRAPH_RANKED.format(20))))
+def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of text and of vectors together, without duplicates, reranked by the whole graph."""
+    return find.find(_corpus(spark, sf_dir), Q.QUERY, "hybrid").select(*_FOUND_COLUMNS)
+
+
+@query(S.with_moments(_SHOWN.replace(", reasons", ""), *_whole(10, "rx AS (SELECT *, 'text' AS origin FROM res)", _KEPT.format("rx"), "rr AS (SELECT moment_id, raw_score, score, origin FROM kept WHERE place <= 10 UNION ALL SELECT moment_id, score, score, 'semantic' FROM sn2 WHERE near <= 20 AND moment_id NOT IN (SELECT moment_id FROM kept WHERE place <= 10))")))
+def search_fts_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text hits, then what only vectors find, without a graph."""
+    return find.find(_corpus(spark, sf_dir, False), Q.QUERY, "fts_semantic").select(*(c for c in _FOUND_COLUMNS if c != "reasons"))
+
+
 # --- corpus statistics
 
 

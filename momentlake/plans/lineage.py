@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,20 @@ class Scratch:
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], *parts: str) -> DataFrame:
+    """A derived table, written once to the shared folder for each state of ``source`` and read from then on.
+
+    ``source`` is a file or folder; names, sizes and times of its files tell its state.
+    ``parts`` are columns that the table is partitioned by.
+    """
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    path = jvm(source)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = [f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}" for f in files]
+    folder = f"{shared_folder(spark)}/stored/{hashlib.sha256(' '.join(state).encode()).hexdigest()[:20]}/{name}"
+    done = jvm(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").partitionBy(*parts).parquet(folder)
+    return spark.read.parquet(folder)

@@ -9,7 +9,7 @@ from momentlake.functions import rules as R
 from momentlake.functions import text as T
 from momentlake.operators import assembly, dedupe, evaluate, rules, search, vectors
 from momentlake.plans import sql as S
-from momentlake.plans.lineage import cut
+from momentlake.plans.lineage import cut, stored
 from momentlake.plans.rule_queries import IDEAS_CTE, TECHNICAL_CTES
 from momentlake.plans.text_queries import snippet_sql
 from momentlake.sources.corpus import moments, spread, table
@@ -33,6 +33,28 @@ def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("ord"), F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("moment_id"), F.col("source").alias("video_id"), F.coalesce("text", F.lit("")).alias("transcript_text"), F.lit("").alias("ocr_text"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The text index of all moments, stored."""
+    made: list[search.Index] = []
+
+    def build() -> search.Index:
+        if not made:
+            made.append(search.build_index(moments(spark, sf_dir)))
+        return made[0]
+
+    keep = lambda name, make, *parts: stored(spark, f"{sf_dir}/documents.parquet", f"index/{name}", make, *parts)
+    postings = keep("postings", lambda: build().postings.withColumn("bucket", search.bucket_of(F.col("term"))).repartition("bucket").sortWithinPartitions("term"), "bucket")
+    sizes = keep("sizes", lambda: build().sizes)
+    return search.Index(postings, sizes, keep("corpus", lambda: build().corpus), search.BUCKETS)
+
+
+def derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ideas, technical evidence and exact duplicates of all moments, stored."""
+    m = moments(spark, sf_dir)
+    keep = lambda name, make: stored(spark, f"{sf_dir}/documents.parquet", name, make)
+    return keep("ideas", lambda: rules.ideas(m)), keep("technical", lambda: rules.technical(m)), keep("duplicates", lambda: dedupe.exact_duplicates(plain(spark, sf_dir)))
+
+
 PLAIN_CTE = "pm AS (SELECT doc_id AS ord, source || ':' || doc_id AS moment_id, source AS video_id, coalesce(text, '') AS transcript_text FROM documents)"
 DUPS_CTES = (
     PLAIN_CTE,
@@ -161,7 +183,7 @@ FTS = {
 
 def _fts(name: str, text: str, ctes: tuple[str, ...]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = search.match(search.build_index(moments(spark, sf_dir)), text)
+        found = search.match(index(spark, sf_dir), text)
         return found.select("moment_id", F.round("bm25", 4).alias("bm25"))
 
     run.__name__ = name
@@ -174,7 +196,7 @@ for _name, (_text, _ctes) in FTS.items():
 
 @query(S.with_moments("SELECT term, count(*) AS n, count(DISTINCT moment_id) AS n_moments FROM post GROUP BY term", *_POST))
 def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = search.build_index(moments(spark, sf_dir)).postings
+    p = index(spark, sf_dir).postings
     return p.groupBy("term", "moment_id").agg(F.count("*").alias("f")).groupBy("term").agg(F.sum("f").alias("n"), F.count("*").alias("n_moments"))
 
 
@@ -192,7 +214,7 @@ _BATCH_CTES = (
 @query(S.with_moments("SELECT query_id, moment_id, bm25, rank::INTEGER AS rank FROM br WHERE rank <= 10", *_POST, *_BATCH_CTES))
 def fts_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.fts_tokens(F.col("text")), 1, 2), " ").alias("query"))
-    return search.search_batch(search.build_index(moments(spark, sf_dir)), b)
+    return search.search_batch(index(spark, sf_dir), b)
 
 
 # --- search with boosts
@@ -219,7 +241,7 @@ def _boosted(query_text: str, limit: int, where: str = "true") -> tuple[str, ...
 
 def _results(spark: SparkSession, sf_dir: str, text: str = QUERY, video: str | None = None) -> DataFrame:
     m = moments(spark, sf_dir)
-    found = search.match(search.build_index(m), text)
+    found = search.match(index(spark, sf_dir), text)
     if video is not None:
         found = found.join(m.where(F.col("video_id") == video).select("moment_id"), "moment_id", "left_semi")
     return search.results(m, found, text, 10, rules.ideas)
@@ -305,7 +327,7 @@ def _features(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -
     every = m = moments(spark, sf_dir)
     if hits is not None:
         m = cut(m.join(hits.select("moment_id"), "moment_id", "left_semi"))
-    i, e = cut(rules.ideas(m)), cut(rules.technical(m))  # read as tables and as edges
+    i, e, _ = derived(spark, sf_dir)
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c))
     edge = lambda df, a, b, kind: df.select(a.alias("source_node_id"), b.alias("target_node_id"), F.lit(kind).alias("edge_type"))
     mi = node("moment", "moment_id")
