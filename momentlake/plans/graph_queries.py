@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from momentlake.operators import dedupe, find, graph, jobs, rules, stats
+from momentlake.operators import dedupe, embeddings, find, graph, health, jobs, rules, runs, stats
 from momentlake.plans import search_queries as Q
 from momentlake.plans import sql as S
 from momentlake.plans.lineage import cut, shared_folder, stored
@@ -361,3 +361,74 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     named = d.select("doc_id", F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("video_id"), F.when(F.col("source").isin("src0", "src1"), "local").otherwise(F.col("source")).alias("source"))
     return tables.violations(named, "videos", "video_id").select("doc_id", "broken")
+
+
+# --- runs, listings, stores and health
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'error' ELSE 'pending' END AS status, CASE WHEN doc_id % 10 = 0 THEN 'no text' END AS error_message FROM documents")
+def status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    changes = rows.where("doc_id % 10 = 0").select("doc_id", F.lit("error").alias("status"), F.lit("no text").alias("error_message"))
+    return runs.update_status(rows, changes.unionAll(changes), "doc_id")
+
+
+_RUN_IDS = "SELECT DISTINCT source AS run_id FROM documents WHERE source IS NOT NULL"
+
+
+@query(f"SELECT run_id, CASE WHEN run_id IN ('src1', 'src2') THEN 'completed' ELSE 'running' END AS status, CASE WHEN run_id IN ('src1', 'src2') THEN 1706616000000000 ELSE 0 END::BIGINT AS completed_us FROM ({_RUN_IDS})")
+def complete_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_runs = table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("run_id")).distinct()
+    all_runs = all_runs.withColumns({"status": F.lit("running"), "error_message": F.lit(None).cast("string"), "completed_at": F.lit(None).cast("timestamp")})
+    done = runs.complete(all_runs, all_runs.where("run_id in ('src1', 'src2')"), now=F.lit(_NOW).cast("timestamp"))
+    return done.select("run_id", "status", F.coalesce(F.unix_micros("completed_at"), F.lit(0)).alias("completed_us"))
+
+
+@query(S.with_moments("SELECT moment_id, start_sec, row_number() OVER (ORDER BY start_sec, moment_id)::INTEGER AS place FROM m WHERE video_id = 'src1'"))
+def moments_of_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = runs.children(moments(spark, sf_dir), "video_id", "src1", "start_sec", "moment_id").select("moment_id", "start_sec")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("start_sec", "moment_id")))  # one video
+
+
+_DELTA_CTES = (IDEAS_CTE, "bm AS (SELECT * FROM m WHERE ord % 3 <> 0 AND video_id <> 'src2')", "bi AS (SELECT ideas.* FROM ideas JOIN bm USING (moment_id))",
+               "dv AS (SELECT video_id, count(*) AS am, (SELECT count(*) FROM bm WHERE bm.video_id = m.video_id) AS bmn, (SELECT count(*) FROM ideas JOIN m x USING (moment_id) WHERE x.video_id = m.video_id) AS ai, (SELECT count(*) FROM bi JOIN bm x USING (moment_id) WHERE x.video_id = m.video_id) AS bin FROM m GROUP BY video_id)",
+               "dd AS (SELECT video_id, bmn > 0 AS rebuilt, CASE WHEN bmn > 0 THEN am ELSE am - bmn END AS new_moments, CASE WHEN bmn > 0 THEN ai ELSE ai - bin END AS new_ideas FROM dv)")
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, ideas = moments(spark, sf_dir), derived(spark, sf_dir)[0]
+    before = m.where("ord % 3 <> 0 and video_id <> 'src2'")
+    return runs.deltas({"moments": before, "ideas": ideas.join(before.select("moment_id"), "moment_id", "left_semi")}, {"moments": m, "ideas": ideas})
+
+
+@query(S.with_moments("SELECT video_id, rebuilt, new_moments::BIGINT AS new_moments, new_ideas::BIGINT AS new_ideas FROM dd", *_DELTA_CTES))
+def batch_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second batch added: nothing of src2 was there before, of the others two thirds were."""
+    return _deltas(spark, sf_dir)
+
+
+@query(
+    S.with_moments(
+        "SELECT count(*) AS attempted, count(*) FILTER (WHERE o = 'inserted') AS inserted, count(*) FILTER (WHERE o = 'skipped_existing') AS skipped_existing, 0::BIGINT AS skipped_duration, 0::BIGINT AS skipped_no_transcript, count(*) FILTER (WHERE o = 'failed') AS failed, coalesce(string_agg(CASE WHEN o = 'failed' THEN 'https://example.org/v/' || video_id END, ',' ORDER BY video_id), '') AS failed_sources, (SELECT coalesce(sum(new_moments), 0)::BIGINT FROM dd JOIN oc USING (video_id) WHERE o = 'inserted') AS new_moments, (SELECT coalesce(sum(new_ideas), 0)::BIGINT FROM dd JOIN oc USING (video_id) WHERE o = 'inserted') AS new_ideas FROM oc",
+        *_DELTA_CTES,
+        "oc AS (SELECT video_id, CASE WHEN ends_with(video_id, '3') THEN 'failed' WHEN ends_with(video_id, '4') THEN 'skipped_existing' ELSE 'inserted' END AS o FROM (SELECT DISTINCT video_id FROM m))",
+    )
+)
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("video_id")
+    outcome = F.when(own.endswith("3"), "failed").when(own.endswith("4"), "skipped_existing").otherwise("inserted")
+    return runs.run_summary(videos(spark, sf_dir).select(F.col("url").alias("source"), "video_id", outcome.alias("outcome")), _deltas(spark, sf_dir))
+
+
+@query(S.with_moments(f"SELECT 'embed:hash:moment' AS run_id, 'hash' AS provider, 32::INTEGER AS dimension, count(*) AS item_count FROM m WHERE trim(transcript_text) <> ''"))
+def embedding_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run of a store that a second run wrote over."""
+    items = moments(spark, sf_dir).select(F.col("moment_id").alias("item_id"), F.col("transcript_text").alias("text"))
+    made = embeddings.embed(items, embeddings.hash_provider(32))
+    return embeddings.runs(embeddings.store(made, made))
+
+
+@query(_graph("SELECT 'rows:moments' AS metric, count(*)::DOUBLE AS value FROM m UNION ALL SELECT 'rows:ideas', count(*)::DOUBLE FROM ideas UNION ALL SELECT 'rows:duplicates', count(*)::DOUBLE FROM dups UNION ALL SELECT 'rows:graph_nodes', count(*)::DOUBLE FROM nodes UNION ALL SELECT 'graph built', 1.0::DOUBLE"))
+def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return health.doctor({"moments": t.moments, "ideas": t.ideas, "duplicates": t.duplicates, "graph_nodes": graph.nodes(t)})
