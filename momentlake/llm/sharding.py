@@ -5,7 +5,8 @@ log(u) / weight takes the record. A further shard can only win records for itsel
 record's shard depends on its key, the shards and their weights alone.
 
 Null keys are hashed as one key. Sizes count the text's bytes plus 1, null texts none.
-Equal rows share a shard and get neighbouring slots.
+Equal rows share a shard and get neighbouring slots. Texts of any length are read whole; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,16 +20,21 @@ from momentlake.plans.lineage import cut
 SHARDS = 16
 
 
-def shard_of(key: Column, weights: list[float]) -> Column:
-    """The winning shard's number, 0 to len(weights) - 1."""
+def _bid(key: Column, shard: int, weight: float) -> Column:
+    """A shard's bid for a key: its score, and the lower number in ties."""
     name = F.coalesce(key.cast("string"), F.lit("null"))
+    word = F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{shard}"))), 1, 13), 16, 10).cast("double")
+    return F.struct((F.ln((word + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(float(weight))).alias("score"), F.lit(-shard).alias("less"))
+
 
-    def bid(shard: int, weight: float) -> Column:
-        word = F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{shard}"))), 1, 13), 16, 10).cast("double")
-        return F.struct((F.ln((word + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(float(weight))).alias("score"), F.lit(-shard).alias("less"))
+def best_bid(key: Column, weights: list[float]) -> Column:
+    """The winning bid; minus ``less`` is the shard's number, 0 to len(weights) - 1."""
+    bids = [_bid(key, k, w) for k, w in enumerate(weights) if w > 0]
+    return F.greatest(*bids) if len(bids) > 1 else bids[0]
 
-    bids = [bid(k, w) for k, w in enumerate(weights) if w > 0]
-    return -(F.greatest(*bids) if len(bids) > 1 else bids[0])["less"]
+
+def shard_of(key: Column, weights: list[float]) -> Column:
+    return -best_bid(key, weights)["less"]
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, weights: list[float] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,9 +46,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, weights: list[float] | None =
     weights = weights or [1.0] * shards
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     rows = docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"))
-    alike = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    placed = alike.withColumns({"shard": shard_of(F.col("doc_id"), weights), "grown_shard": shard_of(F.col("doc_id"), [*weights, 1.0]), "__block": block_of(F.col("doc_id"))})
-    placed = cut(placed)
+    bid = rows.withColumn("__best", best_bid(F.col("doc_id"), weights))  # once for both shards, and where the texts are read
+    more = _bid(F.col("doc_id"), len(weights), 1.0)
+    sharded_rows = bid.withColumns({"shard": -F.col("__best.less"), "grown_shard": F.when(more > F.col("__best"), F.lit(len(weights))).otherwise(-F.col("__best.less"))}).drop("__best")
+    alike = sharded_rows.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard").agg(F.count("*").alias("n"))
+    placed = cut(alike.withColumn("__block", block_of(F.col("doc_id"))))
     cells = placed.groupBy("shard", "__block").agg(F.sum("n").alias("cell"))
     start = cells.select("shard", "__block", (F.sum("cell").over(Window.partitionBy("shard").orderBy("__block")) - F.col("cell")).alias("start"))
     order = Window.partitionBy("shard", "__block").orderBy(*(F.col(c).asc_nulls_first() for c in ("doc_id", "size", "text_crc32")))
