@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentlake.plans.lineage import Scratch, cut
+from momentlake.plans.lineage import Scratch, cut, join_groups
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -48,5 +48,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         found = found.join(to.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     found = cut(found)
     scratch.drop()
-    least = found.groupBy("root").agg(F.min("node").alias("component"))
-    return found.join(least, "root").select("node", "component")
+    least = found.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("size"))
+    return join_groups(found, least, "root", "size").select("node", "component")

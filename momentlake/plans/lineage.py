@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables written to the shared folder for the length of an iteration.
 
@@ -48,8 +54,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(self.spark, self.folder)
 
 
 def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], *parts: str) -> DataFrame:
@@ -67,3 +72,24 @@ def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataF
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         make().write.mode("overwrite").partitionBy(*parts).parquet(folder)
     return spark.read.parquet(folder)
+
+
+#: A key with more rows than this is crowded; at most so many crowded keys are broadcast.
+CROWDED, MOST_CROWDED = 1000, 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group, but for ``size``, which tells how many rows a key has.
+
+    ``groups`` has one row for each key. Rows of crowded keys stay where they are: their
+    groups are few and sent to all tasks, the others are shuffled. With more crowded keys
+    than ``MOST_CROWDED`` all are shuffled, and adaptive execution splits what is skewed.
+    """
+    groups = cut(groups)
+    crowded = groups.where(F.col(size) > CROWDED).drop(size)
+    n = crowded.count()
+    if n == 0 or n > MOST_CROWDED:
+        return rows.join(groups.drop(size), key)
+    marked = rows.join(F.broadcast(crowded.withColumn("__crowded", F.lit(True))), key, "left")
+    few = marked.where("__crowded is null").select(*rows.columns).join(groups.where(F.col(size) <= CROWDED).drop(size), key)
+    return few.unionByName(marked.where("__crowded").select(*few.columns))

@@ -29,3 +29,17 @@ def test_components_match_union_find(spark):
 
 def test_components_empty(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_crowded_groups_join_as_others(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from momentlake.plans import lineage
+
+    rows = spark.range(500).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id") % 20 + 100).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(groups.drop("n"), "k").select("k", "id", "first").collect()))
+    for crowded, most in ((1000, 10), (50, 10), (5, 10), (5, 100)):
+        monkeypatch.setattr(lineage, "CROWDED", crowded)
+        monkeypatch.setattr(lineage, "MOST_CROWDED", most)
+        assert sorted(map(tuple, lineage.join_groups(rows, groups, "k", "n").select("k", "id", "first").collect())) == want
