@@ -7,7 +7,9 @@ digit, since no alternative of the pattern holds white space after such a charac
 What has no such place is matched piece by piece, and a very long piece is merged with a
 heap, so neither the regex engine nor the merge loop meets a text it cannot finish.
 
-Null texts count as empty: no ids. Repeated rows and null ids are carried along.
+Null and empty texts have no ids. Texts of any length are encoded whole. Repeated rows and null
+ids are carried along, and so are further columns, whatever their names. An empty table gives
+an empty one. Bytes that are no UTF-8 count as replacement characters.
 """
 
 from __future__ import annotations
@@ -109,10 +111,22 @@ class Codec:
 
 
 def _unbroken(text: str) -> bool:
-    """Whether some aligned window holds no space, or nothing else: a match may be very long."""
+    """Whether some aligned window is of one kind of characters throughout: a match may be very long."""
     half = LONG_PIECE // 2
     windows = (text[k : k + half] for k in range(0, len(text) - half + 1, half))
-    return any(" " not in w or w.isspace() for w in windows)
+    return any((" " not in w or w.isspace()) and _one_kind().fullmatch(w) for w in windows)
+
+
+@lru_cache(maxsize=1)
+def _one_kind():
+    import regex
+
+    return regex.compile(r"[\p{L}\p{M}\p{N}_'’]+|[^\s\p{L}\p{N}]+|\s+")
+
+
+def texts_of(column: pa.Array) -> list[str | None]:
+    """Strings of a column; bytes that are no UTF-8 become replacement characters."""
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
 @lru_cache(maxsize=4)
@@ -136,7 +150,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
         for b in batches:
-            made = pa.array([c.encode(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
+            made = pa.array([c.encode(t) for t in texts_of(b.column(b.num_columns - 1))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], made], names=schema.names)
 
     return part.mapInArrow(run, schema).toDF(*kept, ids)
@@ -168,7 +182,7 @@ def digests(df: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id",
         c = codec()
         for b in batches:
             n, ids_hex, bytes_hex = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in texts_of(b.column(1)):
                 ids = c.encode(t)
                 n.append(len(ids))
                 ids_hex.append(hashlib.sha256(",".join([c.names[i] for i in ids]).encode()).hexdigest())

@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from momentlake.llm.bpe import texts_of
 from momentlake.llm.url_filter import host_and_path
 from momentlake.plans.lineage import cut
 
@@ -498,7 +499,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_slots(t) for t in b.column(1).to_pylist()]
+            got = [_slots(t) for t in texts_of(b.column(1))]
             listed = pa.array([[{"slot": s, "h": h} for s, h in x[1]] for x in got], pa.list_(pa.struct([("slot", pa.int32()), ("h", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), listed, pa.array([x[2] for x in got], pa.int64())], names=["host", "signature", "slots", "page"])
 
@@ -549,7 +550,7 @@ def extract(pages: DataFrame, carry: list[Column], url: str = "url", html: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, layouts in zip(b.column("html").to_pylist(), b.column("layouts").to_pylist(), strict=True):
+            for text, layouts in zip(texts_of(b.column("html")), b.column("layouts").to_pylist(), strict=True):
                 signature, blocks = read(text)
                 shared: frozenset[int] | None = None
                 if layouts:

@@ -11,7 +11,8 @@ row, so a host that holds most urls is spread over many ranges.
 
 A url that is null or has no ``://`` has an empty host and path and fits no rule but one
 for the empty host. Repeated rows and null ids are judged row by row. Of equal rules the
-smallest verdict counts; rules with a null host, path or verdict are ignored.
+smallest verdict counts; rules with a null host, path or verdict are ignored. Urls of any
+length are judged whole. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations

@@ -53,3 +53,16 @@ def test_frames(docs, empty_docs, plain):
     assert coded.columns == [*docs.columns, "token_ids", "decoded"]
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in coded.collect())
     assert bpe.digests(empty_docs, PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_bytes_that_are_no_utf8(spark):
+    rows = spark.sql("SELECT 1L AS doc_id, CAST(unhex('61FF62') AS STRING) AS text, 'x' AS n_tokens UNION ALL SELECT 2, NULL, 'y'")
+    import public_tokenizers
+
+    got = {r.doc_id: r.n_tokens for r in bpe.digests(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    assert got[1] > 0 and got[2] == 0
+
+
+def test_texts_without_spaces_take_the_library_unless_of_one_kind():
+    chinese = "我们今天去公园，然后回家。" * 400
+    assert not bpe._unbroken(chinese) and bpe._unbroken("我" * 4000) and bpe._unbroken("!?" * 2000) and bpe._unbroken(" " * 4000) and bpe._unbroken("a" * 4000)
