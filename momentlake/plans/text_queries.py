@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from momentlake.functions import text as T
 from momentlake.operators import assembly, chunking
 from momentlake.plans import sql as S
+from momentlake.plans.rule_queries import IDEAS_CTE
 from momentlake.sources import transcripts, web
 from momentlake.sources.corpus import moments, table
 
@@ -188,7 +189,18 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("video_id"), F.col("turn").alias("seq"), (F.col("turn") * 40.0).alias("start_sec"), (F.col("turn") * 40.0 + 7 + F.length("text") % 30).alias("end_sec"), "text")
 
 
-@query()
+_CHUNKS = (
+    f"en AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY s, seq) AS k, count(*) OVER (PARTITION BY video_id) AS n, s, greatest(s, e) AS e, t FROM (SELECT conv_id AS video_id, turn AS seq, turn * 40.0::DOUBLE AS s, turn * 40.0::DOUBLE + 7 + length(text) % 30 AS e, {S.collapse("coalesce(text, '')")} AS t FROM conversations) WHERE t <> '')",
+    "ov AS (SELECT a.video_id, a.k AS f, a.n, a.s AS start, coalesce(min(CASE WHEN b.e - a.s > 120 THEN b.k END), a.n + 1) AS over FROM en a JOIN en b ON b.video_id = a.video_id AND b.k >= a.k GROUP BY a.video_id, a.k, a.n, a.s)",
+    r"st AS (SELECT o.video_id, o.f, o.n, CASE WHEN o.over > o.n THEN o.n ELSE coalesce(max(CASE WHEN b.e - o.start >= 30 AND regexp_matches(b.t, '[.!?]\s*$') THEN b.k END), greatest(o.f, o.over - 1)) END AS g FROM ov o JOIN en b ON b.video_id = o.video_id AND b.k BETWEEN o.f AND o.over GROUP BY o.video_id, o.f, o.n, o.over, o.start)",
+    "pc AS (SELECT video_id, 0 AS p, f, g, n FROM st WHERE f = 1 UNION ALL SELECT pc.video_id, pc.p + 1, st.f, st.g, st.n FROM pc JOIN st ON st.video_id = pc.video_id AND st.f = pc.g + 1)",
+    "pt AS (SELECT pc.video_id, pc.p, min(CASE WHEN en.k = pc.f THEN en.s END) AS s, max(CASE WHEN en.k = pc.g THEN en.e END) AS e, string_agg(en.t, ' ' ORDER BY en.k) AS t FROM pc JOIN en ON en.video_id = pc.video_id AND en.k BETWEEN pc.f AND pc.g GROUP BY pc.video_id, pc.p)",
+    "mg AS (SELECT video_id, p, 0 AS o, s AS os, e AS oe FROM pt WHERE p = 0 UNION ALL SELECT mg.video_id, pt.p, CASE WHEN pt.e - pt.s < 30 AND pt.e - mg.os <= 120 THEN mg.o ELSE mg.o + 1 END, CASE WHEN pt.e - pt.s < 30 AND pt.e - mg.os <= 120 THEN mg.os ELSE pt.s END, pt.e FROM mg JOIN pt ON pt.video_id = mg.video_id AND pt.p = mg.p + 1)",
+    "ck AS (SELECT mg.video_id, mg.o AS seq, min(mg.os) AS start_sec, arg_max(mg.oe, mg.p) AS end_sec, string_agg(pt.t, ' ' ORDER BY mg.p) AS transcript_text FROM mg JOIN pt ON pt.video_id = mg.video_id AND pt.p = mg.p GROUP BY mg.video_id, mg.o)",
+)
+
+
+@query("WITH RECURSIVE " + ",\n".join(_CHUNKS) + " SELECT video_id, seq::INTEGER AS seq, start_sec, end_sec, transcript_text FROM ck")
 def chunk_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(_entries(spark, sf_dir))
 
@@ -252,12 +264,28 @@ def _assembled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return assembly.assemble(videos, _entries(spark, sf_dir), seen.drop("path"), seen.select("video_id", "timestamp_sec", "path"))
 
 
-@query()
+_ASSEMBLED = (
+    *_CHUNKS,
+    "al AS (SELECT * FROM ck UNION ALL SELECT DISTINCT conv_id, 0, 0.0::DOUBLE, 60.0::DOUBLE, '' FROM conversations WHERE conv_id NOT IN (SELECT video_id FROM en))",
+    "bare AS (SELECT *, video_id || ':' || printf('%.2f', start_sec) || ':' || printf('%.2f', end_sec) AS moment_id FROM al)",
+    "ev AS (SELECT event_id, event_id % 500 AS video_id, (event_id % 600)::DOUBLE AS tm, event_type AS text FROM events)",
+    "seen AS (SELECT moment_id, string_agg(text, ' ' ORDER BY tm, text) AS ocr_text FROM (SELECT bare.moment_id, ev.text, min(ev.tm) AS tm FROM bare JOIN ev ON ev.video_id = bare.video_id AND ev.tm BETWEEN bare.start_sec AND bare.end_sec GROUP BY ALL) GROUP BY moment_id)",
+    "mo AS (SELECT bare.*, coalesce(seen.ocr_text, '') AS ocr_text FROM bare LEFT JOIN seen USING (moment_id))",
+)
+
+
+@query("WITH RECURSIVE " + ",\n".join(_ASSEMBLED) + f" SELECT moment_id, video_id, seq::INTEGER AS seq, start_sec, end_sec, transcript_text, ocr_text, sha256({S.normal("trim(trim(transcript_text) || ' ' || trim(ocr_text))")}) AS content_hash FROM mo")
 def ingest_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of parsed transcripts with their screen texts and hashes."""
     return _assembled(spark, sf_dir)["moments"]
 
 
-@query()
+_EVIDENCE = """SELECT moment_id, 'transcript' AS modality, transcript_text AS content, 1.0::DOUBLE AS confidence FROM mo WHERE trim(transcript_text) <> ''
+UNION ALL SELECT mo.moment_id, 'ocr', ev.text, 0.9::DOUBLE FROM mo JOIN ev ON ev.video_id = mo.video_id AND ev.tm BETWEEN mo.start_sec AND mo.end_sec
+UNION ALL SELECT mo.moment_id, 'visual', 'frames/' || ev.event_id, 1.0::DOUBLE FROM mo JOIN ev ON ev.video_id = mo.video_id AND ev.tm BETWEEN mo.start_sec AND mo.end_sec
+UNION ALL SELECT moment_id, 'idea', text, confidence FROM ideas"""
+
+
+@query("WITH RECURSIVE " + ",\n".join([*_ASSEMBLED, "m AS (SELECT moment_id, transcript_text FROM mo)", IDEAS_CTE]) + "\n" + _EVIDENCE)
 def ingest_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assembled(spark, sf_dir)["evidence"]
