@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from momentlake.llm.bitslice import PAIRS_HELD, minimum_forest
 from momentlake.operators.components import connected_components
-from momentlake.plans.lineage import cut
+from momentlake.plans.lineage import cut, join_groups
 
 #: Vectors that the principal directions and the interval bounds are fitted on.
 SAMPLE = 20_000
@@ -238,9 +238,9 @@ def linked(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embe
     groups = connected_components(found.where("w is null"))
     of = alike.select(F.struct(F.col("first").alias("i"), F.col("hash").alias("h")).alias("node"), "v", "first", "size")
     of = of.join(weights, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    per_vector = of.join(least, "component").select("v", (F.coalesce("w", F.lit(0)) + F.col("size") - 1).alias("links"), F.col("component_id").alias("smallest"))
-    joined = rows.where("good").join(per_vector, "v").select("vec_id", F.col("links").alias("n_links"), F.col("smallest").alias("component_id"))
+    least = of.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("vectors"))
+    per_vector = join_groups(of, least, "component", "vectors").select("v", "size", (F.coalesce("w", F.lit(0)) + F.col("size") - 1).alias("links"), F.col("component_id").alias("smallest"))
+    joined = join_groups(rows.where("good").select("vec_id", "v"), per_vector, "v", "size").select("vec_id", F.col("links").alias("n_links"), F.col("smallest").alias("component_id"))
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -10,7 +10,8 @@ holds more than ``CHUNK`` rows is cut into chunks whose pairs go to separate tas
 nothing is capped and no task holds more than two chunks.
 
 Null and empty texts have fingerprint zero and are linked like any other. Null ids are
-carried along. Repeated rows are equal fingerprints. Further columns are ignored.
+carried along. Repeated rows are equal fingerprints. Texts of any length are read whole. An
+empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from momentlake.operators.components import connected_components
-from momentlake.plans.lineage import Scratch, cut
+from momentlake.plans.lineage import Scratch, cut, join_groups
 
 SEED = 42
 #: Rows of a bucket that one task compares with each other.
@@ -190,14 +191,14 @@ def fingerprint_components(docs: DataFrame, doc_id: str = "doc_id", text: str =
     only where all ids reached are null.
     """
     prints = cut(fingerprints(docs, [F.col(doc_id).alias("doc_id")], text, words))
-    first = prints.groupBy("fp0").agg(F.min("doc_id").alias("first_id"))
+    first = prints.groupBy("fp0").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     rows = first.select(F.explode(exact_keys(F.col("fp0"), radius)).alias("key"), "fp0")
     found = links_in_buckets(rows, radius).select(F.col("a.fp0").alias("a"), F.col("b.fp0").alias("b"))
     groups = connected_components(found)
     of = first.join(groups.withColumnRenamed("node", "fp0"), "fp0", "left").withColumn("component", F.coalesce("component", "fp0"))
-    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = of.join(least, "component").select("fp0", "component_id")
-    return prints.join(named, "fp0").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints"))
+    named = join_groups(of, least, "component", "prints").select("fp0", "rows", "component_id")
+    return join_groups(prints, named, "fp0", "rows").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: For near_duplicates: at the similarity s asked for a pair differs in acos(2 s / (1 + s)) / pi of
