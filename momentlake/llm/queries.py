@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlake.llm import bpe, chat, embed_dedup, html_extract, mixing, quality, sharding, topk, url_filter
+from momentlake.llm import bpe, chat, divergence, embed_dedup, html_extract, mixing, quality, sharding, topk, url_filter
 from momentlake.llm.simhash import fingerprint_components
 
 
@@ -56,10 +56,15 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.linked(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filter, op2_exact_top_k, op3_quality_classifier, op4_source_mixing, op5_sharding, op6_chat_formatting,
         op7_simhash_near_dedup, op8_html_extraction, op9_byte_bpe, op10_embedding_near_dedup,
+        op11_source_divergence,
     )
     return {f.__name__: f for f in found}
 
@@ -72,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_sharding": sharding.SHARDED_SQL,
         "op6_chat_formatting": chat.FORMATTED_SQL,
         "op10_embedding_near_dedup": embed_dedup.LINKED_SQL,
+        "op11_source_divergence": divergence.AUDIT_SQL,
     }
