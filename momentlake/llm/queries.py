@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlake.llm import bpe, chat, divergence, embed_dedup, html_extract, mixing, quality, rule_list, sharding, topk, url_filter
+from momentlake.llm import bpe, chat, divergence, embed_dedup, html_extract, mixing, quality, rule_list, sharding, spelling, topk, url_filter
 from momentlake.llm.simhash import fingerprint_components
 
 
@@ -64,11 +64,15 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_list.filtered(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filter, op2_exact_top_k, op3_quality_classifier, op4_source_mixing, op5_sharding, op6_chat_formatting,
         op7_simhash_near_dedup, op8_html_extraction, op9_byte_bpe, op10_embedding_near_dedup,
-        op11_source_divergence, op12_quality_rules,
+        op11_source_divergence, op12_quality_rules, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
@@ -82,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_formatting": chat.FORMATTED_SQL,
         "op10_embedding_near_dedup": embed_dedup.LINKED_SQL,
         "op11_source_divergence": divergence.AUDIT_SQL,
+        "op13_spelling_variants": spelling.VARIANTS_SQL,
     }
