@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import pathlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -57,21 +59,50 @@ class Scratch:
         drop_folder(self.spark, self.folder)
 
 
-def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], *parts: str) -> DataFrame:
-    """A derived table, written once to the shared folder for each state of ``source`` and read from then on.
+@functools.cache
+def code_version() -> str:
+    """A hash of this package's source files: what the code makes may change with it."""
+    root = pathlib.Path(__file__).resolve().parents[1]
+    told = hashlib.sha256()
+    for path in sorted(root.rglob("*.py")):
+        told.update(f"{path.relative_to(root)}\0".encode() + path.read_bytes())
+    return told.hexdigest()
 
-    ``source`` is a file or folder; names, sizes and times of its files tell its state.
-    ``parts`` are columns that the table is partitioned by.
+
+def state_of(spark: SparkSession, source: str) -> str:
+    """A hash of the names, sizes and times of all data files at and below ``source``, at any depth of partitions."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], *parts: str, **settings) -> DataFrame:
+    """A derived table, written to the shared folder for each state of ``source`` and read from then on.
+
+    The state is that of all files below ``source``; ``settings`` that ``make`` depends on and
+    the package's code count as well. ``parts`` are columns that the table is partitioned by.
+    Each writer writes a folder of its own and then publishes it by an empty file of the same
+    name; readers take the first published one, so writers at the same time can't mix.
     """
+    told = " ".join([state_of(spark, source), code_version(), repr(sorted(settings.items())), repr(parts)])
+    folder = f"{shared_folder(spark)}/stored/{hashlib.sha256(told.encode()).hexdigest()[:20]}/{name}"
     jvm = spark._jvm.org.apache.hadoop.fs.Path
-    path = jvm(source)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    state = [f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}" for f in files]
-    folder = f"{shared_folder(spark)}/stored/{hashlib.sha256(' '.join(state).encode()).hexdigest()[:20]}/{name}"
-    done = jvm(f"{folder}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        make().write.mode("overwrite").partitionBy(*parts).parquet(folder)
-    return spark.read.parquet(folder)
+    fs = jvm(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def published() -> list[str]:
+        at = jvm(f"{folder}/published")
+        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+    if not published():
+        own = uuid.uuid4().hex
+        make().write.partitionBy(*parts).parquet(f"{folder}/{own}")
+        fs.mkdirs(jvm(f"{folder}/published"))
+        fs.createNewFile(jvm(f"{folder}/published/{own}"))
+    return spark.read.parquet(f"{folder}/{published()[0]}")
 
 
 #: A key with more rows than this is crowded; at most so many crowded keys are broadcast.

@@ -1,3 +1,6 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +77,30 @@ def test_stored_tables_follow_their_source(spark, tmp_path):
     assert len(made) == 2
 
 
+def test_stored_tables_see_nested_partitions_and_settings(spark, tmp_path):
+    source = str(tmp_path / "nested")
+    rows = lambda n: spark.range(n).selectExpr("id", "1 AS p", "1 AS q")
+    rows(10).write.partitionBy("p", "q").parquet(source)
+    count = lambda **settings: stored(spark, source, "t", lambda: spark.read.parquet(source).selectExpr("id + %d AS id" % settings.get("more", 0)), **settings).agg(F.count("*").alias("n"), F.min("id").alias("least")).first()
+    assert tuple(count()) == (10, 0)
+    rows(30).select("id").write.mode("append").parquet(f"{source}/p=1/q=1")
+    assert tuple(count()) == (40, 0)
+    assert tuple(count(more=5)) == (40, 5) and tuple(count(more=7)) == (40, 7) and tuple(count()) == (40, 0)
+
+
+def test_two_writers_of_a_stored_table(spark, tmp_path):
+    source, wait = str(tmp_path / "two"), threading.Barrier(2)
+    spark.range(50).write.parquet(source)
+
+    def make():
+        wait.wait(60)  # both are writing before either has published
+        return spark.read.parquet(source)
+
+    with ThreadPoolExecutor(2) as pool:
+        got = [f.result() for f in [pool.submit(lambda: stored(spark, source, "t", make)) for _ in range(2)]]
+    assert [g.count() for g in got] == [50, 50] and stored(spark, source, "t", lambda: 1 / 0).count() == 50
+
+
 def test_diversity_against_the_rule(spark):
     """Each choice has the best score after its losses, worked out hit by hit."""
     rows = [(1, f"m{k}", f"v{k % 3}", f"m{k // 4 * 4}" if k % 4 else None, ["a", "b", ""][k % 3 - 1], 2.0 - 0.07 * k) for k in range(14)]
