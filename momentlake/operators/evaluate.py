@@ -48,3 +48,45 @@ def report(one_row: DataFrame) -> DataFrame:
     """metric, value: the summary as lines."""
     pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one_row.columns))
     return one_row.select(F.explode(pairs).alias("p")).select("p.*")
+
+
+def per_search(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row for each expected query over whole searches (`batch.find_all`), queries without results too.
+
+    Terms are looked for in what a result shows (snippets and ideas). collapsed is how many
+    duplicates were dropped, n_clusters how many duplicate clusters, n_duplicates how many
+    flagged rows, entities the sum of entity links and n_types how many idea types the
+    results have.
+    """
+    e = expected.select("query_id", "expected_video_id", F.coalesce("expected_terms", F.array().cast("array<string>")).alias("terms"))
+    shown = F.lower(F.concat("transcript_snippet", "ocr_snippet", "idea_summary"))
+    links = F.col("entity_degree") if "entity_degree" in results.columns else F.lit(0)
+    flagged = (F.col("is_duplicate") | F.col("is_variant")).cast("int").alias("flagged")
+    r = results.select("query_id", "video_id", "rank", "collapsed_count", "canonical_moment_id", flagged, links.alias("links"), F.filter(F.split("idea_types", ","), lambda t: t != "").alias("types"), shown.alias("low"))
+    right = F.col("video_id") == F.col("expected_video_id")
+    joined = e.join(r, "query_id", "left").withColumn("seen", F.filter("terms", lambda t: F.contains(F.col("low"), F.lower(t))))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    different = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
+    # terms are counted one by one, also such that a query names twice
+    found = joined.groupBy("query_id").agg(
+        F.count("rank").alias("n"), zero(F.max(F.when(right, 1))).alias("video_hits"), F.max("terms").alias("terms"), F.array_distinct(F.flatten(F.collect_set("seen"))).alias("seen"), zero(F.max("collapsed_count")).alias("collapsed"),
+        F.count_distinct("video_id").alias("n_videos"), F.count_distinct("canonical_moment_id").alias("n_clusters"), zero(F.sum("flagged")).alias("n_duplicates"), zero(F.sum("links")).alias("entities"), different("types").alias("n_types"),
+        zero(F.count_if(right)).alias("right"), F.round(F.coalesce(F.max(F.when(right, 1.0 / F.col("rank"))), F.lit(0.0)), 4).alias("reciprocal_rank"),
+    )
+    hits = F.size(F.filter("terms", lambda t: F.array_contains(F.col("seen"), t))).cast("long")
+    return found.withColumns({"term_hits": hits, "term_checks": F.size("terms").cast("long")}).drop("terms", "seen")
+
+
+def search_summary(per_search: DataFrame, seconds: float | None = None) -> DataFrame:
+    """One row: `summary`, and means of duplicates, clusters, entities and idea types. ``seconds`` that the batch took give latencies."""
+    total = F.count("*")
+    mean = lambda c: F.when(total > 0, F.round(F.sum(c) / total, 2)).otherwise(0.0)
+    more = per_search.agg(
+        mean("collapsed").alias("avg_duplicates_collapsed"), F.sum("collapsed").alias("total_collapsed"), mean("n_videos").alias("avg_unique_videos_in_topk"), mean("n_clusters").alias("avg_unique_clusters_in_topk"),
+        mean("n_duplicates").alias("avg_duplicate_in_topk"), mean("entities").alias("avg_entity_coverage_in_topk"), mean("n_types").alias("avg_idea_type_diversity_in_topk"),
+    )
+    both = summary(per_search).drop("avg_unique_videos").crossJoin(more)  # one row each
+    if seconds is None:
+        return both
+    ms = F.lit(seconds * 1000)
+    return both.withColumns({"total_latency_ms": F.round(ms, 2), "avg_query_latency_ms": F.when(F.col("total_queries") > 0, F.round(ms / F.col("total_queries"), 2)).otherwise(0.0)})

@@ -12,7 +12,7 @@ from momentlake.operators import assembly, search
 from momentlake.plans.lineage import cut
 
 MODES = ("fts", "semantic", "fts_semantic", "hybrid")
-_NO_DUPLICATES = "dup_id string, moment_id string, canonical_moment_id string, duplicate_type string"
+NO_DUPLICATES = "dup_id string, moment_id string, canonical_moment_id string, duplicate_type string"
 
 
 @dataclass
@@ -50,7 +50,7 @@ def _together(first: DataFrame, then: DataFrame) -> DataFrame:
 def _reranked(c: Corpus, hits: DataFrame, query: str, limit: int, diverse: bool, include: bool, weights: dict[str, float] | None) -> DataFrame:
     """Hits by graph score; the features are those of the hits only."""
     own = cut(c.moments.join(F.broadcast(hits.select("moment_id")), "moment_id", "left_semi"))  # a few times limit rows
-    duplicates = c.duplicates if c.duplicates is not None else own.sparkSession.createDataFrame([], _NO_DUPLICATES)
+    duplicates = c.duplicates if c.duplicates is not None else own.sparkSession.createDataFrame([], NO_DUPLICATES)
     evidence = c.evidence if c.evidence is not None else own.sparkSession.createDataFrame([], "moment_id string, modality string")
     f = search.features(own, c.ideas(own), evidence, duplicates, c.edges, query)
     f = f.withColumnsRenamed({"idea_types": "types_of", "canonical_moment_id": "canonical_of"})
@@ -75,7 +75,7 @@ def find(c: Corpus, query: str, mode: str = "fts", video_id: str | None = None,
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     empty = lambda df: df.where(F.lit(False))
-    duplicates = c.duplicates if c.duplicates is not None else c.moments.sparkSession.createDataFrame([], _NO_DUPLICATES)
+    duplicates = c.duplicates if c.duplicates is not None else c.moments.sparkSession.createDataFrame([], NO_DUPLICATES)
     graph = rerank and c.edges is not None and not c.edges.isEmpty()
     if mode == "semantic":
         hits = _near_hits(c, query, limit, video_id) if query.strip() else empty(_text_hits(c, query, limit, video_id))
