@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from momentlake.plans import graph_queries, rule_queries, search_queries, text_queries
+from momentlake.plans import batch_queries, graph_queries, rule_queries, search_queries, text_queries
 
-AREAS = (text_queries, rule_queries, search_queries, graph_queries)
+AREAS = (text_queries, rule_queries, search_queries, graph_queries, batch_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

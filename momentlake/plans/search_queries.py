@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from momentlake.functions import rules as R
 from momentlake.functions import text as T
-from momentlake.operators import assembly, dedupe, evaluate, rules, search, vectors
+from momentlake.operators import assembly, dedupe, rules, search, vectors
 from momentlake.plans import sql as S
 from momentlake.plans.lineage import cut, stored
 from momentlake.plans.rule_queries import IDEAS_CTE, TECHNICAL_CTES
@@ -473,54 +473,3 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'hash' AS provider, len(embedding)::INTEGER AS dimension, count(*) AS n_vectors, count(DISTINCT label) AS n_labels FROM embeddings GROUP BY len(embedding)")
 def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.stats(table(spark, sf_dir, "embeddings").select(F.lit("hash").alias("provider"), F.col("embedding").alias("vector"), "label"))
-
-
-# --- evaluation
-
-_EVAL_CTES = (
-    *_POST,
-    *_BATCH_CTES,
-    "ex AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS video, ft.t AS term FROM benchmark, LATERAL (SELECT " + S.tokens("text") + "[3] AS t) ft)",
-    "top AS (SELECT br.query_id, br.moment_id, br.bm25, br.rank, m.video_id, lower(m.transcript_text) AS low FROM br JOIN m USING (moment_id) WHERE rank <= 10)",
-    "pq AS (SELECT ex.query_id, count(top.moment_id) AS n, coalesce(max(CASE WHEN top.video_id = ex.video THEN 1 END), 0) AS video_hit, coalesce(max(CASE WHEN contains(top.low, ex.term) THEN 1 END), 0) AS term_hit, count(DISTINCT top.video_id) AS n_videos, coalesce(max(CASE WHEN top.video_id = ex.video THEN 1.0::DOUBLE / top.rank END), 0.0::DOUBLE) AS rr FROM ex LEFT JOIN top USING (query_id) GROUP BY ex.query_id)",
-)
-
-
-def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("expected_video_id"), F.slice(T.fts_tokens(F.col("text")), 3, 1).alias("expected_terms"))
-
-
-def _per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = moments(spark, sf_dir).select("moment_id", "video_id", F.col("transcript_text").alias("shown"))
-    return evaluate.per_query(fts_batch(spark, sf_dir).join(m, "moment_id"), _expected(spark, sf_dir))
-
-
-@query(S.with_moments("SELECT query_id, n, video_hit::BIGINT AS video_hits, term_hit::BIGINT AS term_hits, n_videos, round(rr, 4) AS reciprocal_rank FROM pq", *_EVAL_CTES))
-def eval_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _per_query(spark, sf_dir).select("query_id", "n", "video_hits", "term_hits", "n_videos", "reciprocal_rank")
-
-
-@query(
-    S.with_moments(
-        "SELECT count(*) AS total_queries, count(*) FILTER (WHERE n >= 1) AS top1_hits, round(count(*) FILTER (WHERE n >= 1) * 100.0::DOUBLE / count(*), 1) AS top1_pct, count(*) FILTER (WHERE n >= 3) AS top3_hits, count(*) FILTER (WHERE n >= 5) AS top5_hits, sum(video_hit)::BIGINT AS video_hits, sum(term_hit)::BIGINT AS term_hits, round(sum(n)::DOUBLE / count(*), 2) AS avg_results_returned, round(sum(n_videos)::DOUBLE / count(*), 2) AS avg_unique_videos FROM pq",
-        *_EVAL_CTES,
-    )
-)
-def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.summary(_per_query(spark, sf_dir)).select("total_queries", "top1_hits", "top1_pct", "top3_hits", "top5_hits", "video_hits", "term_hits", "avg_results_returned", "avg_unique_videos")
-
-
-_PCT = lambda n: f"count(*) FILTER (WHERE n >= {n}) * 100.0::DOUBLE / count(*)"
-_REPORT = {
-    "total_queries": "count(*)", "top1_hits": "count(*) FILTER (WHERE n >= 1)", "top1_pct": f"round({_PCT(1)}, 1)", "top3_hits": "count(*) FILTER (WHERE n >= 3)", "top3_pct": f"round({_PCT(3)}, 1)",
-    "top5_hits": "count(*) FILTER (WHERE n >= 5)", "top5_pct": f"round({_PCT(5)}, 1)", "video_hits": "sum(video_hit)", "term_hits": "sum(term_hit)", "term_checks": "sum(terms)",
-    "term_pct": "round(sum(term_hit) * 100.0::DOUBLE / nullif(sum(terms), 0), 1)", "avg_results_returned": "round(sum(n)::DOUBLE / count(*), 2)", "avg_unique_videos": "round(sum(n_videos)::DOUBLE / count(*), 2)",
-    "precision": "round(sum(in_video)::DOUBLE / nullif(sum(n), 0), 4)", "mrr": "round(avg(round(rr, 4)), 4)",
-}
-_MORE = "pr AS (SELECT pq.*, (SELECT count(*) FROM top WHERE top.query_id = ex.query_id AND top.video_id = ex.video) AS in_video, CASE WHEN ex.term IS NULL THEN 0 ELSE 1 END AS terms FROM pq JOIN ex USING (query_id))"
-
-
-@query(S.with_moments(" UNION ALL ".join(f"SELECT '{k}' AS metric, ({x})::DOUBLE AS value FROM pr" for k, x in _REPORT.items()), *_EVAL_CTES, _MORE))
-def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.report(evaluate.summary(_per_query(spark, sf_dir)))
