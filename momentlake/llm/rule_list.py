@@ -202,12 +202,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")
-    rows = rows.select("__id", "__bad", statistics(F.col("__text")).alias("s")).where(~base_failed(F.col("s")))
-    # of a repeated id one text is learned from, so the driver gets a row for each label at most
-    rows = rows.groupBy("__id", "__bad").agg(F.min(F.struct(*(F.col(f"s.{f}").alias(f) for f in FEATURES))).alias("f"))
-    got = rows.select("__bad", (F.pmod(F.xxhash64("__id"), F.lit(3)) == 0).alias("held"), "f.*").collect()
-    x = np.array([tuple(r)[2:] for r in got], np.float64).reshape(-1, len(FEATURES))
-    bad, held = np.array([r[0] for r in got], bool), np.array([r[1] for r in got], bool)
+    rows = rows.select("__id", "__bad", statistics(F.col("__text")).alias("s"))
+    # of a repeated id one text is learned from, so the driver gets a row for each label at most; whether it
+    # passes the base is asked last: a filter here would be moved below the join and count in all texts
+    rows = rows.groupBy("__id", "__bad").agg(F.min(F.struct(base_failed(F.col("s")).alias("failed"), *(F.col(f"s.{f}").alias(f) for f in FEATURES))).alias("f"))
+    got = [r for r in rows.select("f.failed", "__bad", (F.pmod(F.xxhash64("__id"), F.lit(3)) == 0).alias("held"), *(f"f.{f}" for f in FEATURES)).collect() if not r[0]]
+    x = np.array([tuple(r)[3:] for r in got], np.float64).reshape(-1, len(FEATURES))
+    bad, held = np.array([r[1] for r in got], bool), np.array([r[2] for r in got], bool)
     order = np.lexsort((*x.T, held, bad))  # the list doesn't depend on how rows came in
     return learn(x[order], bad[order], held[order])
 
