@@ -67,6 +67,16 @@ def grams(normal: Column, n: int = 3) -> Column:
     return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(normal)).otherwise(F.array_distinct(slid))
 
 
+def gram_codes(normal: Column) -> Column:
+    """`grams` of three characters, each as one number: 21 bits a character, so different grams have different numbers."""
+    codes = F.transform(F.split(normal, ""), lambda c: F.ascii(c).cast("long"))
+    size = F.length(normal)
+    at = lambda k: F.slice(codes, F.lit(1 + k), F.greatest(size - 2, F.lit(0)))
+    three = F.zip_with(F.zip_with(at(0), at(1), lambda a, b: a * (1 << 21) + b), at(2), lambda a, b: a * (1 << 21) + b)
+    short = F.array(F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a * (1 << 21) + c))
+    return F.when(size == 0, F.array().cast("array<bigint>")).when(size < 3, short).otherwise(F.array_distinct(three))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of sets given as arrays of distinct values; two empty sets are alike."""
     both = F.size(F.array_intersect(a, b))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentlake.functions import rules as R
 from momentlake.functions import text as T
+from momentlake.operators.sequence import sequence_ratio
+from momentlake.plans.lineage import cut
 
 THRESHOLD = 0.75
 
@@ -58,10 +59,10 @@ def set_members(sets: DataFrame) -> DataFrame:
     return keyed.join(_distinct(keyed).select("s", "n", F.col("id").alias("representative")), ["s", "n"]).select("id", "representative")
 
 
-def _keyed(sets: DataFrame) -> DataFrame:
-    """id, tokens, n, and s, 128 bits told from the sorted tokens."""
+def _keyed(sets: DataFrame, *more: str) -> DataFrame:
+    """id, tokens, n, and s, 128 bits told from the sorted tokens: sets with the same 128 bits are taken as equal."""
     told = F.array_join(F.array_sort("tokens"), "\x1f")
-    return sets.select("id", "tokens", F.concat(F.hex(F.xxhash64(told)), F.lit(":"), F.hex(F.xxhash64(F.lit("2"), told))).alias("s"), F.size("tokens").alias("n"))
+    return sets.select("id", "tokens", *more, F.concat(F.hex(F.xxhash64(told)), F.lit(":"), F.hex(F.xxhash64(F.lit("2"), told))).alias("s"), F.size("tokens").alias("n"))
 
 
 def _distinct(keyed: DataFrame) -> DataFrame:
@@ -81,17 +82,9 @@ def jaccard_links(sets: DataFrame, threshold: float) -> DataFrame:
         raise ValueError("the prefix filter needs a threshold above 0")
     eps = 1e-9
     distinct = _distinct(_keyed(sets))
-    one = distinct.where("n > 0").select("s", "n", F.explode("tokens").alias("t"))
-    counts = one.groupBy("t").agg(F.count("*").alias("df"))
-    ordered = one.join(counts, "t").withColumn("k", F.row_number().over(Window.partitionBy("s", "n").orderBy("df", "t")))
-    prefix = ordered.where((F.col("df") > 1) & (F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - eps) + 1)).select("s", "n", "t", "k")
-    side = lambda x: prefix.select("t", *(F.col(c).alias(f"{c}{x}") for c in ("s", "n", "k")))
-    left, right = side("a"), side("b")
-    near = left.join(right, "t").where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("sa") < F.col("sb"))))
-    near = near.where(F.col("na") >= F.col("nb") * threshold - eps)
     # from the first shared token on, no more than the shorter rest can be shared; later ones allow less still
     most = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) + 1
-    near = near.where(most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - eps).select("sa", "sb").distinct()
+    near = _proposed(distinct, threshold, (), lambda near: near.where(most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - eps)).select("sa", "sb").distinct()
     of = distinct.select("s", "tokens")
     checked = near.join(of.select(F.col("s").alias("sa"), F.col("tokens").alias("ta")), "sa").join(of.select(F.col("s").alias("sb"), F.col("tokens").alias("tb")), "sb")
     similar = checked.select("sa", "sb", T.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold - eps)
@@ -100,6 +93,18 @@ def jaccard_links(sets: DataFrame, threshold: float) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
+def _proposed(distinct: DataFrame, threshold: float, carried: tuple[str, ...], bound: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (columns with a and b appended) of different sets that share a token of their prefixes and pass ``bound``, once for each such token."""
+    eps = 1e-9
+    one = distinct.where("n > 0").select("s", "n", *carried, F.explode("tokens").alias("t"))
+    counts = one.groupBy("t").agg(F.count("*").alias("df"))
+    ordered = one.join(counts, "t").withColumn("k", F.row_number().over(Window.partitionBy("s", "n").orderBy("df", "t")))
+    prefix = ordered.where((F.col("df") > 1) & (F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - eps) + 1)).select("s", "n", "t", "k", *carried)
+    side = lambda x: prefix.select("t", *(F.col(c).alias(f"{c}{x}") for c in ("s", "n", "k", *carried)))
+    near = side("a").join(side("b"), "t").where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("sa") < F.col("sb"))))
+    return bound(near.where(F.col("na") >= F.col("nb") * threshold - eps))
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """`jaccard_links` with every row in place of its representative, and equal sets as pairs: for inputs without copies."""
     members = set_members(sets)
@@ -109,41 +114,37 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
-def _ratio(a, b):
-    return [difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b, strict=True)]
-
-
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff and Obershelp's ratio of the raw texts in lower case; depends on the order of a and b."""
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(_ratio(x, y))
-
-    return ratio(a, b)
-
-
 def similar_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, similarity`` (a first by pos) where the mean of word, trigram and sequence similarity reaches the threshold.
 
     ``texts``: id, pos, text. As each part is 1 at most, words must reach 3 t - 2 and words
-    and trigrams together 3 t - 1; the sequence ratio, which needs Python, is at most
-    twice the shorter length over both, and is computed only for what is left.
+    and trigrams together 3 t - 1. Pairs are proposed by the words' prefixes under a joint
+    bound: what is left of both word lists bounds the words, counts of trigrams bound the
+    trigrams, lengths bound the sequence. The sequence ratio, which needs Python, is computed
+    for what words and trigrams leave, after a bound by counts of characters.
     """
-    least = 3 * threshold - 2
-    sets = texts.select("id", F.array_distinct(T.words(F.col("text"))).alias("tokens"))
-    by_words = jaccard_pairs(sets, least)
-    side = lambda n: texts.select(F.col("id").alias(n), F.col("pos").alias(f"pos_{n}"), F.col("text").alias(f"text_{n}"))
-    pairs = by_words.join(side("a"), "a").join(side("b"), "b")
-    swap = F.col("pos_a") > F.col("pos_b")
-    pick = lambda c, d, name: F.when(swap, F.col(d)).otherwise(F.col(c)).alias(name)
-    pairs = pairs.select(pick("a", "b", "a"), pick("b", "a", "b"), "jaccard", pick("text_a", "text_b", "x"), pick("text_b", "text_a", "y"))
-    bound = 2.0 * F.least(F.length("x"), F.length("y")) / F.greatest(F.length("x") + F.length("y"), F.lit(1))
-    bound = F.when((F.length("x") + F.length("y")) == 0, 1.0).otherwise(bound)
-    pairs = pairs.withColumn("bound", bound).where(F.col("jaccard") + 1 + F.col("bound") >= 3 * threshold - 1e-9)
-    pairs = pairs.withColumn("trigram", T.jaccard(T.grams(T.normalize_text(F.col("x"))), T.grams(T.normalize_text(F.col("y")))))
-    pairs = pairs.where(F.col("jaccard") + F.col("trigram") + F.col("bound") >= 3 * threshold - 1e-9)
-    scored = pairs.withColumn("similarity", (F.col("jaccard") + F.col("trigram") + sequence_ratio(F.col("x"), F.col("y"))) / 3.0)
-    return scored.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    least, whole = 3 * threshold - 2, 3 * threshold - 1e-9
+    told = texts.select("id", "pos", F.array_distinct(T.words(F.col("text"))).alias("tokens"), T.gram_codes(T.normalize_text(F.col("text"))).alias("grams"), F.length("text").alias("size"))
+    told = cut(_keyed(told, "grams", "size", "pos"))
+    classes = told.groupBy("s", "n").agg(F.min(F.struct("id", "tokens")).alias("r"), F.min("size").alias("size_lo"), F.max("size").alias("size_hi"), F.min(F.size("grams")).alias("grams_lo"), F.max(F.size("grams")).alias("grams_hi"), F.count("*").alias("rows"))
+    classes = classes.select("s", "n", "r.tokens", "size_lo", "size_hi", "grams_lo", "grams_hi", "rows")
+    share = lambda c: F.when(F.col(f"{c}_hia") < F.col(f"{c}_lob"), F.col(f"{c}_hia") / F.col(f"{c}_lob")).when(F.col(f"{c}_hib") < F.col(f"{c}_loa"), F.col(f"{c}_hib") / F.col(f"{c}_loa")).otherwise(1.0)
+    most = F.least(F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) + 1, "na", "nb")
+    joint = lambda near: near.where(most / (F.col("na") + F.col("nb") - most) + share("grams") + 2 * share("size") / (1 + share("size")) >= whole)
+    near = _proposed(classes, least, ("size_lo", "size_hi", "grams_lo", "grams_hi"), joint).select("sa", "sb").distinct()
+    alike = classes.where("rows > 1 or n = 0").select(F.col("s").alias("sa"), F.col("s").alias("sb"))
+    side = lambda x: told.select(F.col("s").alias(f"s{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "pos", "tokens", "grams", "size")))
+    pairs = near.unionByName(alike).join(side("a"), "sa").join(side("b"), "sb").where(F.col("sa").eqNullSafe(F.col("sb")) & (F.col("id_a") < F.col("id_b")) | (F.col("sa") != F.col("sb")))
+    both = F.col("size_a") + F.col("size_b")
+    bound = F.when(both == 0, 1.0).otherwise(2.0 * F.least("size_a", "size_b") / F.greatest(both, F.lit(1)))
+    swap = F.struct("pos_a", "id_a") > F.struct("pos_b", "id_b")
+    pick = lambda x, y: F.when(swap, F.col(f"id_{y}")).otherwise(F.col(f"id_{x}")).alias(x)
+    pairs = pairs.select(pick("a", "b"), pick("b", "a"), T.jaccard(F.col("tokens_a"), F.col("tokens_b")).alias("jaccard"), T.jaccard(F.col("grams_a"), F.col("grams_b")).alias("trigram"), bound.alias("bound"))
+    pairs = pairs.where((F.col("jaccard") >= least - 1e-9) & (F.col("jaccard") + F.col("trigram") + F.col("bound") >= whole))
+    text = lambda x, name: texts.select(F.col("id").alias(x), F.col("text").alias(name))
+    given = cut(pairs).join(text("a", "x"), "a").join(text("b", "y"), "b")
+    ratio = sequence_ratio(F.col("x"), F.col("y"), 3 * threshold - F.col("jaccard") - F.col("trigram"))
+    return given.select("a", "b", ((F.col("jaccard") + F.col("trigram") + ratio) / 3.0).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def novelty(new: Column, fresh_ocr: Column, ocr_words: Column, longer: Column, new_types: Column, other_ideas: Column) -> tuple[Column, Column]:

@@ -113,11 +113,6 @@ def near_dup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.unionByName(dedupe.set_members(sets).select(F.lit("member").alias("kind"), F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
-@query()
-def dedupe_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.duplicates(plain(spark, sf_dir))
-
-
 _NOVEL_SCORE = (
     "round(least(0.0::DOUBLE + "
     + " + ".join(f"len(list_filter(n, lambda x: x IN ({', '.join(map(S.q, words))}))) * {per}::DOUBLE" for words, per in ((R.NOVEL_WARNING, 0.15), (R.NOVEL_EXAMPLE, 0.1), (R.NOVEL_COMPARISON, 0.1), (R.NOVEL_CODE, 0.1)))
@@ -127,6 +122,55 @@ _NOVEL_SCORE = (
 )
 
 
+# The sequence ratio in SQL: runs of equal rare characters on diagonals, the longest clipped run of each part of both
+# texts, grown over equal characters, and the parts left and right of it again.
+_SAME = lambda x, y, n: f"coalesce(list_position(list_transform(range(1, {n} + 1), lambda t: xs[{x}] <> ys[{y}]), true) - 1, {n})"
+_RATIO_CTES = (
+    f"cn AS (SELECT moment_id, pos, quality, transcript_text AS txt, list_distinct({S.words('transcript_text')}) AS w, {S.normal('transcript_text')} AS nm, lower(transcript_text) AS low FROM (SELECT *, min(ord) OVER (PARTITION BY hash) AS pos FROM dc) WHERE moment_id = canonical_moment_id)",
+    "cc AS (SELECT *, string_split(nm, '') AS ch FROM cn)",
+    "cg AS (SELECT * EXCLUDE (ch), CASE WHEN length(nm) = 0 THEN []::VARCHAR[] WHEN length(nm) < 3 THEN [nm] ELSE list_distinct(list_transform(range(1, length(nm) - 1), lambda i: ch[i] || ch[i + 1] || ch[i + 2])) END AS g FROM cc)",
+    "p0 AS (SELECT x.moment_id AS a, y.moment_id AS b, len(list_intersect(x.w, y.w)) AS i, len(x.w) + len(y.w) AS n FROM cg x JOIN cg y ON x.pos < y.pos)",
+    "p1 AS (SELECT a, b, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE i::DOUBLE / (n - i) END AS j FROM p0 WHERE n = 0 OR i >= 0.25 * (n - i) - 1e-9)",
+    "p2 AS (SELECT p1.*, x.low AS la, y.low AS lb, len(list_intersect(x.g, y.g)) AS i, len(x.g) + len(y.g) AS n FROM p1 JOIN cg x ON x.moment_id = a JOIN cg y ON y.moment_id = b)",
+    "p3 AS (SELECT a, b, j, la, lb, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE i::DOUBLE / (n - i) END AS g FROM p2)",
+    "p4 AS (SELECT *, string_split(la, '') AS xs, string_split(lb, '') AS ys FROM p3 WHERE j + g + CASE WHEN length(la) + length(lb) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * least(length(la), length(lb)) / (length(la) + length(lb)) END >= 2.25 - 1e-9)",
+    "yc AS (SELECT a, b, unnest(ys) AS c, generate_subscripts(ys, 1) - 1 AS j, len(ys) AS n FROM p4)",
+    "yr AS (SELECT a, b, j, c FROM (SELECT *, count(*) OVER (PARTITION BY a, b, c) AS k FROM yc) WHERE n < 200 OR k <= n // 100 + 1)",
+    "xc AS (SELECT a, b, unnest(xs) AS c, generate_subscripts(xs, 1) - 1 AS i FROM p4)",
+    "mp AS (SELECT xc.a, xc.b, xc.i, xc.i - yr.j AS d FROM xc JOIN yr ON xc.a = yr.a AND xc.b = yr.b AND xc.c = yr.c)",
+    "runs AS (SELECT a, b, d, min(i) AS i0, max(i) + 1 AS i1 FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS k FROM mp) GROUP BY a, b, d, k)",
+    f"""seg(a, b, alo, ahi, blo, bhi, size) AS (
+  SELECT a, b, 0::BIGINT, length(la)::BIGINT, 0::BIGINT, length(lb)::BIGINT, 0::BIGINT FROM p4
+  UNION ALL
+  SELECT a, b, e.alo, e.ahi, e.blo, e.bhi, e.size FROM (
+    SELECT a, b, unnest([{{'alo': alo, 'ahi': i - l, 'blo': blo, 'bhi': j - l, 'size': 0::BIGINT}}, {{'alo': i + k + r, 'ahi': ahi, 'blo': j + k + r, 'bhi': bhi, 'size': 0::BIGINT}}, {{'alo': 0::BIGINT, 'ahi': 0::BIGINT, 'blo': 0::BIGINT, 'bhi': 0::BIGINT, 'size': l + k + r}}]) AS e
+    FROM (
+      SELECT s.*, ({_SAME('i + 1 - t', 'j + 1 - t', 'least(i - alo, j - blo)')})::BIGINT AS l, ({_SAME('i + k + t', 'j + k + t', 'least(ahi - i - k, bhi - j - k)')})::BIGINT AS r
+      FROM (
+        SELECT a, b, alo, ahi, blo, bhi, coalesce(m.i, alo) AS i, coalesce(m.j, blo) AS j, coalesce(m.k, 0) AS k FROM (
+          SELECT seg.a, seg.b, alo, ahi, blo, bhi, first({{'i': greatest(i0, alo, blo + d), 'j': greatest(i0, alo, blo + d) - d, 'k': least(i1, ahi, bhi + d) - greatest(i0, alo, blo + d)}}
+                 ORDER BY least(i1, ahi, bhi + d) - greatest(i0, alo, blo + d) DESC, greatest(i0, alo, blo + d), greatest(i0, alo, blo + d) - d) FILTER (WHERE i0 IS NOT NULL) AS m
+          FROM seg LEFT JOIN runs ON runs.a = seg.a AND runs.b = seg.b AND least(i1, ahi, bhi + d) > greatest(i0, alo, blo + d)
+          WHERE alo < ahi AND blo < bhi
+          GROUP BY seg.a, seg.b, alo, ahi, blo, bhi)) s
+      JOIN (SELECT a AS pa, b AS pb, xs, ys FROM p4) ON pa = s.a AND pb = s.b)
+    WHERE l + k + r > 0))""",
+    "rt AS (SELECT a, b, sum(size) AS m FROM seg GROUP BY a, b)",
+    "sim AS (SELECT p4.a, p4.b, (j + g + CASE WHEN length(la) + length(lb) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * m / (length(la) + length(lb)) END) / 3.0::DOUBLE AS similarity FROM p4 JOIN rt USING (a, b))",
+    "z AS (SELECT sim.*, x.pos AS pa, y.pos AS pb, x.quality AS qa, y.quality AS qb, '' AS oa, '' AS ob, []::VARCHAR[] AS woa, []::VARCHAR[] AS wob, length(x.nm) AS la, length(y.nm) AS lb, list_filter(y.w, lambda v: NOT list_contains(x.w, v)) AS n FROM sim JOIN cg x ON x.moment_id = sim.a JOIN cg y ON y.moment_id = sim.b WHERE similarity >= 0.75)",
+    f"zn AS (SELECT *, {_NOVEL_SCORE} AS novelty_score FROM z)",
+    "lost AS (SELECT CASE WHEN qa >= qb THEN b ELSE a END AS moment_id, CASE WHEN qa >= qb THEN a ELSE b END AS canonical_moment_id, round(similarity, 4) AS similarity_score, novelty_score, CASE WHEN novelty_score < 0.2 THEN 'near_text' WHEN novelty_score < 0.5 THEN 'same_idea' ELSE 'variant' END AS duplicate_type, pa, pb FROM zn)",
+    "nd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY moment_id ORDER BY pa, pb) AS turn FROM lost) WHERE turn = 1)",
+    "alldups AS (SELECT dup_id, moment_id, canonical_moment_id, similarity_score, 0.0::DOUBLE AS novelty_score, 'content_hash' AS method, duplicate_type FROM dups UNION ALL SELECT 'dup:' || substr(sha256(moment_id || '|' || canonical_moment_id), 1, 12), moment_id, canonical_moment_id, similarity_score, novelty_score, 'near_text', duplicate_type FROM nd)",
+)
+
+
+@query("WITH RECURSIVE " + ",\n".join((*DUPS_CTES, *_RATIO_CTES)) + " SELECT * FROM alldups")
+def dedupe_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and near duplicates of all moments by words, trigrams and the order of characters."""
+    return dedupe.duplicates(plain(spark, sf_dir))
+
+
 @query(
     S.with_moments(
         f"SELECT a, b, {_NOVEL_SCORE} AS novelty_score, CASE WHEN {_NOVEL_SCORE} < 0.2 THEN 'near_text' WHEN {_NOVEL_SCORE} < 0.5 THEN 'same_idea' ELSE 'variant' END AS duplicate_type FROM z",
