@@ -13,6 +13,8 @@ from momentlake.operators.sequence import sequence_ratio
 from momentlake.plans.lineage import cut
 
 THRESHOLD = 0.75
+#: Pairs whose sequence ratio one task computes.
+PAIRS_A_TASK = 1000
 
 
 def quality(transcript: Column, ocr: Column, has_ideas: Column) -> Column:
@@ -43,7 +45,10 @@ def canonicals(hashed_moments: DataFrame) -> DataFrame:
 
 def exact_duplicates(moments: DataFrame) -> DataFrame:
     """dup_id, moment_id, canonical_moment_id, similarity_score, novelty_score, method, duplicate_type."""
-    h = hashed(moments)
+    return _exact(hashed(moments))
+
+
+def _exact(h: DataFrame) -> DataFrame:
     joined = h.join(canonicals(h).where("size > 1"), "hash").where("moment_id <> canonical_moment_id")
     return _records(joined.select("moment_id", "canonical_moment_id", F.lit(1.0).alias("similarity_score"), F.lit(0.0).alias("novelty_score"), F.lit("content_hash").alias("method"), F.lit("exact").alias("duplicate_type")))
 
@@ -133,16 +138,23 @@ def similar_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joint = lambda near: near.where(most / (F.col("na") + F.col("nb") - most) + share("grams") + 2 * share("size") / (1 + share("size")) >= whole)
     near = _proposed(classes, least, ("size_lo", "size_hi", "grams_lo", "grams_hi"), joint).select("sa", "sb").distinct()
     alike = classes.where("rows > 1 or n = 0").select(F.col("s").alias("sa"), F.col("s").alias("sb"))
-    side = lambda x: told.select(F.col("s").alias(f"s{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "pos", "tokens", "grams", "size")))
-    pairs = near.unionByName(alike).join(side("a"), "sa").join(side("b"), "sb").where(F.col("sa").eqNullSafe(F.col("sb")) & (F.col("id_a") < F.col("id_b")) | (F.col("sa") != F.col("sb")))
+    words = classes.select("s", "tokens")
+    near = near.join(words.select(F.col("s").alias("sa"), F.col("tokens").alias("ta")), "sa").join(words.select(F.col("s").alias("sb"), F.col("tokens").alias("tb")), "sb")
+    near = near.select("sa", "sb", T.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= least - 1e-9)
+    near = cut(near.unionByName(alike.withColumn("jaccard", F.lit(1.0))))  # few are left, and only theirs are the trigrams that move
+    side = lambda x: told.select(F.col("s").alias(f"s{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "pos", "grams", "size")))
+    pairs = near.join(side("a"), "sa").join(side("b"), "sb").where((F.col("sa") != F.col("sb")) | (F.col("id_a") < F.col("id_b")))
     both = F.col("size_a") + F.col("size_b")
     bound = F.when(both == 0, 1.0).otherwise(2.0 * F.least("size_a", "size_b") / F.greatest(both, F.lit(1)))
     swap = F.struct("pos_a", "id_a") > F.struct("pos_b", "id_b")
     pick = lambda x, y: F.when(swap, F.col(f"id_{y}")).otherwise(F.col(f"id_{x}")).alias(x)
-    pairs = pairs.select(pick("a", "b"), pick("b", "a"), T.jaccard(F.col("tokens_a"), F.col("tokens_b")).alias("jaccard"), T.jaccard(F.col("grams_a"), F.col("grams_b")).alias("trigram"), bound.alias("bound"))
-    pairs = pairs.where((F.col("jaccard") >= least - 1e-9) & (F.col("jaccard") + F.col("trigram") + F.col("bound") >= whole))
+    pairs = pairs.where(F.col("jaccard") + 1 + bound >= whole).select(pick("a", "b"), pick("b", "a"), "jaccard", T.jaccard(F.col("grams_a"), F.col("grams_b")).alias("trigram"), bound.alias("bound"))
+    pairs = pairs.where(F.col("jaccard") + F.col("trigram") + F.col("bound") >= whole)
     text = lambda x, name: texts.select(F.col("id").alias(x), F.col("text").alias(name))
-    given = cut(pairs).join(text("a", "x"), "a").join(text("b", "y"), "b")
+    pairs = cut(pairs)
+    # a pair can take a second, so few pairs are dealt to all cores
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS_A_TASK)
+    given = pairs.join(text("a", "x"), "a").join(text("b", "y"), "b").repartition(tasks, "a", "b")
     ratio = sequence_ratio(F.col("x"), F.col("y"), 3 * threshold - F.col("jaccard") - F.col("trigram"))
     return given.select("a", "b", ((F.col("jaccard") + F.col("trigram") + ratio) / 3.0).alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -188,10 +200,11 @@ def duplicates(moments: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     transitive closure is taken.
     """
     m = moments if "ideas_text" in moments.columns else moments.withColumns({"ideas_text": F.lit(""), "idea_types": F.array().cast("array<string>")})
-    h = hashed(m)
+    h = cut(hashed(m))
     first = canonicals(h)
-    exact = exact_duplicates(m)
+    exact = _exact(h)
     own = first.select(F.col("canonical_moment_id").alias("moment_id"), "pos").join(m, "moment_id").join(h.select("moment_id", "quality"), "moment_id")
+    own = cut(own)
     near = similar_texts(own.select(F.col("moment_id").alias("id"), "pos", F.col("transcript_text").alias("text")), threshold)
     side = lambda n: own.select(F.col("moment_id").alias(n), F.col("pos").alias(f"pos_{n}"), F.col("quality").alias(f"quality_{n}"), F.col("transcript_text").alias(f"text_{n}"), F.coalesce("ocr_text", F.lit("")).alias(f"ocr_{n}"), F.col("idea_types").alias(f"types_{n}"), F.col("ideas_text").alias(f"ideas_{n}"))
     pairs = novelty_of_pairs(near.join(side("a"), "a").join(side("b"), "b"))

@@ -126,19 +126,20 @@ _NOVEL_SCORE = (
 # texts, grown over equal characters, and the parts left and right of it again.
 _SAME = lambda x, y, n: f"coalesce(list_position(list_transform(range(1, {n} + 1), lambda t: xs[{x}] <> ys[{y}]), true) - 1, {n})"
 _RATIO_CTES = (
-    f"cn AS (SELECT moment_id, pos, quality, transcript_text AS txt, list_distinct({S.words('transcript_text')}) AS w, {S.normal('transcript_text')} AS nm, lower(transcript_text) AS low FROM (SELECT *, min(ord) OVER (PARTITION BY hash) AS pos FROM dc) WHERE moment_id = canonical_moment_id)",
+    f"cn AS MATERIALIZED (SELECT moment_id, pos, quality, transcript_text AS txt, list_distinct({S.words('transcript_text')}) AS w, {S.normal('transcript_text')} AS nm, lower(transcript_text) AS low FROM (SELECT *, min(ord) OVER (PARTITION BY hash) AS pos FROM dc) WHERE moment_id = canonical_moment_id)",
     "cc AS (SELECT *, string_split(nm, '') AS ch FROM cn)",
-    "cg AS (SELECT * EXCLUDE (ch), CASE WHEN length(nm) = 0 THEN []::VARCHAR[] WHEN length(nm) < 3 THEN [nm] ELSE list_distinct(list_transform(range(1, length(nm) - 1), lambda i: ch[i] || ch[i + 1] || ch[i + 2])) END AS g FROM cc)",
-    "p0 AS (SELECT x.moment_id AS a, y.moment_id AS b, len(list_intersect(x.w, y.w)) AS i, len(x.w) + len(y.w) AS n FROM cg x JOIN cg y ON x.pos < y.pos)",
-    "p1 AS (SELECT a, b, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE i::DOUBLE / (n - i) END AS j FROM p0 WHERE n = 0 OR i >= 0.25 * (n - i) - 1e-9)",
+    "cg AS MATERIALIZED (SELECT * EXCLUDE (ch), CASE WHEN length(nm) = 0 THEN []::VARCHAR[] WHEN length(nm) < 3 THEN [nm] ELSE list_distinct(list_transform(range(1, length(nm) - 1), lambda i: ch[i] || ch[i + 1] || ch[i + 2])) END AS g FROM cc)",
+    "tw AS MATERIALIZED (SELECT moment_id, pos, len(w) AS n, unnest(w) AS t FROM cn)",
+    "p0 AS (SELECT x.moment_id AS a, y.moment_id AS b, count(*) AS i, any_value(x.n + y.n) AS n FROM tw x JOIN tw y ON x.t = y.t AND x.pos < y.pos GROUP BY x.moment_id, y.moment_id UNION ALL SELECT x.moment_id, y.moment_id, 0, 0 FROM cn x JOIN cn y ON len(x.w) = 0 AND len(y.w) = 0 AND x.pos < y.pos)",
+    "p1 AS MATERIALIZED (SELECT a, b, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE i::DOUBLE / (n - i) END AS j FROM p0 WHERE n = 0 OR i >= 0.25 * (n - i) - 1e-9)",
     "p2 AS (SELECT p1.*, x.low AS la, y.low AS lb, len(list_intersect(x.g, y.g)) AS i, len(x.g) + len(y.g) AS n FROM p1 JOIN cg x ON x.moment_id = a JOIN cg y ON y.moment_id = b)",
     "p3 AS (SELECT a, b, j, la, lb, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE i::DOUBLE / (n - i) END AS g FROM p2)",
-    "p4 AS (SELECT *, string_split(la, '') AS xs, string_split(lb, '') AS ys FROM p3 WHERE j + g + CASE WHEN length(la) + length(lb) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * least(length(la), length(lb)) / (length(la) + length(lb)) END >= 2.25 - 1e-9)",
+    "p4 AS MATERIALIZED (SELECT *, string_split(la, '') AS xs, string_split(lb, '') AS ys FROM p3 WHERE j + g + CASE WHEN length(la) + length(lb) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * least(length(la), length(lb)) / (length(la) + length(lb)) END >= 2.25 - 1e-9)",
     "yc AS (SELECT a, b, unnest(ys) AS c, generate_subscripts(ys, 1) - 1 AS j, len(ys) AS n FROM p4)",
     "yr AS (SELECT a, b, j, c FROM (SELECT *, count(*) OVER (PARTITION BY a, b, c) AS k FROM yc) WHERE n < 200 OR k <= n // 100 + 1)",
     "xc AS (SELECT a, b, unnest(xs) AS c, generate_subscripts(xs, 1) - 1 AS i FROM p4)",
     "mp AS (SELECT xc.a, xc.b, xc.i, xc.i - yr.j AS d FROM xc JOIN yr ON xc.a = yr.a AND xc.b = yr.b AND xc.c = yr.c)",
-    "runs AS (SELECT a, b, d, min(i) AS i0, max(i) + 1 AS i1 FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS k FROM mp) GROUP BY a, b, d, k)",
+    "runs AS MATERIALIZED (SELECT a, b, d, min(i) AS i0, max(i) + 1 AS i1 FROM (SELECT *, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS k FROM mp) GROUP BY a, b, d, k)",
     f"""seg(a, b, alo, ahi, blo, bhi, size) AS (
   SELECT a, b, 0::BIGINT, length(la)::BIGINT, 0::BIGINT, length(lb)::BIGINT, 0::BIGINT FROM p4
   UNION ALL
