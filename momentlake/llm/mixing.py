@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from momentlake.llm.ranks import BLOCK, block_of, expanded
+from momentlake.llm.ranks import BLOCK, blocked, expanded
 from momentlake.plans.lineage import cut
 
 WEIGHTS = (3, 1, 2)
@@ -62,8 +62,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def _narrow(docs: DataFrame, doc_id: str, text: str, source: str, tell: Column) -> DataFrame:
     """``id, key, source, size, block, hash, rows``: equal rows are one with a count; no texts."""
     part = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), tell.alias("hash"))
-    part = part.withColumns({"key": _key(F.col("source")), "block": block_of(F.col("id"))})
-    return part.groupBy("key", "source", "size", "block", "id", "hash").agg(F.count("*").alias("rows"))
+    part = part.withColumn("key", _key(F.col("source")))
+    return blocked(part.groupBy("key", "source", "size", "id", "hash").agg(F.count("*").alias("rows")), "id")
 
 
 def _starts(narrow: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def _copies(after: Column, most: int) -> Column:
 
 def taken(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row; taken counts repeats."""
-    narrow = cut(_narrow(docs, doc_id, text, source, F.lit(0)))
+    narrow = _narrow(docs, doc_id, text, source, F.lit(0))
     ranked = _starts(narrow).join(_goals(narrow, weights, share, most, seed), "key")
     each = expanded(ranked, F.col("total"), "nth").withColumnRenamed("id", "doc_id")
     return each.select("doc_id", "size", "source_size", "target", (_copies(F.col("start") + F.col("nth"), most) * F.col("size")).alias("taken"))
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     own = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
     at = lambda c: names[docs.columns.index(c)]
     tell = F.xxhash64(*(F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in own.schema))
-    narrow = cut(_narrow(own, at(doc_id), at(text), at(source), tell))
+    narrow = _narrow(own, at(doc_id), at(text), at(source), tell)
     ranked = _apart(narrow, _starts(narrow)).join(_goals(narrow, weights, share, most, seed), "key")
     back = [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
     pick = ranked.withColumn("copies", _copies(F.col("start"), most)).where("rows > 1 or copies > 0").select("id", "hash", "rows", "copies", "start", "rate", "offset")

@@ -1,9 +1,10 @@
 """Distributed numbering: ranks in an order without sorting a group in one task.
 
-Rows are counted in cells; a cell is a run of the order (here ids of one block of
-``BLOCK``). Only cell counts are summed along a group; inside a cell a window numbers at
-most the rows of one id block. Equal rows are counted first and expanded afterwards, so
-repeats of one row never meet in a task.
+Rows are counted in cells; a cell is a run of the order: ids of one block. Blocks come from
+a range partitioning, so they hold about ``BLOCK_ROWS`` rows each whether ids are dense or
+hashes. Only cell counts are summed along a group; inside a cell a window numbers at most the
+rows of one block. Equal rows are counted first and expanded afterwards, so repeats of one
+row never meet in a task.
 """
 
 from __future__ import annotations
@@ -11,14 +12,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4096
-#: Sorts before every block of an id.
-NO_BLOCK = -(1 << 62)
-
+from momentlake.plans.lineage import cut
 
-def block_of(doc_id: Column) -> Column:
-    """The id's block of ``BLOCK`` neighbouring ids; null ids come first."""
-    return F.coalesce(F.floor(doc_id / F.lit(BLOCK)).cast("long"), F.lit(NO_BLOCK))
+#: Rows of a block, about; and copies of a row that one task makes.
+BLOCK_ROWS, BLOCK = 1 << 16, 4096
+#: Sorts before every block of an id.
+NO_BLOCK = -1
+
+
+def blocked(rows: DataFrame, key: str, *then: str, name: str = "block") -> DataFrame:
+    """``rows`` (without a column of that name) with their block: blocks are in the order of ``key``, nulls first.
+
+    Rows with one key share a block, unless ``then`` cuts further, in its order; nulls are all
+    in `NO_BLOCK` without it. The result is written, so a lost task can't draw other bounds.
+    """
+    counted = cut(rows)
+    blocks = max(1, -(-counted.count() // BLOCK_ROWS))
+    own = F.col(key)
+    if then:
+        return cut(counted.repartitionByRange(blocks, own.asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in then)).withColumn(name, F.spark_partition_id().cast("long")))
+    # rows without a key are dealt by a hash, which the block then doesn't tell
+    apart = counted.withColumn("__apart", F.when(own.isNull(), F.xxhash64(*rows.columns)))
+    dealt = apart.repartitionByRange(blocks, own.asc_nulls_first(), F.col("__apart").asc_nulls_first())
+    return cut(dealt.drop("__apart").withColumn(name, F.when(own.isNull(), F.lit(NO_BLOCK)).otherwise(F.spark_partition_id()).cast("long")))
 
 
 def expanded(rows: DataFrame, times: Column, name: str) -> DataFrame:

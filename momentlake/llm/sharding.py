@@ -14,8 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from momentlake.llm.ranks import block_of
-from momentlake.plans.lineage import cut
+from momentlake.llm.ranks import blocked
 
 SHARDS = 16
 
@@ -50,7 +49,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, weights: list[float] | None =
     more = _bid(F.col("doc_id"), len(weights), 1.0)
     sharded_rows = bid.withColumns({"shard": -F.col("__best.less"), "grown_shard": F.when(more > F.col("__best"), F.lit(len(weights))).otherwise(-F.col("__best.less"))}).drop("__best")
     alike = sharded_rows.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard").agg(F.count("*").alias("n"))
-    placed = cut(alike.withColumn("__block", block_of(F.col("doc_id"))))
+    placed = blocked(alike, "doc_id", "size", "text_crc32", name="__block")
     cells = placed.groupBy("shard", "__block").agg(F.sum("n").alias("cell"))
     start = cells.select("shard", "__block", (F.sum("cell").over(Window.partitionBy("shard").orderBy("__block")) - F.col("cell")).alias("start"))
     order = Window.partitionBy("shard", "__block").orderBy(*(F.col(c).asc_nulls_first() for c in ("doc_id", "size", "text_crc32")))

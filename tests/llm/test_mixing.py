@@ -51,6 +51,7 @@ def test_edge_cases_and_copies(docs, empty_docs):
 def test_shared_ids_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 4)
     monkeypatch.setattr(ranks, "BLOCK", 4)
+    monkeypatch.setattr(ranks, "BLOCK_ROWS", 20)
     rows = [(None, f"w{i} w", "a", {"k": i}) for i in range(60)] + [(7, f"x{i} w", "a", None) for i in range(40)] + [(9, "same row", "b", None)] * 25 + [(i, "w " * (i % 5), "b", None) for i in range(100, 180)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, hash map<string,int>")
     mixed, want = mixing.mix(docs), mixing.taken(docs).groupBy("size").agg(F.sum("taken").alias("taken")).collect()
@@ -59,3 +60,14 @@ def test_shared_ids_and_repeated_rows(spark, monkeypatch):
     assert mixed.columns == docs.columns and {r.size: r.taken for r in want if r.taken} == {k: v for k, v in got.items() if v}
     per = mixed.where("source = 'a'").groupBy("text").count().collect()
     assert {r["count"] for r in per} <= {1, 2} and sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(docs).collect()))
+
+
+def test_blocks_hold_sparse_ids_nulls_and_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BLOCK_ROWS", 1000)
+    ids = spark.range(20_000).select(F.xxhash64("id").alias("id"), F.col("id").alias("n"))
+    ids = ids.unionByName(spark.range(3000).select(F.lit(None).cast("long").alias("id"), F.col("id").alias("n"))).unionByName(spark.range(3000).select(F.lit(7).cast("long").alias("id"), F.col("id").alias("n")))
+    got = ranks.blocked(ids, "id").groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("nulls")).orderBy("block").collect()
+    assert sum(r.n for r in got) == 26_000 and [r.nulls for r in got] == [3000] + [0] * (len(got) - 1) and got[0].block == ranks.NO_BLOCK
+    assert 15 <= len(got) <= 40 and all(a.hi < b.lo for a, b in zip(got[1:], got[2:], strict=False))
+    finer = ranks.blocked(ids, "id", "n").groupBy("block").agg(F.min(F.struct(F.col("id").isNotNull(), "id", "n")).alias("lo"), F.max(F.struct(F.col("id").isNotNull(), "id", "n")).alias("hi"), F.count("*").alias("n")).orderBy("block").collect()
+    assert max(r.n for r in finer) < 3000 and all(tuple(a.hi)[0] <= tuple(b.lo)[0] for a, b in zip(finer, finer[1:], strict=False))
