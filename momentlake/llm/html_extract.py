@@ -14,8 +14,8 @@ Where a layout has a template, it decides: what varies is content. The markup br
 what it names as menu, header, footer, sidebar, notice, advert, form, script, style or
 comments is left out (blocks by any word of a class or id, inside a main part by whole names
 only), and the article or main part bounds the content as long as it holds half of what
-varies. Template slots inside an article are cut, too, unless they'd take more than half of
-it. Pages of hosts or layouts with fewer than ``LEAST_PAGES`` different pages have no
+varies. Template slots inside an article are cut by a second sign only (a name, or a place at
+its rim that is no heading), and not if they'd take more than half of it. Pages of hosts or layouts with fewer than ``LEAST_PAGES`` different pages have no
 template: there the markup's main parts are read, a main part with all its articles, else all
 parts named as content, else all. An article that is itself classed as a comment or teaser
 isn't meant, nor one in a part that is left out, unless the page has no other. Elements may
@@ -386,12 +386,17 @@ def _clean(pieces: list[str]) -> str:
 
 
 class Block(NamedTuple):
-    """A block's text, its slot, whether the markup names it as no content, and the rank of the main part that it is in."""
+    """A block's text, its slot, whether the markup names it as no content, and the rank of the main part that it is in.
+
+    ``hint``: a word of a class or id around it says that it may be no content; ``head``: it is a heading.
+    """
 
     slot: int
     text: str
     cut: bool
     rank: int
+    hint: bool = False
+    head: bool = False
 
 
 def read(text: str | None) -> tuple[str, list[Block]]:
@@ -401,21 +406,21 @@ def read(text: str | None) -> tuple[str, list[Block]]:
     out: list[Block] = []
     held: list[str] = []
 
-    def flush(slot: int, cut: bool, rank: int) -> None:
+    def flush(x: Node, slot: int, cut: bool, rank: int, hint: bool) -> None:
         if held:
             if t := _clean(held):
-                out.append(Block(slot, t, cut, rank))
+                out.append(Block(slot, t, cut, rank, hint, x.tag in HEADINGS))
             held.clear()
 
-    # node, next part, slot, left out, rank of the main part around, headings only
-    stack: list[list] = [[root, 0, root.slot, False, 0, False]]
+    # node, next part, slot, left out, rank of the main part around, headings only, hint, block around
+    stack: list[list] = [[root, 0, root.slot, False, 0, False, False, root]]
     while stack:
         top = stack[-1]
-        x, k, slot, cut, rank, heads = top
+        x, k, slot, cut, rank, heads, hint, around = top
         if k == len(x.parts):
             stack.pop()
             if x.tag in BLOCKS or x is root:
-                flush(slot, cut, rank)
+                flush(x, slot, cut, rank, hint)
             continue
         top[1] = k + 1
         p = x.parts[k]
@@ -427,7 +432,7 @@ def read(text: str | None) -> tuple[str, list[Block]]:
             if p.tag == "br":
                 held.append(" ")
             elif p.tag == "hr":
-                flush(slot, cut, rank)
+                flush(around, slot, cut, rank, hint)
             continue
         if p.tag in RAW:
             continue
@@ -436,9 +441,9 @@ def read(text: str | None) -> tuple[str, list[Block]]:
         if gone and not block:
             continue
         if block:
-            flush(slot, cut, rank)
+            flush(around, slot, cut, rank, hint)
         only = (heads and p.tag not in HEADINGS) or (p.tag == "header" and rank > 0 and not p.holds)
-        stack.append([p, 0, p.slot if p.slot >= 0 else slot, cut or gone, rank if cut or gone else max(rank, p.main), only])
+        stack.append([p, 0, p.slot if p.slot >= 0 else slot, cut or gone, rank if cut or gone else max(rank, p.main), only, block and (hint or (p.chrome and not p.holds)) or hint, p if block else around])
     return signature, out
 
 
@@ -448,9 +453,11 @@ def chosen(blocks: list[Block], template: frozenset[int] | None = None) -> list[
     The markup's own main parts (articles and mains, else parts marked as an article's body,
     else parts named as content, else all) are read where there is no template. With a
     template, what varies over the pages of the layout is content: if the main parts hold
-    less than half of the varying text, all of it is read; template slots are cut in main
-    parts, too, but for a page of which they'd take more than half. Where no part is marked,
-    all but the template is read, unless that's nothing.
+    less than half of the varying text, all of it is read. In main parts a template slot is
+    cut by a second sign only: a name around it that says so, or its place before or behind
+    all that varies there, unless it is a heading; so headings and lines that articles of a
+    host share stay. Nor is it cut where that would take more than half of a page. Where no
+    part is marked, all but the template is read, unless that's nothing.
     """
     kept = [b for b in blocks if not b.cut]
     best = max((min(b.rank, 3) for b in kept), default=0)
@@ -460,6 +467,9 @@ def chosen(blocks: list[Block], template: frozenset[int] | None = None) -> list[
     size = lambda found: sum(len(b.text) for b in found)
     varying = [b for b in kept if b.slot not in template]
     own = [b for b in mains if b.slot not in template]
+    if best and own:
+        at = [k for k, b in enumerate(mains) if b.slot not in template]
+        own = [b for k, b in enumerate(mains) if b.slot not in template or not (b.hint or (not b.head and not at[0] <= k <= at[-1]))]
     if 2 * size(own) < size(varying) and 2 * size(mains) < size(varying):
         return [b.text for b in varying]
     enough = 2 * size(own) >= size(mains) if best else bool(own)

@@ -205,3 +205,16 @@ def test_templates_beyond_the_broadcast(spark, monkeypatch):
     want = sorted(map(tuple, H.extracted_pages(pages).collect()), key=str)
     monkeypatch.setattr(H, "MOST_BROADCAST", -1)
     assert sorted(map(tuple, H.extracted_pages(pages).collect()), key=str) == want and all(r[2].startswith("story") for r in want)
+
+
+def test_headings_and_lines_that_articles_share_stay(spark):
+    """Thirty pages of a host: what recurs inside their articles stays unless a name or its place at the rim speaks against it."""
+    say = lambda n, k: f"Text {n} of part {k} tells something of its own, and more of {n * 7 + k}."
+    page = lambda n: (
+        f"<body><article><h1>Title {n}</h1><h2>Background</h2><div><p>{say(n, 1)}</p></div><div class='ad-unit'><div>Buy our things now</div></div><h2>Method</h2><p>{say(n, 2)}</p>"
+        f"<section>Shared between all articles.</section><h3>Results</h3><p>{say(n, 3)}</p><div>All rights reserved, follow us.</div></article></body>"
+    )
+    pages = spark.createDataFrame([(n, f"http://h.example/{n}", page(n)) for n in range(30)], "page_id long, url string, html string")
+    for r in H.extracted_pages(pages).collect():
+        n = r.page_id
+        assert r.text.split("\n\n") == [f"Title {n}", "Background", say(n, 1), "Method", say(n, 2), "Shared between all articles.", "Results", say(n, 3)]
