@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from momentlake.functions import text as T
-from momentlake.operators import chunking, rules, vectors
+from momentlake.operators import chunking, rules, vector_store, vectors
 from momentlake.plans.lineage import cut
 from momentlake.sources.transcripts import BLANK
 
@@ -63,16 +63,23 @@ def context_ideas(context: DataFrame, ideas: DataFrame) -> DataFrame:
     return first.select("video_id", F.row_number().over(Window.partitionBy("video_id").orderBy("at")).alias("place"), "idea")
 
 
-def semantic(moments: DataFrame, query: str, k: int = 10, dimension: int = 64) -> DataFrame:
+def _whole_text():
+    return F.regexp_replace(F.concat(F.coalesce("transcript_text", F.lit("")), F.lit(" "), F.coalesce("ocr_text", F.lit(""))), BLANK, "")
+
+
+def hashed_vectors(moments: DataFrame, dimension: int = 64) -> DataFrame:
+    """vec_id (the moment's ord), embedding: hash embeddings of all moments that have any text."""
+    return moments.where(_whole_text() != "").select(F.col("ord").alias("vec_id"), vectors.hash_embedding(_whole_text(), dimension).alias("embedding"))
+
+
+def semantic(moments: DataFrame, query: str, k: int = 10, dimension: int = 64, store: vector_store.VectorStore | None = None, among: DataFrame | None = None) -> DataFrame:
     """moment_id, video_id, score, rank, reasons: the moments nearest to a query by hash embeddings.
 
-    Moments without any text have no vector. Filters by video go before the call.
-    ``dimension`` is that of the stored run, for the query as well.
+    Moments without any text have no vector. With a ``store`` of `hashed_vectors` nothing is
+    embedded but the query, and ``among`` (vec_id) restricts it; without one, filters by
+    video go before the call. ``dimension`` is that of the stored run, for the query as well.
     """
-    both = F.concat(F.coalesce("transcript_text", F.lit("")), F.lit(" "), F.coalesce("ocr_text", F.lit("")))
-    whole = F.regexp_replace(both, BLANK, "")
-    stored = moments.where(whole != "").select(F.col("ord").alias("vec_id"), vectors.hash_embedding(whole, dimension).alias("embedding"))
     asked = moments.sparkSession.createDataFrame([(0, query)], "query_id long, text string").select("query_id", vectors.hash_embedding(F.col("text"), dimension).alias("embedding"))
-    near = vectors.cosine_top_k(asked, stored, k)
+    near = vectors.cosine_top_k(asked, hashed_vectors(moments, dimension), k) if store is None else vector_store.search(store, asked, k, among)
     named = moments.select(F.col("ord").alias("vec_id"), "moment_id", "video_id").join(F.broadcast(near), "vec_id")  # k rows
     return named.select("moment_id", "video_id", "score", "rank", F.lit("semantic").alias("reasons"))

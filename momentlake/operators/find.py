@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from momentlake.operators import assembly, search
+from momentlake.operators import assembly, search, vector_store
 from momentlake.plans.lineage import cut
 
 MODES = ("fts", "semantic", "fts_semantic", "hybrid")
@@ -17,7 +17,7 @@ NO_DUPLICATES = "dup_id string, moment_id string, canonical_moment_id string, du
 
 @dataclass
 class Corpus:
-    """What a search reads. ``ideas`` gives the ideas of given moments; without ``edges`` nothing is reranked."""
+    """What a search reads. ``ideas`` gives the ideas of given moments; without ``edges`` nothing is reranked; with ``vectors`` nothing is embedded but queries."""
 
     moments: DataFrame
     index: search.Index
@@ -26,6 +26,7 @@ class Corpus:
     evidence: DataFrame | None = None
     edges: DataFrame | None = None
     dimension: int = 64
+    vectors: vector_store.VectorStore | None = None
 
 
 def _text_hits(c: Corpus, query: str, limit: int, video_id: str | None) -> DataFrame:
@@ -38,7 +39,8 @@ def _text_hits(c: Corpus, query: str, limit: int, video_id: str | None) -> DataF
 def _near_hits(c: Corpus, query: str, limit: int, video_id: str | None) -> DataFrame:
     """Hits by vectors alone, in the columns of text hits: the score is the cosine."""
     among = c.moments if video_id is None else c.moments.where(F.col("video_id") == video_id)
-    near = cut(assembly.semantic(among, query, limit, c.dimension).select("moment_id", F.col("score").alias("bm25")))
+    only = None if video_id is None or c.vectors is None else among.select(F.col("ord").alias("vec_id"))
+    near = cut(assembly.semantic(among, query, limit, c.dimension, c.vectors, only).select("moment_id", F.col("score").alias("bm25")))
     made = search.results(c.moments, near, query, limit, c.ideas).drop("score", "raw_score", "reasons", "rank").join(F.broadcast(near), "moment_id")  # limit rows
     return search.ranked(made.withColumns({"raw_score": F.col("bm25"), "score": F.col("bm25"), "reasons": F.lit("semantic"), "origin": F.lit("semantic")}).drop("bm25"))
 

@@ -200,7 +200,7 @@ def _corpus(spark: SparkSession, sf_dir: str, graph_too: bool = True) -> find.Co
     m = moments(spark, sf_dir)
     _, technical, duplicates = derived(spark, sf_dir)
     made = stored(spark, f"{sf_dir}/documents.parquet", "edges", lambda: graph.edges(_tables(spark, sf_dir))) if graph_too else None
-    return find.Corpus(m, Q.index(spark, sf_dir), rules.ideas, duplicates, technical, made)
+    return find.Corpus(m, Q.index(spark, sf_dir), rules.ideas, duplicates, technical, made, vectors=Q.vector_lists(spark, sf_dir))
 
 
 @query(S.with_moments(_SHOWN, *_whole(10, "rx AS (SELECT *, 'text' AS origin FROM res)", _KEPT.format("rx"), *_FEAT, _GRAPH_RANKED.format(10))))

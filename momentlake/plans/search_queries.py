@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from momentlake.functions import rules as R
 from momentlake.functions import text as T
-from momentlake.operators import assembly, dedupe, rules, search, vectors
+from momentlake.operators import assembly, dedupe, rules, search, vector_store, vectors
 from momentlake.plans import sql as S
 from momentlake.plans.lineage import cut, stored
 from momentlake.plans.rule_queries import IDEAS_CTE, TECHNICAL_CTES
@@ -56,6 +56,14 @@ def derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return keep("ideas", lambda: rules.ideas(m)), keep("technical", lambda: rules.technical(m)), keep("duplicates", lambda: dedupe.exact_duplicates(plain(spark, sf_dir)))
 
 
+def vector_lists(spark: SparkSession, sf_dir: str, dimension: int = 64) -> vector_store.VectorStore:
+    """Hash embeddings of all moments, stored in lists."""
+    every = lambda: assembly.hashed_vectors(moments(spark, sf_dir), dimension)
+    keep = lambda name, make, *parts: stored(spark, f"{sf_dir}/documents.parquet", f"vectors/{name}", make, *parts, dimension=dimension)
+    centres = keep("centres", lambda: vector_store.centres_of(every(), dimension))
+    return vector_store.VectorStore(keep("lists", lambda: vector_store.assigned(every(), centres, dimension).repartition("list", "chunk"), "list"), centres)
+
+
 PLAIN_CTE = "pm AS (SELECT doc_id AS ord, source || ':' || doc_id AS moment_id, source AS video_id, coalesce(text, '') AS transcript_text FROM documents)"
 DUPS_CTES = (
     PLAIN_CTE,
@@ -499,7 +507,20 @@ _SEMANTIC = (
 @query(S.with_moments("SELECT moment_id, video_id, score, rank::INTEGER AS rank, 'semantic' AS reasons FROM (SELECT *, row_number() OVER (ORDER BY score DESC, ord) AS rank FROM sv) WHERE rank <= 10", *_SEMANTIC))
 def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The moments of one video nearest to a query by vectors."""
-    return assembly.semantic(moments(spark, sf_dir).where(F.col("video_id") == "src1"), QUERY)
+    own = moments(spark, sf_dir).where(F.col("video_id") == "src1")
+    return assembly.semantic(own, QUERY, store=vector_lists(spark, sf_dir), among=own.select(F.col("ord").alias("vec_id")))
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.v, c.v), 4) AS score FROM e q JOIN e c ON q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM k WHERE rank <= 10"""
+)
+def vector_store_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of a stated query set, from stored lists."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_store.search(vector_store.build(e, 64, 256), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
 @query(
