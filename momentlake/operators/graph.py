@@ -139,6 +139,22 @@ def neighbors(n: DataFrame, e: DataFrame, node_id: str, hops: int = 1) -> DataFr
     return reached.where("distance > 0").join(n.select("node_id", "node_type", "label"), "node_id")
 
 
+def neighborhoods(e: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
+    """seed, node_id, distance of what lies within ``hops`` undirected steps of each of ``seeds`` (node_id).
+
+    All seeds go together, a join for each step; only the nodes that a seed reached last are
+    followed. A seed without edges reaches nothing, repeated seeds count once.
+    """
+    links = cut(ends(e).where("node_id <> other").select("node_id", "other").distinct())
+    frontier = seeds.select(F.col("node_id").alias("seed")).distinct().select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("distance"))
+    reached = frontier
+    for k in range(1, hops + 1):
+        step = frontier.join(links, "node_id").select("seed", F.col("other").alias("node_id")).distinct()
+        frontier = cut(step.join(reached.select("seed", "node_id"), ["seed", "node_id"], "left_anti").withColumn("distance", F.lit(k)))
+        reached = reached.unionByName(frontier)
+    return reached.where("distance > 0")
+
+
 def moment_context(n: DataFrame, e: DataFrame) -> DataFrame:
     """One row for each moment with an edge: what its direct neighbours say about it."""
     both = ends(e).where(F.startswith("node_id", F.lit("moment:")) & (F.col("node_id") != F.col("other")))

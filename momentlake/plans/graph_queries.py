@@ -93,6 +93,22 @@ def graph_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbors(graph.nodes(t), graph.edges(t), "moment:src1:1", hops=2)
 
 
+_STEP = lambda k: f"n{k} AS (SELECT DISTINCT seed, links.other AS node_id FROM n{k - 1} JOIN links USING (node_id))"
+
+
+@query(
+    _graph(
+        "SELECT seed, node_id, min(distance)::INTEGER AS distance FROM (" + " UNION ALL ".join(f"SELECT seed, node_id, {k} AS distance FROM n{k}" for k in (0, 1, 2, 3)) + ") GROUP BY seed, node_id HAVING min(distance) > 0",
+        "links AS MATERIALIZED (SELECT DISTINCT node_id, other FROM ends WHERE node_id <> other)", "n0 AS (SELECT 'moment:' || moment_id AS seed, 'moment:' || moment_id AS node_id FROM m WHERE ord % 50 = 0)", *(_STEP(k) for k in (1, 2, 3)),
+    )
+)
+def graph_neighborhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps around a stated set of moments, those whose number is divisible by 50."""
+    seeds = moments(spark, sf_dir).where("ord % 50 = 0").select(F.concat(F.lit("moment:"), "moment_id").alias("node_id"))
+    made = stored(spark, f"{sf_dir}/documents.parquet", "edges", lambda: graph.edges(_tables(spark, sf_dir)))
+    return graph.neighborhoods(made, seeds, 3)
+
+
 @query(
     _graph(
         """SELECT substr(e.node_id, 8) AS moment_id, coalesce(array_to_string(list_sort(list_distinct(list(substr(other, 8)) FILTER (WHERE starts_with(other, 'entity:')))), ','), '') AS entities,

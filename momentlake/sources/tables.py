@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,3 +122,10 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """name, rows of every table."""
     each = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in tables.items()]
     return reduce(DataFrame.unionByName, each)
+
+
+def write_counted(rows: DataFrame, path: str, mode: str = "overwrite", **counters: Column) -> dict[str, object]:
+    """Write ``rows`` as Parquet and return ``rows`` and the named aggregates, counted in the same scan."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(name) for name, c in counters.items())).write.mode(mode).parquet(path)
+    return seen.get

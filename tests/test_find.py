@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from momentlake.operators import dedupe, evaluate, find, graph, jobs, rules, search, vectors
 from momentlake.plans.lineage import stored
-from momentlake.sources import web
+from momentlake.sources import tables, web
 from momentlake.streaming import jobs as streaming
 
 TEXTS = ["Always install the tool first.", "Install the tool, then run the tool.", "Nothing here but clouds.", "Install the tool, then run the tool.", "The tool is deprecated."]
@@ -167,6 +167,22 @@ def test_graph_rows_are_keyed(spark, corpus, tmp_path):
     assert (told.nodes, told.edges) == (n.count(), e.count()) and spark.read.text(str(tmp_path / "g/rows")).count() == told.nodes + told.edges
 
 
+def test_neighborhoods_as_one_by_one(spark, corpus):
+    n = spark.createDataFrame([], "node_id string, node_type string, label string")
+    seeds = ["moment:m0", "moment:m4", "video:v1", "nothing", "moment:m0"]
+    got = graph.neighborhoods(corpus.edges, spark.createDataFrame([(s,) for s in seeds], "node_id string"), 3).collect()
+    nodes = corpus.edges.select(F.explode(F.array("source_node_id", "target_node_id")).alias("node_id")).distinct().select("node_id", F.lit("").alias("node_type"), F.lit("").alias("label"))
+    for s in set(seeds):
+        want = {r.node_id: r.distance for r in graph.neighbors(n.unionByName(nodes), corpus.edges, s, 3).collect()}
+        assert {r.node_id: r.distance for r in got if r.seed == s} == want
+
+
+def test_counters_come_with_the_write(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "id % 7 AS k")
+    told = tables.write_counted(rows, str(tmp_path / "t"), least=F.min("id"), sevens=F.count_if(F.col("k") == 0))
+    assert told == {"rows": 100, "least": 0, "sevens": 15} and spark.read.parquet(str(tmp_path / "t")).count() == 100
+
+
 def test_files_and_listings(spark, tmp_path):
     (tmp_path / "q.json").write_text('{"queries": [{"query": "a", "expected_terms": ["x"], "expected_video_id": "v"}, {"query": "b"}]}')
     got = evaluate.load_queries(spark, str(tmp_path / "q.json")).collect()
