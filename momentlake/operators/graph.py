@@ -124,6 +124,14 @@ def get_node(n: DataFrame, node_or_ref: str) -> DataFrame:
     return found.orderBy((F.col("node_id") == node_or_ref).desc(), "node_id").limit(1)
 
 
+def get_nodes(n: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked, and the columns of the node of this id, else of the first of this reference by id, for each row of ``asked`` (asked); those not found are left out."""
+    names = F.explode(F.array(F.struct(F.col("node_id").alias("asked"), F.lit(0).alias("own")), F.struct(F.col("ref_id").alias("asked"), F.lit(1).alias("own"))))
+    rows = n.withColumn("name", names).select("name.*", *n.columns).join(asked.select("asked").distinct(), "asked")
+    first = F.min_by(F.struct(*n.columns), F.struct("own", "node_id")).alias("r")
+    return rows.groupBy("asked").agg(first).select("asked", "r.*")
+
+
 def neighbors(n: DataFrame, e: DataFrame, node_id: str, hops: int = 1) -> DataFrame:
     """node_id, node_type, label, distance of what lies within ``hops`` undirected steps."""
     spark = e.sparkSession

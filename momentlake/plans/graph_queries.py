@@ -93,6 +93,16 @@ def graph_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbors(graph.nodes(t), graph.edges(t), "moment:src1:1", hops=2)
 
 
+@query(_graph("SELECT asked, node_id, node_type, label FROM (SELECT a.asked, n.*, row_number() OVER (PARTITION BY a.asked ORDER BY n.node_id <> a.asked, n.node_id) AS r FROM asks a JOIN nodes n ON n.node_id = a.asked OR n.ref_id = a.asked) WHERE r = 1", "asks AS (SELECT moment_id AS asked FROM m WHERE ord % 50 = 0 UNION ALL SELECT 'moment:' || moment_id FROM m WHERE ord % 50 = 1 UNION ALL SELECT DISTINCT video_id FROM m UNION ALL SELECT 'not there')"))
+def graph_get_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by id and by reference, of a stated set of moments (those divisible by 50, and the next ones) and all videos."""
+    t = _tables(spark, sf_dir)
+    m = t.moments
+    asked = m.where("ord % 50 = 0").select(F.col("moment_id").alias("asked")).unionByName(m.where("ord % 50 = 1").select(F.concat(F.lit("moment:"), "moment_id").alias("asked")))
+    asked = asked.unionByName(t.videos.select(F.col("video_id").alias("asked"))).unionByName(spark.range(1).select(F.lit("not there").alias("asked")))
+    return graph.get_nodes(graph.nodes(t), asked).select("asked", "node_id", "node_type", "label")
+
+
 _STEP = lambda k: f"n{k} AS (SELECT DISTINCT seed, links.other AS node_id FROM n{k - 1} JOIN links USING (node_id))"
 
 
@@ -309,6 +319,12 @@ def jobs_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jobs(spark, sf_dir).select("job_id", "status", "detail", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"), "n_events")
 
 
+@query(f"WITH {_JOBS_CTE} SELECT job_id, status, epoch_us(created_at) AS created_us FROM j ORDER BY created_at DESC, job_id DESC LIMIT 20")
+def jobs_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty jobs created last."""
+    return jobs.newest(_jobs(spark, sf_dir), 20).select("job_id", "status", F.unix_micros("created_at").alias("created_us"))
+
+
 @query(f"WITH {_JOBS_CTE} SELECT job_id, floor(epoch_us(finished_at) / 1000)::BIGINT - floor(epoch_us(started_at) / 1000)::BIGINT AS duration_ms FROM j")
 def jobs_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jobs(spark, sf_dir).select("job_id", "duration_ms")
@@ -365,6 +381,13 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.insert_if_absent(old, tenth.unionAll(tenth.withColumn("doc_id", F.col("doc_id") + 1000000000)), "doc_id", order="source")
 
 
+@query("SELECT doc_id, source FROM documents UNION ALL SELECT doc_id + 1000000000, 'new' FROM documents WHERE doc_id % 10 = 0")
+def insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with keys of their own, added after all keys were compared."""
+    old = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return tables.insert(old, old.where("doc_id % 10 = 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), F.lit("new").alias("source")), "doc_id")
+
+
 @query(S.with_moments("SELECT 'moments' AS name, count(*) AS rows FROM m WHERE video_id <> 'src1' UNION ALL SELECT 'ideas', count(*) FROM ideas WHERE NOT starts_with(moment_id, 'src1:') UNION ALL SELECT 'duplicates', count(*) FROM dups WHERE NOT starts_with(moment_id, 'src1:') AND NOT starts_with(canonical_moment_id, 'src1:')", IDEAS_CTE, *DUPS_CTES))
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = moments(spark, sf_dir)

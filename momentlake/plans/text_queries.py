@@ -93,6 +93,12 @@ def ts_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.withColumn("seconds", T.clock_seconds(F.col("label")))
 
 
+@query(f"SELECT event_id, {_CLOCK} || '–' || {_CLOCK.replace('s //', '(s + 60) //').replace('s %', '(s + 60) %')} AS timestamp_label FROM (SELECT event_id, floor(value * 60)::BIGINT AS s FROM events)")
+def ts_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.floor(F.col("value") * 60).cast("double")
+    return table(spark, sf_dir, "events").select("event_id", T.clock_range(s, s + 60).alias("timestamp_label"))
+
+
 @query("SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&t=' ELSE '?t=' END || (page_id * 7) || 's' AS link FROM pages")
 def ts_deeplink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.deep_link(F.col("url"), F.col("page_id") * 7.0).alias("link"))

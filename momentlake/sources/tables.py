@@ -85,10 +85,12 @@ def insert_if_absent(old: DataFrame, new: DataFrame, *key: str, order: str | Non
 
 
 def insert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
-    """``old`` and ``new``; the query fails where a key would be there twice."""
-    both = old.unionByName(new)
-    n = F.count("*").over(Window.partitionBy(*key))
-    return both.withColumn("__n", n).where(F.when(F.col("__n") > 1, F.raise_error(F.lit("key is there already"))).otherwise(F.lit(True)).cast("boolean")).drop("__n")
+    """``old`` and ``new``; the query fails where a key of ``new`` would be there twice. Keys are counted by partial aggregates."""
+    side = lambda df, old_rows: df.select(*key, F.lit(old_rows).alias("__old"))
+    counted = side(new, 0).unionByName(side(old.join(new.select(*key).distinct(), list(key), "left_semi"), 1))
+    twice = counted.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").agg(F.count("*").alias("__twice"))
+    checked = twice.select(F.when(F.col("__twice") > 0, F.raise_error(F.lit("key is there already"))).otherwise(F.lit(True)).cast("boolean").alias("__ok"))
+    return old.unionByName(new).crossJoin(F.broadcast(checked)).where("__ok").drop("__ok")  # one row
 
 
 def delete_cascade(tables: dict[str, DataFrame], video_ids: DataFrame) -> dict[str, DataFrame]:
