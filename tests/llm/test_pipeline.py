@@ -46,5 +46,5 @@ def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path, prose):
 
 def test_registered():
     names = {k.split("_")[0] for k in queries.queries()}
-    assert names == {f"op{n}" for n in range(1, 11)} and set(corpus_pipeline.queries()) == {"pipeline"}
+    assert names == {f"op{n}" for n in range(1, 14)} and set(corpus_pipeline.queries()) == {"pipeline"}
     assert set(queries.oracle_sql()) <= set(queries.queries()) and mixing.SHARE == 1.5
