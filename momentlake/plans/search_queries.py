@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from momentlake.functions import rules as R
 from momentlake.functions import text as T
-from momentlake.operators import assembly, dedupe, rules, search, vector_store, vectors
+from momentlake.operators import assembly, dedupe, ranked, rules, search, vector_store, vectors
 from momentlake.plans import sql as S
 from momentlake.plans.lineage import cut, stored
 from momentlake.plans.rule_queries import IDEAS_CTE, TECHNICAL_CTES
@@ -271,6 +271,35 @@ def fts_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_batch(index(spark, sf_dir), b)
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> ranked.Blocks:
+    """The text index of all moments in blocks, stored."""
+    made: list[ranked.Blocks] = []
+
+    def build() -> ranked.Blocks:
+        if not made:
+            made.append(ranked.build_blocks(moments(spark, sf_dir)))
+        return made[0]
+
+    keep = lambda name, make, *parts: stored(spark, f"{sf_dir}/documents.parquet", f"ranked/{name}", make, *parts, buckets=search.BUCKETS, segment=ranked.SEGMENT)
+    rows = keep("blocks", lambda: ranked.dealt(build().blocks), "bucket")
+    terms = keep("terms", lambda: rows.groupBy("bucket", "term").agg(F.sum(F.size("entries")).alias("hits")), "bucket")
+    return ranked.Blocks(rows, terms, keep("corpus", lambda: build().corpus))
+
+
+_ANY_CTES = (
+    f"bt AS (SELECT item_id AS query_id, unnest(list_distinct({S.tokens('text')})) AS term FROM benchmark)",
+    *_BATCH_CTES[2:4],
+    f"bs AS (SELECT bt.query_id, bf.moment_id, sum({_bm25('bf.f', 'bn.n')} ORDER BY bt.term) AS s FROM bt JOIN bf ON bf.term = bt.term JOIN bn ON bn.term = bf.term JOIN sz ON sz.moment_id = bf.moment_id, co GROUP BY ALL)",
+    "br AS (SELECT query_id, moment_id, round(s, 4) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 4) DESC, moment_id) AS rank FROM bs)",
+)
+
+
+@query(S.with_moments("SELECT query_id, moment_id, bm25, rank::INTEGER AS rank FROM br WHERE rank <= 10", *_POST, *_ANY_CTES))
+def fts_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best moments for any of the words of each benchmark text, whole."""
+    return ranked.ranked(blocks(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), every=False)[0]
+
+
 # --- search with boosts
 
 QUERY = "install tool"
