@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from momentlake.functions import rules as R
 from momentlake.functions import text as T
-from momentlake.operators import assembly, dedupe, ranked, rules, search, vector_store, vectors
+from momentlake.operators import assembly, dedupe, increment, ranked, rules, search, vector_store, vectors
 from momentlake.plans import sql as S
-from momentlake.plans.lineage import cut, stored
+from momentlake.plans.lineage import cut, drop_folder, shared_folder, stored
 from momentlake.plans.rule_queries import IDEAS_CTE, TECHNICAL_CTES
 from momentlake.plans.text_queries import snippet_sql
 from momentlake.sources.corpus import moments, spread, table
@@ -271,6 +273,23 @@ def fts_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_batch(index(spark, sf_dir), b)
 
 
+@query(S.with_moments("SELECT term, count(*) AS n, count(DISTINCT moment_id) AS n_moments FROM post GROUP BY term", *_POST))
+def fts_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of an index that had another state of the moments before: a tenth is new, a tenth had another text, and copies of a tenth are deleted."""
+    m = moments(spark, sf_dir)
+    place = F.pmod("ord", F.lit(10))
+    before = m.where(place != 0).withColumn("transcript_text", F.when(place == 1, F.concat(F.lit("before "), "transcript_text")).otherwise(F.col("transcript_text")))
+    before = before.unionByName(m.where(place == 2).withColumn("moment_id", F.concat(F.lit("gone:"), "moment_id")))
+    path = f"{shared_folder(spark)}/increment-{uuid.uuid4().hex}"
+    folder = increment.IndexFolder(spark, path)
+    folder.sync(before)
+    folder.sync(m)
+    counted = folder.read().postings.groupBy("term", "moment_id").agg(F.count("*").alias("f"))
+    out = cut(counted.groupBy("term").agg(F.sum("f").alias("n"), F.count("*").alias("n_moments")))
+    drop_folder(spark, path)
+    return out
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> ranked.Blocks:
     """The text index of all moments in blocks, stored."""
     made: list[ranked.Blocks] = []
