@@ -299,10 +299,9 @@ def blocks(spark: SparkSession, sf_dir: str) -> ranked.Blocks:
             made.append(ranked.build_blocks(moments(spark, sf_dir)))
         return made[0]
 
-    keep = lambda name, make, *parts: stored(spark, f"{sf_dir}/documents.parquet", f"ranked/{name}", make, *parts, buckets=search.BUCKETS, segment=ranked.SEGMENT)
-    rows = keep("blocks", lambda: ranked.dealt(build().blocks), "bucket")
-    terms = keep("terms", lambda: rows.groupBy("bucket", "term").agg(F.sum(F.size("entries")).alias("hits")), "bucket")
-    return ranked.Blocks(rows, terms, keep("corpus", lambda: build().corpus))
+    keep = lambda name, make: stored(spark, f"{sf_dir}/documents.parquet", f"ranked/{name}", make, segment=ranked.SEGMENT)
+    rows = keep("blocks", lambda: build().blocks)
+    return ranked.Blocks(rows, keep("terms", lambda: ranked.terms_of(rows)), keep("corpus", lambda: build().corpus))
 
 
 _ANY_CTES = (
