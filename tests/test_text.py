@@ -153,3 +153,12 @@ def test_tables(spark):
     broken = {r.type: r.broken for r in tables.violations(ideas, "ideas", "idea_id").collect()}
     assert broken == {"step": "idea_id is repeated", "odd": "moment_id is null; type is not one of its values; idea_id is repeated"}
     assert [f.name for f in tables.schema("moments").fields][:3] == ["moment_id", "video_id", "start_sec"]
+
+
+def test_sizes_and_places_print_as_in_c(spark):
+    sizes = [1280, 1792, 2304, (1 << 20) + (1 << 18), 1023]
+    assert [one(spark, T.human_size(F.lit(n))) for n in sizes] == ["1.2 KB", "1.8 KB", "2.2 KB", "1.2 MB", "1023 B"]
+    assert one(spark, T.human_size(F.lit(None).cast("int"))) is None
+    values = [0.25, 0.75, 0.35, 59.95, 12000000.0, 1e15, -3.25]
+    assert [one(spark, T.one_decimal(F.lit(x))) for x in values] == ["%.1f" % x for x in values]
+    assert one(spark, T.one_decimal(F.lit(None).cast("double"))) is None
