@@ -167,6 +167,13 @@ def test_graph_rows_are_keyed(spark, corpus, tmp_path):
     assert (told.nodes, told.edges) == (n.count(), e.count()) and spark.read.text(str(tmp_path / "g/rows")).count() == told.nodes + told.edges
 
 
+def test_places_of_late_moments_have_no_exponent(spark, corpus):
+    m = corpus.moments.where("moment_id = 'm1'").withColumns({"start_sec": F.lit(12000000.0), "end_sec": F.lit(12000060.25)})
+    videos = spark.createDataFrame([("v0", "a", "local", "u")], "video_id string, title string, source string, url string")
+    t = graph.Tables(videos, m, rules.ideas(m), rules.technical(m), dedupe.exact_duplicates(m))
+    assert graph.nodes(t).where("node_id = 'moment:m1'").first().label.endswith(" 12000000.0s-12000060.2s")
+
+
 def test_neighborhoods_as_one_by_one(spark, corpus):
     n = spark.createDataFrame([], "node_id string, node_type string, label string")
     seeds = ["moment:m0", "moment:m4", "video:v1", "nothing", "moment:m0"]
