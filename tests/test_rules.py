@@ -44,6 +44,18 @@ def test_contradictions(spark):
     assert got == {("a", "b"): "negative vs positive directive", ("a", "c"): "negative vs positive directive", ("b", "c"): "positive vs negative directive"}
 
 
+def test_pairs_of_contradictions_are_not_shuffled(spark):
+    texts = ["Do not use it.", "Use it always.", "do not go", "nothing", "never", "Should run."]
+    df = spark.createDataFrame([(f"c{k}", t) for k, t in enumerate(texts * 3)], "claim_id string, text string")
+    found = rules.contradictions(df)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    pairs = [(r.claim_a, r.claim_b) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) > 0
+    some = {"c0", "c1", "c2", "c8"}
+    asked = spark.createDataFrame([(c,) for c in some], "claim_id string")
+    assert sorted((r.claim_a, r.claim_b) for r in rules.contradictions(df, asked).collect()) == sorted(p for p in pairs if some & set(p))
+
+
 def test_technical(spark):
     text = "See src/app/main.py, run pip install numpy. Error: bad thing\ncall parseText and snake_case; y = mx + b; from os.path import join"
     m = moments(spark, text)
