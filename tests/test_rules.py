@@ -78,3 +78,37 @@ def test_freshness(spark, text, score):
 def test_dialects_spell_out_classes():
     assert R.re2(r"\bis\s+a\b") == r"(?:^|[^\p{L}\p{N}_])is[\s\p{Z}]+a(?:$|[^\p{L}\p{N}_])"
     assert R.re2(r"[-/\w.]\S") == r"[-/\p{L}\p{N}_.][^\s\p{Z}]"
+
+
+@pytest.mark.parametrize("name, extract", [("FILE_PATHS", rules.file_paths), ("COMMANDS", rules.commands), ("ERRORS", rules.errors), ("EQUATIONS", rules.equations), ("CODE_IDENTIFIERS", rules.code_identifiers), ("IMPORTS", rules.imports)])
+def test_patterns_are_tried_only_where_the_text_holds_what_they_need(spark, name, extract):
+    texts = [
+        "See src/app/main.py or C src\\lib and /usr/bin/x", "NPM run x; pip install y; python -m z; git push; uvicorn a:b; gunicorn a:b; docker ps; kubectl get; conda list; curl -s u; wget u", "yarn add x, npx start",
+        "make all; echo 'hi there'; cat /etc/x; grep -rn a; chmod 7 x; ssh a@b; scp a b; sudo su; ./run.sh", "ſudo x, maKe y, pıp install z, İmport", "Error: x", "Traceback: y", "no module named z", "Command Not Found", "TypeError",
+        "failed: x", "exit code 3", "404 Not Found", "unable to go", "timed out", "WARNING: it is DEPRECATED", "panic: x", "assert a failed", "y = mx + b, det(A), A^T B, sum (x), lambda x, P = PDP^-1, Ax = b, 1 + 2 = 3, \\(a\\) \\[b\\]",
+        "def run, snake_case, parseText, HTTPServer, git push", "from os.path import join; require('a/b')", "plain words only", "",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    patterns, need = getattr(R, name), getattr(R, f"{name}_NEED")
+    ignore = name in ("FILE_PATHS", "COMMANDS", "ERRORS")
+    every = [F.regexp_extract_all("t", F.lit(R.java(p, ignore)), F.lit(0)) for p in patterns]
+    folded = rules._folded(F.col("t")) if ignore else F.col("t")
+    for p, found, n in zip(patterns, every, need, strict=True):
+        rows = df.where(F.size(found) > 0).select(rules._holds(folded, n).alias("held")).collect()
+        assert rows and all(r.held for r in rows), p
+    assert "regexp_extract_all" in (shown := str(extract(F.col("t")))) and (name == "FILE_PATHS" or "contains" in shown.lower())
+
+
+def test_letters_that_patterns_take_for_plain_ones_are_folded(spark):
+    own = spark.createDataFrame([(chr(k),) for k in range(1, 0x10000) if not 0xD800 <= k < 0xE000], "c string")
+    taken = own.where(F.rlike("c", F.lit(R.java("^(?:" + "|".join("abcdefghijklmnopqrstuvwxyz") + ")$", True))))
+    assert taken.count() >= 52 and taken.where(~rules._folded(F.col("c")).rlike("^[a-z]$")).count() == 0
+
+
+def test_a_text_is_hashed_once(spark, monkeypatch):
+    from momentlake.operators import dedupe
+
+    read = []
+    monkeypatch.setattr(dedupe, "cut", lambda df: read.append(df) or df.localCheckpoint())
+    got = dedupe.exact_duplicates(spark.createDataFrame([(f"m{k}", k, "the same", "") for k in range(3)], "moment_id string, ord long, transcript_text string, ocr_text string"))
+    assert got.count() == 2 and len(read) == 1
