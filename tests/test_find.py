@@ -64,6 +64,23 @@ def test_stored_index(spark, corpus, tmp_path):
     assert sorted(map(tuple, search.search_batch(index, queries).collect())) == sorted(map(tuple, search.search_batch(corpus.index, queries).collect()))
 
 
+def test_postings_of_a_bucket_are_dealt_to_tasks(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "POSTINGS_MADE", 2)
+    monkeypatch.setattr(search, "POSTINGS_SORTED", 1)
+    made = search.build_index(corpus.moments)
+    dealt = search.bucketed(made, 2)
+    most = dealt.groupBy("bucket", F.spark_partition_id().alias("p")).count().groupBy("bucket").agg(F.count("*").alias("tasks")).collect()
+    assert max(r.tasks for r in most) > 1
+    of_task = {}
+    for r in dealt.select(F.spark_partition_id().alias("p"), "bucket", "term").collect():
+        of_task.setdefault(r.p, []).append((r.bucket, r.term))
+    assert all(keys == sorted(keys) for keys in of_task.values())
+    search.write_index(corpus.moments, str(tmp_path / "i"), buckets=2)
+    index = search.read_index(spark, str(tmp_path / "i"))
+    got = index.postings.select("moment_id", "field", "pos", "term")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, corpus.index.postings.select(*got.columns).collect()))
+
+
 def test_stored_tables_follow_their_source(spark, tmp_path):
     source, made = str(tmp_path / "s.parquet"), []
 
