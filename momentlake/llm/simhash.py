@@ -204,6 +204,8 @@ def fingerprint_components(docs: DataFrame, doc_id: str = "doc_id", text: str =
 #: For near_duplicates: at the similarity s asked for a pair differs in acos(2 s / (1 + s)) / pi of
 #: the bits on average, so wide prints keep the spread around that small.
 WIDE_BITS, TABLES, KEY_BITS = 128, 48, 12
+#: One in so many of the links that the tables propose is contracted before the others.
+TABLES_FIRST = 8
 
 
 def radius_for(similarity: float, bits: int = WIDE_BITS, spreads: float = 3.0) -> int:
@@ -404,7 +406,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     radius, shape = radius_for(similarity), table_shape(nodes.count())
     proposed = links_in_buckets(sampled_keys(nodes.select("fp0", "fp1"), WIDE_BITS, tables or shape[1], key_bits or shape[0]), radius)
-    families = connected_components(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    families = connected_components(proposed.select("a", "b"), share=TABLES_FIRST)  # a family is linked in most tables
 
     def sets_of(members: DataFrame) -> DataFrame:
         wanted = members.join(nodes, ["fp0", "fp1"]).select("fp0", "fp1", F.col("best.i").alias("id"), F.col("best.h").alias("h"))

@@ -43,3 +43,18 @@ def test_crowded_groups_join_as_others(spark, monkeypatch):
         monkeypatch.setattr(lineage, "CROWDED", crowded)
         monkeypatch.setattr(lineage, "MOST_CROWDED", most)
         assert sorted(map(tuple, lineage.join_groups(rows, groups, "k", "n").select("k", "id", "first").collect())) == want
+
+
+def test_a_share_of_many_edges_is_contracted_first(spark, monkeypatch):
+    from momentlake.operators import components
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(1500)] + [(1000 + i, 1001 + i) for i in range(40)] + [(3000, 3000), (4000, 4001)]
+    df = spark.createDataFrame(edges + [(None, 1)], "a long, b long")
+    sizes, plain = [], components._moved
+    monkeypatch.setattr(components, "_moved", lambda left, to: sizes.append(left.count()) or plain(left, to))
+    got = {r.node: r.component for r in connected_components(df, share=8).collect()}
+    assert got == brute(edges)
+    whole = len({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    assert sizes.count(whole) == 1 and sum(sizes) - whole < whole / 2  # all edges are moved one time, few are followed in rounds
+    assert connected_components(df.where("a > 9999"), share=8).collect() == []
