@@ -69,7 +69,8 @@ def _whole_text():
 
 def hashed_vectors(moments: DataFrame, dimension: int = 64) -> DataFrame:
     """vec_id (the moment's ord), embedding: hash embeddings of all moments that have any text."""
-    return moments.where(_whole_text() != "").select(F.col("ord").alias("vec_id"), vectors.hash_embedding(_whole_text(), dimension).alias("embedding"))
+    some = F.coalesce("transcript_text", F.lit("")).rlike(r"[^\s\p{Z}]") | F.coalesce("ocr_text", F.lit("")).rlike(r"[^\s\p{Z}]")  # as `_whole_text` isn't empty, without making it twice
+    return moments.where(some).select(F.col("ord").alias("vec_id"), vectors.hash_embedding(_whole_text(), dimension).alias("embedding"))
 
 
 def semantic(moments: DataFrame, query: str, k: int = 10, dimension: int = 64, store: vector_store.VectorStore | None = None, among: DataFrame | None = None) -> DataFrame:
@@ -80,6 +81,6 @@ def semantic(moments: DataFrame, query: str, k: int = 10, dimension: int = 64, s
     video go before the call. ``dimension`` is that of the stored run, for the query as well.
     """
     asked = moments.sparkSession.createDataFrame([(0, query)], "query_id long, text string").select("query_id", vectors.hash_embedding(F.col("text"), dimension).alias("embedding"))
-    near = vectors.cosine_top_k(asked, hashed_vectors(moments, dimension), k) if store is None else vector_store.search(store, asked, k, among)
+    near = vectors.cosine_top_k(asked, cut(hashed_vectors(moments, dimension)), k) if store is None else vector_store.search(store, asked, k, among)
     named = moments.select(F.col("ord").alias("vec_id"), "moment_id", "video_id").join(F.broadcast(near), "vec_id")  # k rows
     return named.select("moment_id", "video_id", "score", "rank", F.lit("semantic").alias("reasons"))

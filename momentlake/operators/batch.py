@@ -24,7 +24,7 @@ from momentlake.functions import text as T
 from momentlake.functions.match import Near, Op, parse
 from momentlake.operators import search
 from momentlake.operators.find import NO_DUPLICATES, Corpus
-from momentlake.plans.lineage import cut
+from momentlake.plans.lineage import MOST_CROWDED, cut, having
 
 AND, OR, NOT = -1, -2, -3
 _CODES = {"AND": AND, "OR": OR, "NOT": NOT}
@@ -90,13 +90,16 @@ def _places(index: search.Index, moments: DataFrame, phrases: DataFrame) -> Data
     anchors, on = _anchors(index, phrases), ["term"]
     if index.buckets:
         anchors, on = anchors.withColumn("bucket", search.bucket_of(F.col("term"), index.buckets)), ["bucket", "term"]
+    else:  # no bucket rules postings out, so the terms go to where the texts are, if they are few
+        anchors = cut(anchors)
+        anchors = F.broadcast(anchors) if anchors.count() <= MOST_CROWDED else anchors
     within = phrases.select("phrase", "terms", "prefix", F.col("field").alias("only"))
     found = index.postings.join(anchors, on).join(within, "phrase").where(F.col("only").isNull() | (F.col("only") == F.col("field")))
     found = found.select("phrase", "moment_id", "field", (F.col("pos") - F.col("k")).alias("at"), "terms", "prefix").where("at >= 0")
     shape = ("phrase", "moment_id", "field", "at")
     single = found.where(F.size("terms") == 1).select(*shape)
     several = cut(found.where(F.size("terms") > 1))
-    tokens = search.field_tokens(moments.join(several.select("moment_id").distinct(), "moment_id", "left_semi"))
+    tokens = search.field_tokens(having(moments, several, "moment_id"))
     n = F.size("terms")
     here = lambda size: F.slice("tokens", F.col("at") + 1, size)
     last = F.startswith(F.get("tokens", F.col("at") + n - 1), F.element_at("terms", -1))
@@ -154,7 +157,9 @@ def match_all(index: search.Index, moments: DataFrame, queries: DataFrame) -> Da
     if "video_id" in queries.columns:
         only = queries.select("query_id", F.col("video_id").alias("only"))
         among = among.join(only, "query_id").join(moments.select("moment_id", "video_id"), "moment_id").where(F.col("only").isNull() | (F.col("only") == F.col("video_id"))).select("query_id", "moment_id")
-    told = among.join(own, "query_id").join(hits, ["leaf", "moment_id"], "left").join(index.sizes, "moment_id").crossJoin(F.broadcast(index.corpus))  # one row of corpus totals
+    among = cut(among)
+    sizes = index.sizes if index.buckets else search.sizes_of(having(moments, among, "moment_id"))
+    told = among.join(own, "query_id").join(hits, ["leaf", "moment_id"], "left").join(sizes, "moment_id").crossJoin(F.broadcast(index.corpus))  # one row of corpus totals
     part = F.when(F.col("scored"), F.coalesce(search.bm25(F.col("f"), F.col("hits"), F.col("n"), F.col("size"), F.col("mean")), F.lit(0.0))).otherwise(0.0)
     whole = told.groupBy("query_id", "moment_id").agg(F.array_sort(F.collect_list(F.struct("leaf_no", F.col("f").isNotNull().alias("hit"), part.alias("s")))).alias("of"))
     hit = lambda code: F.get("of", code)["hit"]
@@ -168,7 +173,7 @@ def text_hits(c: Corpus, queries: DataFrame, limit: int = 10) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "moment_id")
     top = match_all(c.index, c.moments, queries).withColumn("place", F.row_number().over(best)).where(F.col("place") <= 3 * limit).drop("place")
     top = cut(top)
-    own = cut(c.moments.join(top.select("moment_id").distinct(), "moment_id", "left_semi"))
+    own = cut(having(c.moments, top, "moment_id"))
     told = own.join(search.idea_summaries(c.ideas(own)), "moment_id", "left")
     words = F.filter(F.split(F.lower(F.col("query")), r"(?U)\s+"), lambda t: t != "")
     hit = top.join(told, "moment_id").join(queries.select("query_id", words.alias("terms")), "query_id")
@@ -183,11 +188,11 @@ def find_all(c: Corpus, queries: DataFrame, limit: int = 10, include_duplicates:
     spark = c.moments.sparkSession
     duplicates = c.duplicates if c.duplicates is not None else spark.createDataFrame([], NO_DUPLICATES)
     hits = cut(search.collapse(text_hits(c, queries, limit), duplicates, limit, diverse, include_duplicates))
-    if not rerank or c.edges is None or c.edges.isEmpty():
+    if not rerank or not c.has_edges():
         return search.ranked(hits.drop("rank")).where(F.col("rank") <= limit)
-    own = cut(c.moments.join(hits.select("moment_id").distinct(), "moment_id", "left_semi"))
-    evidence = c.evidence if c.evidence is not None else spark.createDataFrame([], "moment_id string, modality string")
-    f = search.moment_features(own, c.ideas(own), evidence, duplicates, c.edges).withColumnsRenamed({"idea_types": "types_of", "canonical_moment_id": "canonical_of"})
+    own = cut(having(c.moments, hits, "moment_id"))
+    ideas, evidence, edges = c.around(own)
+    f = search.moment_features(own, ideas, evidence, duplicates, edges).withColumnsRenamed({"idea_types": "types_of", "canonical_moment_id": "canonical_of"})
     asked = queries.select("query_id", F.lower("query").alias("low"), F.filter(F.split(F.lower(F.col("query")), r"(?U)\s+"), lambda t: t != "").alias("terms"))
     joined = hits.drop("rank", "title").join(f, "moment_id").join(asked, "query_id")
     joined = joined.withColumns(search.query_flags(F.col("low"), F.col("terms")))

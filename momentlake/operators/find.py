@@ -17,20 +17,35 @@ NO_DUPLICATES = "dup_id string, moment_id string, canonical_moment_id string, du
 
 @dataclass
 class Corpus:
-    """What a search reads. ``ideas`` gives the ideas of given moments; without ``edges`` nothing is reranked; with ``vectors`` nothing is embedded but queries."""
+    """What a search reads. ``ideas`` gives the ideas of given moments; without ``edges`` nothing is reranked; with ``vectors`` nothing is embedded but queries.
+
+    ``evidence`` may be a function of moments as well, and ``edges`` one of moments, their
+    ideas and their evidence, so that nothing is extracted from moments that aren't hits;
+    ``index`` one that gives the index for a query.
+    """
 
     moments: DataFrame
-    index: search.Index
+    index: search.Index | Callable[[str], search.Index]
     ideas: Callable[[DataFrame], DataFrame]
     duplicates: DataFrame | None = None
-    evidence: DataFrame | None = None
-    edges: DataFrame | None = None
+    evidence: DataFrame | Callable[[DataFrame], DataFrame] | None = None
+    edges: DataFrame | Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None
     dimension: int = 64
     vectors: vector_store.VectorStore | None = None
 
+    def has_edges(self) -> bool:
+        return self.edges is not None and (callable(self.edges) or not self.edges.isEmpty())
+
+    def around(self, own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Ideas, evidence and edges of the moments given, and maybe of others."""
+        ideas = cut(self.ideas(own))
+        evidence = self.evidence if self.evidence is not None else own.sparkSession.createDataFrame([], "moment_id string, modality string")
+        evidence = cut(evidence(own)) if callable(evidence) else evidence
+        return ideas, evidence, cut(self.edges(own, ideas, evidence)) if callable(self.edges) else self.edges
+
 
 def _text_hits(c: Corpus, query: str, limit: int, video_id: str | None) -> DataFrame:
-    found = search.match(c.index, query)
+    found = search.match(c.index(query) if callable(c.index) else c.index, query)
     if video_id is not None:
         found = found.join(c.moments.where(F.col("video_id") == video_id).select("moment_id"), "moment_id", "left_semi")
     return search.results(c.moments, found, query, limit, c.ideas).withColumn("origin", F.lit("text"))
@@ -53,8 +68,8 @@ def _reranked(c: Corpus, hits: DataFrame, query: str, limit: int, diverse: bool,
     """Hits by graph score; the features are those of the hits only."""
     own = cut(c.moments.join(F.broadcast(hits.select("moment_id")), "moment_id", "left_semi"))  # a few times limit rows
     duplicates = c.duplicates if c.duplicates is not None else own.sparkSession.createDataFrame([], NO_DUPLICATES)
-    evidence = c.evidence if c.evidence is not None else own.sparkSession.createDataFrame([], "moment_id string, modality string")
-    f = search.features(own, c.ideas(own), evidence, duplicates, c.edges, query)
+    ideas, evidence, edges = c.around(own)
+    f = search.features(own, ideas, evidence, duplicates, edges, query)
     f = f.withColumnsRenamed({"idea_types": "types_of", "canonical_moment_id": "canonical_of"})
     score, reasons = search.graph_score(F.col("score"), diverse, include, weights)
     joined = hits.drop("rank").join(f, "moment_id").withColumns({"reasons": reasons, "score": score})
@@ -78,7 +93,7 @@ def find(c: Corpus, query: str, mode: str = "fts", video_id: str | None = None,
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     empty = lambda df: df.where(F.lit(False))
     duplicates = c.duplicates if c.duplicates is not None else c.moments.sparkSession.createDataFrame([], NO_DUPLICATES)
-    graph = rerank and c.edges is not None and not c.edges.isEmpty()
+    graph = rerank and c.has_edges()
     if mode == "semantic":
         hits = _near_hits(c, query, limit, video_id) if query.strip() else empty(_text_hits(c, query, limit, video_id))
         return search.collapse(hits, duplicates, limit, include=True)

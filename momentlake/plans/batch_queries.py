@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from momentlake.functions import rules as R
 from momentlake.functions import text as T
-from momentlake.operators import batch, evaluate
+from momentlake.operators import batch, evaluate, search
 from momentlake.plans import graph_queries as G
 from momentlake.plans import search_queries as Q
 from momentlake.plans import sql as S
 from momentlake.plans.rule_queries import IDEAS_CTE, TECHNICAL_CTES
-from momentlake.sources.corpus import table
+from momentlake.sources.corpus import moments, table
 
 QUERIES, SQL = {}, {}
 
@@ -75,7 +75,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.find_all(G._corpus(spark, sf_dir), _asked(spark, sf_dir).select("query_id", "query"))
+    index = Q.index_already(spark, sf_dir) or search.counted(moments(spark, sf_dir))
+    return batch.find_all(G._corpus(spark, sf_dir, index=index), _asked(spark, sf_dir).select("query_id", "query"))
 
 
 @query(S.with_moments("SELECT query_id, moment_id, raw_score, score, reasons, is_duplicate, collapsed::BIGINT AS collapsed_count, rank::INTEGER AS rank FROM fd", *_FOUND))
