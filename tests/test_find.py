@@ -1,3 +1,4 @@
+import random
 import threading
 from concurrent.futures import ThreadPoolExecutor
 
@@ -201,6 +202,38 @@ def test_neighborhoods_as_one_by_one(spark, corpus):
         assert {r.node_id: r.distance for r in got if r.seed == s} == want
 
 
+def _edges_of(spark, pairs):
+    return spark.createDataFrame([(f"e{k}", a, b, "t", 1.0) for k, (a, b) in enumerate(pairs)], "edge_id string, source_node_id string, target_node_id string, edge_type string, weight double")
+
+
+@pytest.mark.parametrize(("hub", "hops"), [(0, 2), (2, 1), (2, 3), (4, 4), (1000, 3)])
+def test_neighborhoods_by_hubs(spark, monkeypatch, hub, hops):
+    for name, value in (("HUB", hub), ("NODES", 4), ("SEEDS", 2), ("ROWS", 100)):
+        monkeypatch.setattr(graph, name, value)
+    dice = random.Random(7)
+    pairs = [(f"n{k:02d}", f"n{dice.choice([0, 1, dice.randrange(40)]):02d}") for k in range(40)] + [(f"n{k:02d}", f"leaf{k}") for k in range(0, 40, 3)] + [("a", "b"), ("n00", "n00")]
+    seeds = ["n00", "n05", "n12", "n30", "leaf3", "leaf9", "a", "nothing", "n05"]
+    got = [tuple(r) for r in graph.neighborhoods(_edges_of(spark, pairs), spark.createDataFrame([(s,) for s in seeds], "node_id string"), hops).select("seed", "node_id", "distance").collect()]
+    want = []
+    for s in set(seeds):
+        far, last = {s: 0}, {s}
+        for k in range(1, hops + 1):
+            last = {y for p in pairs for x, y in (p, p[::-1]) if x in last} - far.keys()
+            far |= dict.fromkeys(last, k)
+        want += [(s, v, d) for v, d in far.items() if d]
+    assert sorted(got) == sorted(want)
+
+
+def test_neighborhoods_behind_a_hub_are_not_written(spark, monkeypatch):
+    """300 seeds and 600 nodes around one node: what is written on the way is in proportion to the links, not to the 179,700 rows."""
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(cut(df)) or written[-1])
+    seeds = spark.range(300).select(F.concat(F.lit("n"), "id").alias("node_id"))
+    got = graph.neighborhoods(_edges_of(spark, [("h", f"n{k}") for k in range(600)]), seeds, 2)
+    assert sum(df.count() for df in written) < 10_000
+    assert {(r.distance, r["count"]) for r in got.groupBy("distance").count().collect()} == {(1, 300), (2, 300 * 599)}
+
+
 def test_counters_come_with_the_write(spark, tmp_path):
     rows = spark.range(100).selectExpr("id", "id % 7 AS k")
     told = tables.write_counted(rows, str(tmp_path / "t"), least=F.min("id"), sevens=F.count_if(F.col("k") == 0))
